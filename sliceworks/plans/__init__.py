@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning",)
+MODULES = ("cleaning", "profiling", "splitting")
 
 
 def load_all() -> None:
