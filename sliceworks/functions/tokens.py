@@ -23,12 +23,11 @@ def strip_blanks(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
 
 
-def split_outside_brackets(text: Column, delimiters: Sequence[str]) -> Column:
-    """Split at the delimiters (longest first) unless inside ``()``, ``[]`` or ``{}``.
+def _segments(text: Column, delimiters: Sequence[str]) -> Column:
+    """Pieces between delimiters outside brackets, untrimmed.
 
-    Stray closers are ordinary text; an unclosed opener keeps the rest in one segment. Segments
-    are trimmed, blank ones dropped. Only a text with an opening bracket pays for the depth
-    count, and that walks over runs between brackets, not over characters.
+    Only a text with an opening bracket pays for the depth count, and that walks over the runs
+    between brackets, not over characters.
     """
 
     ordered = sorted({d for d in delimiters if d}, key=len, reverse=True)
@@ -36,7 +35,9 @@ def split_outside_brackets(text: Column, delimiters: Sequence[str]) -> Column:
         return F.array(text)
     if any(set(d) & set(BRACKETS) for d in ordered):
         raise ValueError("A delimiter must not contain a bracket.")
-    pattern = "|".join(re.escape(d) for d in ordered)
+    singles = "".join(re.escape(d) for d in ordered if len(d) == 1)
+    pattern = "|".join([*(re.escape(d) for d in ordered if len(d) > 1),
+                        *([f"[{singles}]"] if singles else [])])
 
     runs = F.regexp_extract_all(text, F.lit(r"(?s)([\(\)\[\]\{\}]|[^\(\)\[\]\{\}]+)"), F.lit(1))
     start = F.struct(
@@ -63,28 +64,61 @@ def split_outside_brackets(text: Column, delimiters: Sequence[str]) -> Column:
 
     marked = F.aggregate(runs, start, step, lambda state: state["marked"])
     bracketed = text.rlike(r"[\(\[\{]")
-    segments = F.when(bracketed, F.split(marked, CUT)).otherwise(F.split(text, pattern))
+    return F.when(bracketed, F.split(marked, CUT)).otherwise(F.split(text, pattern))
+
+
+def split_outside_brackets(text: Column, delimiters: Sequence[str]) -> Column:
+    """Split at the delimiters (longest first) unless inside ``()``, ``[]`` or ``{}``.
+
+    Stray closers are ordinary text; an unclosed opener keeps the rest in one segment. Segments
+    are trimmed, blank ones dropped.
+    """
+
+    segments = _segments(text, delimiters)
+    if not any(delimiters):
+        return segments
     return F.filter(F.transform(segments, strip_blanks), lambda s: s != "")
 
 
-def normalize_token(token: Column) -> Column:
-    """Lower-case name of a token: unquoted, last ``:`` part, cut at a blank or bracket."""
+def _or_else(text: Column, fallback: Column) -> Column:
+    return F.coalesce(F.nullif(text, F.lit("")), fallback)
 
-    plain = F.regexp_replace(F.lower(strip_blanks(token)), "\\A[\"'`]+|[\"'`]+\\z", "")
-    last_part = F.regexp_extract(plain, rf"(?sU)([^:]*[^:\s\x1c-\x1f][^:]*)(?::{BLANK}*)*\z", 1)
-    part = F.when(plain.contains(":") & (last_part != ""), strip_blanks(last_part)).otherwise(plain)
+
+def _unquoted(token: Column) -> Column:
+    return F.regexp_replace(F.lower(strip_blanks(token)), "\\A[\"'`]+|[\"'`]+\\z", "")
+
+
+def _after_colon(plain: Column) -> Column:
+    last = F.regexp_extract(plain, rf"(?sU)([^:]*[^:\s\x1c-\x1f][^:]*)(?::{BLANK}*)*\z", 1)
+    return F.when(plain.contains(":"), _or_else(strip_blanks(last), plain)).otherwise(plain)
+
+
+def _name(part: Column) -> Column:
     head = F.regexp_replace(
         F.regexp_extract(part, r"(?sU)\A([^\s\x1c-\x1f(\[{<]*)", 1), r"\A[)\]}>,]+|[)\]}>,]+\z", ""
     )
     at_start = F.regexp_extract(head, rf"\A({TOKEN_NAME})", 1)
-    anywhere = F.regexp_extract(part, f"({TOKEN_NAME})", 1)
-    return F.when(at_start != "", at_start).when(anywhere != "", anywhere).otherwise(part)
+    return _or_else(at_start, _or_else(F.regexp_extract(part, f"({TOKEN_NAME})", 1), part))
+
+
+def normalize_token(token: Column) -> Column:
+    """Lower-case name of a token: unquoted, last ``:`` part, cut at a blank or bracket.
+
+    A token that is a plain name (nearly all are) takes one test. For the others a one-element
+    array carries each intermediate text to the next step, so that it is computed once.
+    """
+
+    lowered = F.transform(F.array(token), _unquoted)
+    named = F.transform(F.transform(lowered, _after_colon), _name)
+    return F.when(token.rlike(rf"\A{TOKEN_NAME}\z"), token).otherwise(F.get(named, F.lit(0)))
 
 
 def parse_tokens(text: Column, delimiters: Sequence[str]) -> Column:
     """Array of normalised tokens; empty for null or blank text."""
 
-    tokens = F.transform(split_outside_brackets(strip_blanks(text), delimiters), normalize_token)
+    if all(d.lower() == d.upper() for d in delimiters):
+        text = F.lower(text)  # once for the text; the delimiters have no case
+    tokens = F.transform(_segments(text, delimiters), normalize_token)
     kept = F.filter(tokens, lambda t: t != "")
     return F.coalesce(kept, F.array().cast("array<string>"))
 

@@ -65,8 +65,9 @@ def token_count_summary(tokenized: DataFrame) -> DataFrame:
 def token_frequencies(tokenized: DataFrame) -> DataFrame:
     """How often each token occurs over all rows."""
 
+    # explode would make the optimizer test the array first, and so parse every text twice
     return (
-        tokenized.select(F.explode("tokens").alias("token"))
+        tokenized.select(F.explode_outer("tokens").alias("token")).filter("token is not null")
         .groupBy("token").agg(F.count(F.lit(1)).alias("token_count"))
     )
 

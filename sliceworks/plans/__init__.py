@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "profiling", "splitting")
+MODULES = ("cleaning", "profiling", "splitting", "evaluation")
 
 
 def load_all() -> None:
