@@ -82,20 +82,16 @@ class Bucketer:
         return tuple(f"q{i + 1}" for i in range(len(self.edges) - 1))
 
 
-def _assert_filled(df: DataFrame, column: str) -> None:
-    require_columns(df, [column])
-    missing = df.filter(normalized(df, column).cast("double").isNull()).count()
-    if missing:
-        raise ValueError(f"Reference column {column!r} contains {missing} missing values.")
-
-
 def fit_buckets(train: DataFrame, column: str, buckets: int = 4) -> Bucketer:
     """Edges at the exact quantiles of the training rows; open ends; ties moved up by 1e-9."""
 
-    _assert_filled(train, column)
+    require_columns(train, [column])
+    values = train.select(normalized(train, column).cast("double").alias("v"))
+    total, filled = values.agg(F.count(F.lit(1)), F.count("v")).first()
+    if filled < total:
+        raise ValueError(f"Reference column {column!r} contains {total - filled} missing values.")
     positions = [i / buckets for i in range(buckets + 1)]
-    values = train.select(F.col(column).cast("double").alias("v"))
-    edges = exact_quantiles(values, {"v": positions})["v"]
+    edges = exact_quantiles(values, {"v": positions}, total=total)["v"]
     edges[0], edges[-1] = float("-inf"), float("inf")
     for i in range(1, len(edges)):
         if edges[i] <= edges[i - 1]:

@@ -46,11 +46,12 @@ def target_summary(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     require_columns(df, targets)
     numbers = df.select(*[F.col(t).cast("double").alias(t) for t in targets])
     missing = numbers.agg(
+        F.count(F.lit(1)).alias("total rows"),
         *[F.count_if(F.col(t).isNull() | F.isnan(t)).alias(t) for t in targets]).first()
     for t in targets:
         if missing[t]:
             raise ValueError(f"Target column {t!r} contains {missing[t]} missing values.")
-    medians = exact_quantiles(numbers, {t: (0.5,) for t in targets})
+    medians = exact_quantiles(numbers, {t: (0.5,) for t in targets}, total=missing["total rows"])
     rows = F.array(*[
         F.struct(F.lit(t).alias("target"), F.count(F.lit(1)).alias("row_count"),
                  F.min(t).alias("target_min"), F.max(t).alias("target_max"),

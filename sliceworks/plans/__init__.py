@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "profiling", "splitting", "evaluation")
+MODULES = ("cleaning", "profiling", "splitting", "evaluation", "runs")
 
 
 def load_all() -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sliceworks.models.suites import comparison, fold_results, stacked
@@ -26,44 +26,65 @@ METRICS = ("mae", "rmse", "r2")
 RUN_METRICS = tuple(f"{s}_{m}" for s in ("validation", "test") for m in METRICS)
 
 
-def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with customer data, split by customer, the amount in thousands."""
+def split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders split by customer, the amount in thousands."""
 
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
         (F.col("o_totalprice") / 1000).alias("amount"))
+    return split_groups(orders, "o_custkey")
+
+
+def with_customers(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """Orders with the data of their customer; every order has one."""
+
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey", "c_acctbal")
-    # splitting before the join keys the split on the narrow table
-    return split_groups(orders, "o_custkey").join(customers, "o_custkey")
+    return orders.join(customers, "o_custkey")
+
+
+def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split orders with customer data."""
+
+    return with_customers(spark, sf_dir, split_orders(spark, sf_dir))
 
 
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out predictions of two simple models (train mean, train group mean) in two regimes.
 
-    The group means are fitted in one pass and every row looks all its predictions up at once.
+    What needs no customer data is fitted before the join, and every held-out row looks all its
+    predictions up at once.
     """
 
-    rows = customer_orders(spark, sf_dir)
-    train = rows.filter("split_name = 'train'")
+    orders = split_orders(spark, sf_dir)
+    is_train = F.col("split_name") == "train"
+    train = orders.filter(is_train)
     bucketer = fit_buckets(train, "amount")
-    mean = train.agg(F.avg("amount")).first()[0]
-    by_priority = train.groupBy("o_orderpriority").agg(F.avg("amount").alias("priority_mean"))
-    by_both = train.groupBy("o_orderpriority", "c_mktsegment").agg(F.avg("amount").alias("both_mean"))
-    held = apply_buckets(rows.filter("split_name <> 'train'"), bucketer)
-    looked_up = held.join(by_priority, "o_orderpriority").join(
-        by_both, ["o_orderpriority", "c_mktsegment"])
+    rows = with_customers(spark, sf_dir, orders)
+    cells = rows.filter(is_train).groupBy("o_orderpriority", "c_mktsegment").agg(
+        F.sum("amount").alias("s"), F.count(F.lit(1)).alias("n"))
+    # a few cells: priorities times segments
+    over = lambda *keys: Window.partitionBy(*(keys or [F.lit(1)]))
+    means = cells.select(
+        "o_orderpriority", "c_mktsegment", (F.col("s") / F.col("n")).alias("both_mean"),
+        (F.sum("s").over(over("o_orderpriority")) / F.sum("n").over(over("o_orderpriority")))
+        .alias("priority_mean"),
+        (F.sum("s").over(over()) / F.sum("n").over(over())).alias("overall_mean"),
+    )
+    held = apply_buckets(rows.filter(~is_train), bucketer)
+    looked_up = held.join(means, ["o_orderpriority", "c_mktsegment"])
     guess = lambda regime, model, value: F.struct(
         F.lit(regime).alias("regime"), F.lit(model).alias("model"), value.alias("guess"))
     guesses = F.explode(F.array(
-        guess("plain", "dummy_mean", F.lit(mean)),
+        guess("plain", "dummy_mean", F.col("overall_mean")),
         guess("plain", "group_mean", F.col("priority_mean")),
-        guess("with_segment", "dummy_mean", F.lit(mean)),
+        guess("with_segment", "dummy_mean", F.col("overall_mean")),
         guess("with_segment", "group_mean", F.col("both_mean")),
     ))
     long = looked_up.withColumn("g", guesses).withColumn("guess", F.col("g.guess"))
     return predictions(long, truth="amount", predicted="guess", ablation=F.col("g.regime"),
-                       model=F.col("g.model")).drop("g", "guess", "priority_mean", "both_mean")
+                       model=F.col("g.model")).drop(
+        "g", "guess", "priority_mean", "both_mean", "overall_mean")
 
 
 def order_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +100,7 @@ SELECT split_name, difficulty_bucket, count(*) AS row_count, min(amount) AS low,
 FROM held GROUP BY ALL
 """)
 def difficulty_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = customer_orders(spark, sf_dir)
+    rows = split_orders(spark, sf_dir)
     bucketer = fit_buckets(rows.filter("split_name = 'train'"), "amount")
     return apply_buckets(rows.filter("split_name <> 'train'"), bucketer).groupBy(
         "split_name", "difficulty_bucket").agg(
