@@ -85,7 +85,7 @@ def _or_else(text: Column, fallback: Column) -> Column:
 
 
 def _unquoted(token: Column) -> Column:
-    return F.regexp_replace(F.lower(strip_blanks(token)), "\\A[\"'`]+|[\"'`]+\\z", "")
+    return F.regexp_replace(strip_blanks(token), "\\A[\"'`]+|[\"'`]+\\z", "")
 
 
 def _after_colon(plain: Column) -> Column:
@@ -93,32 +93,33 @@ def _after_colon(plain: Column) -> Column:
     return F.when(plain.contains(":"), _or_else(strip_blanks(last), plain)).otherwise(plain)
 
 
-def _name(part: Column) -> Column:
-    head = F.regexp_replace(
-        F.regexp_extract(part, r"(?sU)\A([^\s\x1c-\x1f(\[{<]*)", 1), r"\A[)\]}>,]+|[)\]}>,]+\z", ""
-    )
-    at_start = F.regexp_extract(head, rf"\A({TOKEN_NAME})", 1)
-    return _or_else(at_start, _or_else(F.regexp_extract(part, f"({TOKEN_NAME})", 1), part))
+def _first_name(part: Column) -> Column:
+    # cutting the part at a blank or bracket and stripping closers, as a reader would, cannot
+    # change which name comes first in it
+    return F.regexp_extract(part, TOKEN_NAME, 0)
 
 
 def normalize_token(token: Column) -> Column:
-    """Lower-case name of a token: unquoted, last ``:`` part, cut at a blank or bracket.
+    """Name of a lower-case token: the first identifier in it, or in its last ``:`` part.
 
-    A token that is a plain name (nearly all are) takes one test. For the others a one-element
-    array carries each intermediate text to the next step, so that it is computed once.
+    A token without any identifier stays as it is, but trimmed and unquoted.
     """
 
-    lowered = F.transform(F.array(token), _unquoted)
-    named = F.transform(F.transform(lowered, _after_colon), _name)
-    return F.when(token.rlike(rf"\A{TOKEN_NAME}\z"), token).otherwise(F.get(named, F.lit(0)))
+    # a one-element array carries the colon part to the last step, so that it is computed once
+    parts = F.transform(F.array(token), lambda t: _after_colon(_unquoted(t)))
+    after_colon = F.transform(parts, lambda p: _or_else(_first_name(p), p))
+    return F.when(token.contains(":"), F.get(after_colon, F.lit(0))).otherwise(
+        _or_else(_first_name(token), _unquoted(token)))
 
 
 def parse_tokens(text: Column, delimiters: Sequence[str]) -> Column:
     """Array of normalised tokens; empty for null or blank text."""
 
     if all(d.lower() == d.upper() for d in delimiters):
-        text = F.lower(text)  # once for the text; the delimiters have no case
-    tokens = F.transform(_segments(text, delimiters), normalize_token)
+        segments = _segments(F.lower(text), delimiters)  # the delimiters have no case
+    else:
+        segments = F.transform(_segments(text, delimiters), F.lower)
+    tokens = F.transform(F.filter(segments, lambda s: s != ""), normalize_token)
     kept = F.filter(tokens, lambda t: t != "")
     return F.coalesce(kept, F.array().cast("array<string>"))
 

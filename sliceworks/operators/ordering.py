@@ -20,6 +20,23 @@ PREFIX_DIGITS = 4
 SINGLE_TASK_ROWS = 1_000_000
 
 
+# A table of up to this many rows is sent to every task of a join; a larger one is shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table for broadcasting once its size is known to be small; otherwise as it is.
+
+    The check fetches the rows (at most ``limit`` + 1), so a small table is also computed just
+    once and no longer depends on its inputs.
+    """
+
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def order_key(seed: int, *columns: str | Column) -> Column:
     """Pseudo-random but repeatable order of rows: md5 of the seed and the identifying columns."""
 
@@ -72,7 +89,7 @@ def smallest_key_cuts(
 def stratum_key_cuts(
     rows: DataFrame, by: Sequence[str], key: str, targets: DataFrame
 ) -> DataFrame:
-    """Like :func:`smallest_key_cuts` inside every stratum, as a lazy table.
+    """Like :func:`smallest_key_cuts` inside every stratum, as a table.
 
     ``targets`` holds ``by``, a name ``cut`` and the count ``k``; the result holds ``by``,
     ``cut`` and the ``key`` of rank ``k``. A stratum with a third of all rows is as evenly
@@ -93,7 +110,7 @@ def stratum_key_cuts(
     in_bucket = Window.partitionBy(*by, "cut", "_prefix", "_rank").orderBy(key)
     return (
         rows.select(*by, key, _prefix(key).alias("_prefix"))
-        .join(places, [*by, "_prefix"])
+        .join(if_small(places), [*by, "_prefix"])
         .withColumn("_position", F.row_number().over(in_bucket))
         .filter(F.col("_position") == F.col("_rank"))
         .select(*by, "cut", key)
@@ -122,18 +139,25 @@ def with_rank(rows: DataFrame, by: Sequence[str], key: str, name: str = "rank")
 
 def with_running_totals(
     rows: DataFrame, order: str, amounts: Mapping[str, str], by: Sequence[str] = (),
-    buckets: int = 1000,
+    buckets: int = 1000, limit: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Sum of each amount over the rows *before* this one in the order of a double column.
 
     ``rows`` has one row per (``by``, ``order``). Buckets are cut at approximate quantiles; the
-    cuts only balance the work, the totals are exact.
+    cuts only balance the work, the totals are exact. Up to ``limit`` rows need no buckets.
     """
 
     by = list(by)
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = rows.agg(F.percentile_approx(order, probabilities, 10 * buckets)).first()[0] or []
-    edges = sorted({cut for cut in cuts if math.isfinite(cut)})
+    size, cuts = rows.agg(
+        F.count(F.lit(1)), F.percentile_approx(order, probabilities, 10 * buckets)).first()
+    if size <= limit:
+        before = Window.partitionBy(*(by or [F.lit(1)])).orderBy(order).rowsBetween(
+            Window.unboundedPreceding, -1)
+        return rows.withColumns({
+            name: F.coalesce(F.sum(amount).over(before), F.lit(0))
+            for amount, name in amounts.items()})
+    edges = sorted({cut for cut in cuts or [] if math.isfinite(cut)})
     splits = [-math.inf, *edges, math.inf] if edges else [-math.inf, 0.0, math.inf]
     keyed = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(rows)
     running = Window.partitionBy(*by).orderBy("_bucket")

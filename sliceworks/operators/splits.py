@@ -70,7 +70,7 @@ def split_groups(
         n_test, n_validation = split_sizes(total, validation_size, test_size)
         return [n_test, n_test + n_validation]
 
-    keys = df.select(key.alias("key")).distinct()
+    keys = df.select(group).distinct().select(key.alias("key"))
     _, (test, validation) = smallest_key_cuts(keys, "key", wanted)
     return df.withColumn("split_name", _by_cuts(key, _text(test), _text(validation)))
 
@@ -184,7 +184,7 @@ def sample_groups(
     """Keep whole groups, so many per split; a split with fewer groups is kept whole."""
 
     key = order_key(seed, group)
-    keys = df.select("split_name", key.alias("key")).distinct()
+    keys = df.select("split_name", group).distinct().select("split_name", key.alias("key"))
     available = keys.groupBy("split_name").agg(F.count(F.lit(1)).alias("groups"))
     wanted = df.sparkSession.createDataFrame(
         [(name, "sample", k) for name, k in sizes.items()], "split_name string, cut string, k long")

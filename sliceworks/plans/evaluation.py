@@ -10,6 +10,7 @@ from sliceworks.operators.metrics import (
     classification_metrics, classification_report, confusion_matrix, regression_metrics,
     roc_auc_binary, roc_auc_one_vs_rest,
 )
+from sliceworks.operators.ordering import if_small
 from sliceworks.operators.slices import (
     apply_buckets, best_model_per_regime, best_rows, compare_classifiers, compare_regimes,
     compare_regressors, compare_tuned, error_dominance, feature_gain, fit_buckets, predictions,
@@ -63,7 +64,7 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_customers(spark, sf_dir, orders)
     cells = rows.filter(is_train).groupBy("o_orderpriority", "c_mktsegment").agg(
         F.sum("amount").alias("s"), F.count(F.lit(1)).alias("n"))
-    # a few cells: priorities times segments
+    # the fitted model: one row per priority and segment
     over = lambda *keys: Window.partitionBy(*(keys or [F.lit(1)]))
     means = cells.select(
         "o_orderpriority", "c_mktsegment", (F.col("s") / F.col("n")).alias("both_mean"),
@@ -72,7 +73,7 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.sum("s").over(over()) / F.sum("n").over(over())).alias("overall_mean"),
     )
     held = apply_buckets(rows.filter(~is_train), bucketer)
-    looked_up = held.join(means, ["o_orderpriority", "c_mktsegment"])
+    looked_up = held.join(if_small(means), ["o_orderpriority", "c_mktsegment"])
     guess = lambda regime, model, value: F.struct(
         F.lit(regime).alias("regime"), F.lit(model).alias("model"), value.alias("guess"))
     guesses = F.explode(F.array(
@@ -311,7 +312,8 @@ def order_fold_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = per_fold.agg(F.sum("s"), F.sum("n")).first()
     everyone = per_fold.select("fold", ((F.lit(total[0]) - F.col("s")) / (F.lit(total[1]) - F.col("n")))
                                .alias("global mean"))
-    guessed = rows.join(segment, ["fold", "c_mktsegment"]).join(everyone, "fold").unpivot(
+    means = if_small(segment.join(everyone, "fold"))  # one row per fold and segment
+    guessed = rows.join(means, ["fold", "c_mktsegment"]).unpivot(
         ["fold", "amount"], ["global mean", "segment mean"], "setting", "guess")
     results = fold_results(guessed, "amount", "guess")
     return rounded(results, *[c for c in results.columns if c not in ("setting", "rank_r2")])
