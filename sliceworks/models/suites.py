@@ -6,17 +6,18 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.classification import OneVsRest
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
+from pyspark.util import inheritable_thread_target
 
 from sliceworks.models.estimators import ModelSpec
 from sliceworks.models.prep import classification_prep, release_prep, vector_names
@@ -46,6 +47,18 @@ def stacked(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def fit_settings(
+    learner: Estimator, prepared: DataFrame, maps: Sequence[dict[Param, object]], parallelism: int
+) -> list:
+    """One model per setting, a few at a time, all on the same prepared rows."""
+
+    fits = learner.fitMultiple(prepared, maps)
+    step = inheritable_thread_target(prepared.sparkSession)(lambda _: next(fits))
+    with ThreadPool(max(1, min(parallelism, len(maps)))) as pool:
+        models = dict(pool.imap_unordered(step, range(len(maps))))
+    return [models[i] for i in range(len(maps))]
+
+
 def model_importance(model: PipelineModel, prepared: DataFrame, vector: str = "features"
                      ) -> DataFrame | None:
     """Tree importances or absolute coefficients, largest first; null when a model has none."""
@@ -100,10 +113,10 @@ def fit_regressors(
     """
 
     table = df.withColumn(target, F.col(target).cast("double"))
-    models = {}
-    with kept(table.filter(F.col("split_name") == "train")) as train:
-        for spec in specs:
-            models[spec.name] = spec.pipeline(prep(features)).fit(train)
+    train = table.filter(F.col("split_name") == "train")
+    ready = prep(features).fit(train)  # the preparation is the same for every model
+    with kept(ready.transform(train).select("features", target)) as prepared:
+        models = {spec.name: PipelineModel([ready, spec.build().fit(prepared)]) for spec in specs}
     held_out = table.filter(F.col("split_name") != "train")
     return Suite(models, stacked(
         score(model, held_out, target=target, name=name, ablation=ablation, keep=keep)
@@ -139,8 +152,8 @@ def fold_results(scored: DataFrame, truth: str, predicted: str, settings: str =
     return summary.withColumn("rank_r2", F.rank().over(by_r2)).orderBy("rank_r2", "mean_mae")
 
 
-def _param_maps(pipeline: Pipeline, grid: Sequence[Mapping[str, object]]) -> list[dict[Param, object]]:
-    learner = pipeline.getStages()[-1]
+def _param_maps(learner: Estimator, grid: Sequence[Mapping[str, object]]
+                ) -> list[dict[Param, object]]:
     return [{learner.getParam(name): value for name, value in setting.items()} for setting in grid]
 
 
@@ -150,8 +163,8 @@ def grouped_search(
 ) -> SearchResult:
     """Try every setting by grouped cross-validation and refit the one with the best mean R².
 
-    The folds ride on ``CrossValidator``'s fold column; the models it keeps per fold then score
-    their own held-out rows, which gives all three metrics without fitting twice.
+    The preparation is fitted once per fold, on that fold's training rows, and shared by all
+    settings. All out-of-fold rows are scored in one job.
     """
 
     assigned = grouped_folds(train, group, folds)
@@ -160,29 +173,33 @@ def grouped_search(
         raise ValueError("Grouped cross-validation needs at least two groups.")
     used = largest + 1  # fewer groups than folds leave folds empty
     rows = train.withColumn(target, F.col(target).cast("double")).join(
-        assigned.select(group, "fold"), group)
-    pipeline = spec.pipeline(prep(features))
-    maps = _param_maps(pipeline, spec.grid)
-    evaluator = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="r2")
+        assigned.select(group, "fold"), group).select(
+        *dict.fromkeys([*features, target, "fold"]))
+    learner = spec.build()
+    maps = _param_maps(learner, spec.grid)
     with kept(rows) as table:
-        search = CrossValidator(
-            estimator=pipeline, estimatorParamMaps=maps, evaluator=evaluator, numFolds=used,
-            foldCol="fold", parallelism=parallelism, collectSubModels=True,
-        ).fit(table)
-        scored = stacked(
-            search.subModels[fold][i].transform(table.filter(F.col("fold") == fold)).select(
+        scored = []
+        for fold in range(used):
+            fit_rows = table.filter(F.col("fold") != fold)
+            ready = prep(features).fit(fit_rows)
+            with kept(ready.transform(fit_rows).select("features", target)) as prepared:
+                models = fit_settings(learner, prepared, maps, parallelism)
+            held = ready.transform(table.filter(F.col("fold") == fold))
+            scored += [model.transform(held).select(
                 "fold", target, "prediction", F.lit(i).alias("setting_index"))
-            for fold in range(used) for i in range(len(maps)))
-        results = fold_results(scored, target, "prediction", "setting_index").collect()
-    labels = {i: str(dict(s)) for i, s in enumerate(spec.grid)}
-    table = train.sparkSession.createDataFrame(
-        [(labels[r["setting_index"]], *[float(r[c]) if r[c] is not None else None for c in
-          ("mean_r2", "std_r2", "mean_mae", "std_mae", "mean_rmse", "std_rmse")], r["rank_r2"])
+                for i, model in enumerate(models)]
+        # one row per setting
+        results = fold_results(stacked(scored), target, "prediction", "setting_index").collect()
+        best = min(results, key=lambda r: (-r["mean_r2"], r["setting_index"]))["setting_index"]
+        ready = prep(features).fit(table)
+        model = learner.fit(ready.transform(table), maps[best])
+    measures = ("mean_r2", "std_r2", "mean_mae", "std_mae", "mean_rmse", "std_rmse")
+    summary = train.sparkSession.createDataFrame(
+        [(str(dict(spec.grid[r["setting_index"]])), *[r[m] for m in measures], r["rank_r2"])
          for r in results],
-        "setting string, mean_r2 double, std_r2 double, mean_mae double, std_mae double, "
-        "mean_rmse double, std_rmse double, rank_r2 int")
-    best = max(range(len(maps)), key=lambda i: (search.avgMetrics[i], -i))
-    return SearchResult(search.bestModel, dict(spec.grid[best]), search.avgMetrics[best], table)
+        "setting string, " + ", ".join(f"{m} double" for m in measures) + ", rank_r2 int")
+    best_r2 = next(r["mean_r2"] for r in results if r["setting_index"] == best)
+    return SearchResult(PipelineModel([ready, model]), dict(spec.grid[best]), best_r2, summary)
 
 
 # -- classification ---------------------------------------------------------------------------
@@ -220,12 +237,16 @@ def encode_label(df: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
     return codes.transform(table), list(codes.labels)
 
 
-def _with_label(spec: ModelSpec, label_code: str = "label_code"):
-    def build():
-        learner = spec.build()
-        return learner.copy({learner.getParam("labelCol"): label_code})
+def _for_label(spec: ModelSpec) -> Estimator:
+    learner = spec.build()
+    return learner.copy({learner.getParam("labelCol"): "label_code"})
+
+
+def _ids(specs: Sequence[ModelSpec]) -> list[str]:
+    """Row ids that random guessers read."""
 
-    return ModelSpec(spec.name, build, spec.grid)
+    learners = [spec.build() for spec in specs]
+    return sorted({x.getOrDefault("idCol") for x in learners if x.hasParam("idCol")} - {""})
 
 
 def fit_classifiers(
@@ -235,10 +256,11 @@ def fit_classifiers(
     """Fit every classifier on the train rows of one split and score the others."""
 
     coded, labels = encode_label(df, label)
-    models = {}
-    with kept(coded.filter(F.col("split_name") == "train")) as train:
-        for spec in specs:
-            models[spec.name] = _with_label(spec).pipeline(classification_prep(features)).fit(train)
+    train = coded.filter(F.col("split_name") == "train")
+    ready = classification_prep(features).fit(train)
+    with kept(ready.transform(train).select("features", "label_code", *_ids(specs))) as prepared:
+        models = {spec.name: PipelineModel([ready, _for_label(spec).fit(prepared)])
+                  for spec in specs}
     held_out = coded.filter(F.col("split_name") != "train")
     return ClassifierSuite(models, stacked(
         score_classes(model, held_out, labels, label=label, name=name, keep=keep)
@@ -282,38 +304,50 @@ class Tuned(NamedTuple):
     comparison: DataFrame
 
 
+def _base(learner: Estimator) -> Estimator:
+    """The learner that owns the settings: the inner one of a one-against-the-rest learner."""
+
+    return learner.getClassifier() if isinstance(learner, OneVsRest) else learner
+
+
 def tune_classifiers(
-    df: DataFrame, features: Sequence[str], label: str, specs: Sequence[ModelSpec]
+    df: DataFrame, features: Sequence[str], label: str, specs: Sequence[ModelSpec], *,
+    parallelism: int = 4,
 ) -> Tuned:
     """Choose settings on validation (the first strictly best macro-F1), refit on train plus
     validation, score test."""
 
     coded, labels = encode_label(df, label)
     models, tried, rows = {}, [], []
+    score_as = lambda model, table, name: score_classes(
+        model, table, labels, label=label, name=name)
     with kept(coded) as table:
-        train = table.filter(F.col("split_name") == "train")
-        validation = table.filter(F.col("split_name") == "validation")
-        both = table.filter(F.col("split_name").isin("train", "validation"))
-        test = table.filter(F.col("split_name") == "test")
-        for spec in map(_with_label, specs):
-            pipeline = spec.pipeline(classification_prep(features))
-            maps = _param_maps(pipeline, spec.grid)
-            scored = stacked(
-                score_classes(pipeline.fit(train, params), validation, labels, label=label,
-                              name=spec.name).withColumn("setting", F.lit(i))
-                for i, params in enumerate(maps))
-            metrics = {r["setting"]: r for r in classification_metrics(
-                scored, "true_label", "predicted_label", ["setting"]).collect()}
-            tried += [(spec.name, i, str(dict(spec.grid[i])), metrics[i]["accuracy"],
-                       metrics[i]["macro_f1"]) for i in range(len(maps))]
-            best = max(range(len(maps)), key=lambda i: (metrics[i]["macro_f1"], -i))
-            model = pipeline.fit(both, maps[best])
-            models[spec.name] = model
-            final = classification_metrics(
-                score_classes(model, test, labels, label=label, name=spec.name),
-                "true_label", "predicted_label").first()
-            rows.append((spec.name, metrics[best]["macro_f1"], final["accuracy"],
-                         final["macro_f1"], str(dict(spec.grid[best]))))
+        in_split = lambda *names: table.filter(F.col("split_name").isin(*names))
+        first = classification_prep(features).fit(in_split("train"))
+        final = classification_prep(features).fit(in_split("train", "validation"))
+        with (
+            kept(first.transform(in_split("train")).select("features", "label_code")) as fit_rows,
+            kept(final.transform(in_split("train", "validation")).select(
+                "features", "label_code")) as refit_rows,
+        ):
+            for spec in specs:
+                learner = _for_label(spec)
+                maps = _param_maps(_base(learner), spec.grid)
+                candidates = fit_settings(learner, fit_rows, maps, parallelism)
+                scored = stacked(
+                    score_as(PipelineModel([first, model]), in_split("validation"), spec.name)
+                    .withColumn("setting", F.lit(i)) for i, model in enumerate(candidates))
+                metrics = {r["setting"]: r for r in classification_metrics(
+                    scored, "true_label", "predicted_label", ["setting"]).collect()}
+                tried += [(spec.name, i, str(dict(spec.grid[i])), metrics[i]["accuracy"],
+                           metrics[i]["macro_f1"]) for i in range(len(maps))]
+                best = max(range(len(maps)), key=lambda i: (metrics[i]["macro_f1"], -i))
+                models[spec.name] = PipelineModel([final, learner.fit(refit_rows, maps[best])])
+                on_test = classification_metrics(
+                    score_as(models[spec.name], in_split("test"), spec.name),
+                    "true_label", "predicted_label").first()
+                rows.append((spec.name, metrics[best]["macro_f1"], on_test["accuracy"],
+                             on_test["macro_f1"], str(dict(spec.grid[best]))))
     spark = df.sparkSession
     return Tuned(
         models,

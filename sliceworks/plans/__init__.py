@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "profiling", "splitting", "evaluation", "runs")
+MODULES = ("cleaning", "profiling", "splitting", "evaluation", "runs", "modelling")
 
 
 def load_all() -> None:
