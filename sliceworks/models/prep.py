@@ -7,11 +7,11 @@ transformers, so fitted pipelines save and load without Python classes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasOutputCol
 from pyspark.sql import DataFrame
@@ -31,10 +31,11 @@ def feature_types(df: DataFrame, features: Sequence[str], bool_is_category: bool
     return categories, [c for c in features if c not in categories]
 
 
-def fit_modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
-    """The most frequent text of each column, ties to the smallest.
+def fit_categories(train: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
+    """Rows of every category of each column, categories in alphabetical order.
 
-    Values are counted per column first, so no task ever holds all values of a column.
+    Values are counted per column before anything is fetched; the categories become slots of a
+    vector, so the driver needs their list in any case.
     """
 
     if not columns:
@@ -44,9 +45,16 @@ def fit_modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str | None]
         .unpivot([], list(columns), "column", "value").filter("value is not null")
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    best = counts.groupBy("column").agg(F.min(F.struct(-F.col("n"), "value"))["value"].alias("mode"))
-    modes = {row["column"]: row["mode"] for row in best.collect()}
-    return {c: modes.get(c) for c in columns}
+    found: dict[str, dict[str, int]] = {c: {} for c in columns}
+    for row in sorted(counts.collect(), key=lambda r: (r["column"], r["value"])):
+        found[row["column"]][row["value"]] = row["n"]
+    return found
+
+
+def mode(categories: Mapping[str, int]) -> str | None:
+    """The most frequent category, ties to the smallest."""
+
+    return min(categories, key=lambda c: (-categories[c], c)) if categories else None
 
 
 def fit_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -109,10 +117,11 @@ class Prep(Estimator, HasOutputCol):
         impute, standardise = self.getOrDefault("impute"), self.getOrDefault("standardise")
         categories, numbers = feature_types(
             dataset, self.getOrDefault("features"), self.getOrDefault("boolAsCategory"))
-        modes = fit_modes(dataset, categories) if impute else {}
+        found = fit_categories(dataset, categories)
+        modes = {c: mode(found[c]) for c in categories}
         medians = fit_medians(dataset, numbers) if impute else {}
+        categories = [c for c in categories if modes[c] is not None]
         if impute:
-            categories = [c for c in categories if modes[c] is not None]
             numbers = [c for c in numbers if medians[c] is not None]
         scales = fit_scales(dataset, {c: medians.get(c, 0.0) for c in numbers}) \
             if standardise else {}
@@ -132,21 +141,18 @@ class Prep(Estimator, HasOutputCol):
                 value = f"({value} - {_double(mean)}) / {_double(deviation)}"
             columns.append(f"{value} AS {_quoted(c + ' value')}")
         stages = [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")]
-        table = stages[0].transform(dataset)
-        encoded = []
+        encoded = list(map(_slot, categories))
         if categories:
-            indexer = StringIndexer(
-                inputCols=[f"category {c}" for c in categories],
-                outputCols=[f"code {c}" for c in categories], stringOrderType="alphabetAsc",
-                handleInvalid="keep",
-            ).fit(table)
+            # one stage per column: the constructor for several pads shorter label lists with null
+            stages += [StringIndexerModel.from_labels(
+                list(found[c]), inputCol=f"category {c}", outputCol=f"code {c}",
+                handleInvalid="keep") for c in categories]
             # "keep" makes unknown the last code and dropLast removes exactly that code's slot
             encoder = OneHotEncoder(
-                inputCols=[f"code {c}" for c in categories], outputCols=list(map(_slot, categories)),
-                dropLast=True, handleInvalid="error",
-            ).fit(indexer.transform(table))
-            stages += [indexer, encoder]
-            encoded = list(map(_slot, categories))
+                inputCols=[f"code {c}" for c in categories], outputCols=encoded, dropLast=True,
+                handleInvalid="error",
+            ).fit(PipelineModel(list(stages)).transform(dataset))
+            stages.append(encoder)
         # missing numbers without imputing: NaN, which tree learners reject and the caller must fill
         stages.append(VectorAssembler(
             inputCols=encoded + [f"{c} value" for c in numbers],

@@ -28,6 +28,8 @@ from sliceworks.operators.policy import fixed_split_design
 from sliceworks.operators.slices import pivot_splits, predictions
 from sliceworks.operators.splits import grouped_folds, split_stratified
 from sliceworks.operators.subsets import filter_variants
+from sliceworks.session import fresh_path
+from sliceworks.sources.tables import read_predictions, write_predictions
 
 
 @contextmanager
@@ -135,20 +137,20 @@ class SearchResult(NamedTuple):
 
 
 def fold_results(scored: DataFrame, truth: str, predicted: str, settings: str = "setting",
-                 fold: str = "fold") -> DataFrame:
+                 fold: str = "fold", by: Sequence[str] = ()) -> DataFrame:
     """Cross-validation table from out-of-fold predictions: mean, deviation and rank over folds.
 
     Ordered by R² rank, then MAE.
     """
 
     measures = regression_measures(truth, predicted)
-    per_fold = scored.groupBy(settings, fold).agg(*[m.alias(n) for n, m in measures.items()])
-    summary = per_fold.groupBy(settings).agg(*[
+    per_fold = scored.groupBy(*by, settings, fold).agg(*[m.alias(n) for n, m in measures.items()])
+    summary = per_fold.groupBy(*by, settings).agg(*[
         f(m).alias(f"{name}_{m}") for m in ("r2", "mae", "rmse")
         for name, f in (("mean", F.avg), ("std", F.stddev_pop))
     ])
     # one row per setting tried
-    by_r2 = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("mean_r2"))
+    by_r2 = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc_nulls_last("mean_r2"))
     return summary.withColumn("rank_r2", F.rank().over(by_r2)).orderBy("rank_r2", "mean_mae")
 
 
@@ -158,48 +160,57 @@ def _param_maps(learner: Estimator, grid: Sequence[Mapping[str, object]]
 
 
 def grouped_search(
-    train: DataFrame, features: Sequence[str], target: str, group: str, spec: ModelSpec, *,
-    folds: int = 3, parallelism: int = 4, prep: Callable[[Sequence[str]], object] = release_prep,
-) -> SearchResult:
-    """Try every setting by grouped cross-validation and refit the one with the best mean R².
+    train: DataFrame, features: Sequence[str], target: str, group: str,
+    specs: Sequence[ModelSpec], *, folds: int = 3, parallelism: int = 4,
+    prep: Callable[[Sequence[str]], object] = release_prep,
+) -> dict[str, SearchResult]:
+    """Try every setting of every model by grouped cross-validation; refit the best by mean R².
 
     The preparation is fitted once per fold, on that fold's training rows, and shared by all
-    settings. All out-of-fold rows are scored in one job.
+    models and settings. All out-of-fold rows are scored in one job.
     """
 
     assigned = grouped_folds(train, group, folds)
-    largest = assigned.agg(F.max("fold")).first()[0]
-    if largest is None or largest < 1:
-        raise ValueError("Grouped cross-validation needs at least two groups.")
-    used = largest + 1  # fewer groups than folds leave folds empty
     rows = train.withColumn(target, F.col(target).cast("double")).join(
         assigned.select(group, "fold"), group).select(
         *dict.fromkeys([*features, target, "fold"]))
-    learner = spec.build()
-    maps = _param_maps(learner, spec.grid)
+    learners = {spec.name: spec.build() for spec in specs}
+    maps = {spec.name: _param_maps(learners[spec.name], spec.grid) for spec in specs}
     with kept(rows) as table:
+        largest = table.agg(F.max("fold")).first()[0]
+        if largest is None or largest < 1:
+            raise ValueError("Grouped cross-validation needs at least two groups.")
         scored = []
-        for fold in range(used):
+        for fold in range(largest + 1):  # fewer groups than folds leave folds empty
             fit_rows = table.filter(F.col("fold") != fold)
             ready = prep(features).fit(fit_rows)
-            with kept(ready.transform(fit_rows).select("features", target)) as prepared:
-                models = fit_settings(learner, prepared, maps, parallelism)
             held = ready.transform(table.filter(F.col("fold") == fold))
-            scored += [model.transform(held).select(
-                "fold", target, "prediction", F.lit(i).alias("setting_index"))
-                for i, model in enumerate(models)]
-        # one row per setting
-        results = fold_results(stacked(scored), target, "prediction", "setting_index").collect()
-        best = min(results, key=lambda r: (-r["mean_r2"], r["setting_index"]))["setting_index"]
+            with kept(ready.transform(fit_rows).select("features", target)) as prepared:
+                for name, learner in learners.items():
+                    models = fit_settings(learner, prepared, maps[name], parallelism)
+                    scored += [model.transform(held).select(
+                        "fold", target, "prediction", F.lit(name).alias("model_name"),
+                        F.lit(i).alias("setting_index")) for i, model in enumerate(models)]
+        # one row per model and setting
+        tried = fold_results(stacked(scored), target, "prediction", "setting_index",
+                             by=["model_name"]).collect()
         ready = prep(features).fit(table)
-        model = learner.fit(ready.transform(table), maps[best])
-    measures = ("mean_r2", "std_r2", "mean_mae", "std_mae", "mean_rmse", "std_rmse")
-    summary = train.sparkSession.createDataFrame(
-        [(str(dict(spec.grid[r["setting_index"]])), *[r[m] for m in measures], r["rank_r2"])
-         for r in results],
-        "setting string, " + ", ".join(f"{m} double" for m in measures) + ", rank_r2 int")
-    best_r2 = next(r["mean_r2"] for r in results if r["setting_index"] == best)
-    return SearchResult(PipelineModel([ready, model]), dict(spec.grid[best]), best_r2, summary)
+        measures = ("mean_r2", "std_r2", "mean_mae", "std_mae", "mean_rmse", "std_rmse")
+        found = {}
+        with kept(ready.transform(table).select("features", target)) as prepared:
+            for spec in specs:
+                mine = [r for r in tried if r["model_name"] == spec.name]
+                top = min(mine, key=lambda r: (-r["mean_r2"], r["setting_index"]))
+                best = top["setting_index"]
+                model = learners[spec.name].fit(prepared, maps[spec.name][best])
+                results = train.sparkSession.createDataFrame(
+                    [(str(dict(spec.grid[r["setting_index"]])), *[r[m] for m in measures],
+                      r["rank_r2"]) for r in mine],
+                    "setting string, " + ", ".join(f"{m} double" for m in measures)
+                    + ", rank_r2 int")
+                found[spec.name] = SearchResult(
+                    PipelineModel([ready, model]), dict(spec.grid[best]), top["mean_r2"], results)
+    return found
 
 
 # -- classification ---------------------------------------------------------------------------
@@ -395,39 +406,43 @@ class Study(NamedTuple):
 def regime_study(
     df: DataFrame, *, regimes: Sequence[Regime], models: Sequence[ModelSpec], target: str,
     group: str, variant: str, shared: Sequence[str], local: Sequence[str],
-    keep: Sequence[str] = (), folds: int = 3, parallelism: int = 4,
+    keep: Sequence[str] = (), folds: int = 3, parallelism: int = 4, folder: str | None = None,
 ) -> Study:
     """Every model in every regime: filter variants, drop train-constant columns, grouped search,
-    score validation and test. The split table must have passed its audit."""
+    score validation and test. The split table must have passed its audit.
+
+    Predictions are written regime by regime (to ``folder``, else the shared one) and read back as
+    one partitioned table, on which all later metrics run.
+    """
 
-    fitted, scored, searches, rows = {}, [], [], []
+    path = folder or fresh_path(df.sparkSession, "regime-predictions")
+    fitted, searches, rows = {}, [], []
     for regime in regimes:
         features = list(dict.fromkeys([
             *shared, *([variant] if regime.with_variant else []),
             *(local if regime.with_local else ())]))
-        kept_rows = filter_variants(df, variant, regime.variants)
         extra = [c for c in dict.fromkeys([*keep, variant]) if c not in features]
-        design = fixed_split_design(kept_rows, target=target, features=features, group=group,
-                                    strict=True, keep=extra)
-        used = [c for c in features if c in design.columns]
-        # slice columns that were constant features are gone from the design; keep the others
-        carried = [c for c in dict.fromkeys([*keep, variant, group]) if c in design.columns]
-        train = design.filter(F.col("split_name") == "train")
-        held_out = design.filter(F.col("split_name") != "train")
-        for spec in models:
-            result = grouped_search(train, used, target, group, spec, folds=folds,
-                                    parallelism=parallelism)
-            fitted[regime.name, spec.name] = result.model
-            scored.append(score(result.model, held_out, target=target, name=spec.name,
-                                ablation=regime.name, keep=carried))
+        with kept(filter_variants(df, variant, regime.variants)) as variant_rows:
+            design = fixed_split_design(variant_rows, target=target, features=features,
+                                        group=group, strict=True, keep=extra)
+            used = [c for c in features if c in design.columns]
+            # a slice column that was a constant feature is gone from the design
+            carried = [c for c in dict.fromkeys([*keep, variant, group]) if c in design.columns]
+            found = grouped_search(design.filter(F.col("split_name") == "train"), used, target,
+                                   group, models, folds=folds, parallelism=parallelism)
+            held_out = design.filter(F.col("split_name") != "train")
+            write_predictions(stacked(
+                score(result.model, held_out, target=target, name=name, ablation=regime.name,
+                      keep=carried) for name, result in found.items()), path)
+        for name, result in found.items():
+            fitted[regime.name, name] = result.model
             searches.append(result.results.select(
-                F.lit(regime.name).alias("ablation_name"), F.lit(spec.name).alias("model_name"),
-                "*"))
-            rows.append((regime.name, spec.name, len(used), sum(c in local for c in used),
+                F.lit(regime.name).alias("ablation_name"), F.lit(name).alias("model_name"), "*"))
+            rows.append((regime.name, name, len(used), sum(c in local for c in used),
                          float(result.best_r2), str(result.best)))
-    everything = stacked(scored)
+    scored = read_predictions(df.sparkSession, path)
     facts = df.sparkSession.createDataFrame(
         rows, "ablation_name string, model_name string, feature_column_count int, "
         "used_local_feature_count int, cv_best_r2 double, best_params string")
-    summary = comparison(everything).join(facts, ["ablation_name", "model_name"])
-    return Study(everything, summary, stacked(searches), fitted)
+    summary = comparison(scored).join(facts, ["ablation_name", "model_name"])
+    return Study(scored, summary, stacked(searches), fitted)

@@ -195,7 +195,7 @@ def grouped_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = customer_orders(spark, sf_dir).filter("split_name = 'train'")
     spec = ModelSpec("ridge_regression", lambda: Ridge(labelCol="amount"),
                      [{"alpha": a} for a in (0.1, 1.0, 10.0)])
-    return grouped_search(train, FEATURES, "amount", "o_custkey", spec).results
+    return grouped_search(train, FEATURES, "amount", "o_custkey", [spec])[spec.name].results
 
 
 @query("regression_suite")
