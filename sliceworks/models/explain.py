@@ -71,6 +71,15 @@ def permutation_importance(
     )
 
 
+def best_classifier(models: dict[str, PipelineModel], comparison: DataFrame) -> str:
+    """Name of the explainable model with the best validation macro-F1, then accuracy."""
+
+    allowed = [name for name in models if name in (*LINEAR, *TREES)]
+    return comparison.filter(F.col("model_name").isin(*allowed)).orderBy(
+        F.desc_nulls_last("validation_macro_f1"), F.desc_nulls_last("validation_accuracy"),
+        "model_name").first()["model_name"]
+
+
 class Attributions(NamedTuple):
     """Values and inputs per row and slot, importance per slot and per source column, facts."""
 
@@ -92,20 +101,21 @@ def _slot_table(prepared: DataFrame):
 
 
 def linear_values(
-    prepared: DataFrame, coefficients: Sequence[float], background: DataFrame,
+    prepared: DataFrame, coefficients: Sequence[Sequence[float]], background: DataFrame,
     id_columns: Sequence[str],
 ) -> DataFrame:
     """Exact attributions of a linear model: coefficient times distance from the background
-    mean, one row per explained row and slot."""
+    mean, one row per explained row, class and slot. One coefficient vector per class."""
 
     slots = background.select(F.posexplode(vector_to_array("features")).alias("slot_index", "x"))
     weights = prepared.sparkSession.createDataFrame(
-        [(i, float(c)) for i, c in enumerate(coefficients)], "slot_index int, coefficient double")
+        [(k, i, float(c)) for k, vector in enumerate(coefficients) for i, c in enumerate(vector)],
+        "class_index int, slot_index int, coefficient double")
     means = slots.groupBy("slot_index").agg(F.avg("x").alias("center")).join(weights, "slot_index")
     long = prepared.select(*id_columns, F.posexplode(vector_to_array("features"))
                            .alias("slot_index", "input"))
     return long.join(means, "slot_index").select(
-        *id_columns, "slot_index", "input",
+        *id_columns, "class_index", "slot_index", "input",
         (F.col("coefficient") * (F.col("input") - F.col("center"))).alias("attribution"))
 
 
@@ -113,9 +123,9 @@ def linear_values(
 
 class _Leaf(NamedTuple):
     """A leaf as the conditions on its path: per distinct feature an interval or a category set,
-    and the share of training rows that keep it."""
+    and the share of training rows that keep it. One value per class, or just one."""
 
-    value: float
+    values: tuple[float, ...]
     features: tuple[int, ...]
     low: tuple[float, ...]
     high: tuple[float, ...]
@@ -140,21 +150,31 @@ def tree_leaves(spark: SparkSession, model) -> list[_Leaf]:
     else:
         table = nodes.assign(tree=0)
     averaged = type(model).__name__.startswith("RandomForest")
+    by_class = type(model).__name__ == "RandomForestClassificationModel"
     trees = sorted(table["tree"].unique())
     leaves = []
     for place, tree in enumerate(trees):
         by_id = {int(r["id"]): r for r in table[table["tree"] == tree].to_dict("records")}
         weight = 1.0 / len(trees) if averaged else (weights[place] if weights else 1.0)
-        leaves += _walk(by_id, 0, weight, {})
+        leaves += _walk(by_id, 0, weight, {}, by_class)
     return leaves
 
 
-def _walk(nodes: dict, node_id: int, weight: float, path: dict) -> list[_Leaf]:
+def _leaf_values(node: dict, weight: float, by_class: bool) -> tuple[float, ...]:
+    """A classification forest averages the class shares of its leaves; other trees add values."""
+
+    if not by_class:
+        return (weight * float(node["prediction"]),)
+    counts = [float(n) for n in node["impurityStats"]]
+    return tuple(weight * n / sum(counts) for n in counts)
+
+
+def _walk(nodes: dict, node_id: int, weight: float, path: dict, by_class: bool) -> list[_Leaf]:
     node = nodes[node_id]
     left, right = int(node["leftChild"]), int(node["rightChild"])
     if left < 0:
         keys = sorted(path)
-        return [_Leaf(weight * float(node["prediction"]), tuple(keys),
+        return [_Leaf(_leaf_values(node, weight, by_class), tuple(keys),
                       *[tuple(path[k][i] for k in keys) for i in range(4)])]
     split = node["split"]
     split = split.asDict() if hasattr(split, "asDict") else dict(split)
@@ -170,19 +190,20 @@ def _walk(nodes: dict, node_id: int, weight: float, path: dict) -> list[_Leaf]:
         else:
             mine = frozenset(values) if goes_left else frozenset(range(arity)) - frozenset(values)
             state = (low, high, mine if allowed is None else allowed & mine, kept)
-        leaves += _walk(nodes, child, weight, {**path, feature: state})
+        leaves += _walk(nodes, child, weight, {**path, feature: state}, by_class)
     return leaves
 
 
 def leaf_attributions(x: np.ndarray, leaves: Sequence[_Leaf]) -> np.ndarray:
-    """Shapley values of a tree ensemble for a matrix of rows (path-dependent expectation).
+    """Shapley values of a tree ensemble for a matrix of rows (path-dependent expectation), as an
+    array of classes by rows by features.
 
     A leaf's value is a game among the features on its path: a feature in the coalition keeps the
     leaf if the row meets its conditions, one outside keeps it with its training share. Weights
     come from the coefficients of a product of one linear factor per feature.
     """
 
-    out = np.zeros(x.shape)
+    out = np.zeros((len(leaves[0].values), *x.shape))
     for leaf in leaves:
         d = len(leaf.features)
         meets = [
@@ -202,12 +223,14 @@ def leaf_attributions(x: np.ndarray, leaves: Sequence[_Leaf]) -> np.ndarray:
                 shifted = np.zeros_like(poly)
                 shifted[:, 1:] = poly[:, :-1] * meets[k][:, None]
                 poly = poly * leaf.shares[k] + shifted
-            out[:, f] += leaf.value * (meets[j] - leaf.shares[j]) * (poly @ sizes)
+            part = (meets[j] - leaf.shares[j]) * (poly @ sizes)
+            for k, value in enumerate(leaf.values):
+                out[k, :, f] += value * part
     return out
 
 
 def tree_values(prepared: DataFrame, model, id_columns: Sequence[str]) -> DataFrame:
-    """Tree attributions, one row per explained row and slot; batches run in the tasks."""
+    """Tree attributions, one row per explained row, class and slot; batches run in the tasks."""
 
     leaves = prepared.sparkSession.sparkContext.broadcast(
         tree_leaves(prepared.sparkSession, model))  # as large as the model
@@ -215,17 +238,17 @@ def tree_values(prepared: DataFrame, model, id_columns: Sequence[str]) -> DataFr
     ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema
                     if f.name != "_x")
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["_x"].to_list(), dtype=float)
-            if len(x):
-                values = leaf_attributions(x, leaves.value)
-                yield batch.drop(columns="_x").assign(_x=list(x), _v=list(values))
+            for k, values in enumerate(leaf_attributions(x, leaves.value) if len(x) else ()):
+                yield batch.drop(columns="_x").assign(class_index=k, _x=list(x), _v=list(values))
 
-    arrays = rows.mapInPandas(explain, f"{ids}, _x array<double>, _v array<double>")
-    return arrays.select(*id_columns, F.posexplode(F.arrays_zip("_x", "_v"))).select(
-        *id_columns, F.col("pos").alias("slot_index"), F.col("col._x").alias("input"),
-        F.col("col._v").alias("attribution"))
+    arrays = rows.mapInPandas(attribute, f"{ids}, class_index int, _x array<double>, _v array<double>")
+    return arrays.select(
+        *id_columns, "class_index", F.posexplode(F.arrays_zip("_x", "_v"))).select(
+        *id_columns, "class_index", F.col("pos").alias("slot_index"),
+        F.col("col._x").alias("input"), F.col("col._v").alias("attribution"))
 
 
 def mean_absolute(values: DataFrame) -> DataFrame:
@@ -247,10 +270,9 @@ def explain(
     sample = _prepared(model, sample_rows(explained, id_columns, max_rows, seed=seed + 1))
     center = _prepared(model, sample_rows(background, id_columns, background_rows, seed=seed))
     if name in LINEAR:
-        coefficients = (learner.coefficients if hasattr(learner, "coefficients")
-                        and getattr(learner, "numClasses", 2) == 2
-                        else learner.coefficientMatrix[0])
-        values = linear_values(sample, coefficients.toArray(), center, id_columns)
+        vectors = [learner.coefficients.toArray()] if getattr(learner, "numClasses", 2) == 2 \
+            else list(learner.coefficientMatrix.toArray())
+        values = linear_values(sample, vectors, center, id_columns)
     else:
         values = tree_values(sample, learner, id_columns)
     slots = _slot_table(sample)

@@ -11,7 +11,7 @@ from sliceworks.models.estimators import (
     Forest, Logistic, MeanRegressor, ModelSpec, Ridge, boosted_classifier, boosted_regressor,
     forest_regressor, suite_classifiers, tuning_classifiers,
 )
-from sliceworks.models.explain import explain, permutation_importance
+from sliceworks.models.explain import best_classifier, explain, permutation_importance
 from sliceworks.models.prep import (
     classification_prep, regression_prep, release_prep, vector_names,
 )
@@ -19,14 +19,14 @@ from sliceworks.models.suites import (
     classifier_comparison, comparison, fit_classifiers, fit_per_group, fit_regressors,
     grouped_search, model_importance, regime_study, score, standard_regimes, tune_classifiers,
 )
-from sliceworks.operators.policy import regression_design
-from sliceworks.operators.splits import split_rows, split_stratified
+from sliceworks.operators.policy import fixed_split_design, regression_design
+from sliceworks.operators.splits import SPLITS, split_rows, split_stratified
 from sliceworks.operators.target import agreement_target, target_design
 from sliceworks.plans.evaluation import customer_orders, judged_documents
 from sliceworks.plans.registry import bits, query, rounded, table
 from sliceworks.plans.sql import split_cte
 from sliceworks.session import fresh_path
-from sliceworks.sources.tables import load_model, save_model
+from sliceworks.sources.tables import load_model, read_release_folder, save_model
 
 # Model sizes of the registered queries; the library's defaults are those of the study.
 TREES, ROUNDS = 20, 20
@@ -230,6 +230,22 @@ def constructed_target_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      "reliability", specs, regression_prep).scored)
 
 
+@query("release_regression")
+def release_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packaged split files, train-only column choice, the suite, its comparison."""
+
+    folder = fresh_path(spark, "release")
+    rows = customer_orders(spark, sf_dir).withColumn("fixed", F.lit(1))
+    for name in SPLITS:
+        rows.filter(F.col("split_name") == name).drop("split_name").write.parquet(
+            f"{folder}/{name}.parquet")
+    design = fixed_split_design(read_release_folder(spark, folder, payload=["o_orderstatus"]),
+                                target="amount", features=[*FEATURES, "fixed"])
+    used = [c for c in FEATURES if c in design.columns]
+    return comparison(fit_regressors(design, used, "amount", [dummy(), forest()],
+                                     regression_prep).scored)
+
+
 @query("regime_study")
 def order_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five regimes over two order statuses; the account balance is local to one of them."""
@@ -338,3 +354,18 @@ def tuned_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     specs = [ModelSpec(s.name, s.build, list(s.grid)[:4]) for s in tuning_classifiers(2, (5, 10))[:1]]
     return tune_classifiers(quality_split(spark, sf_dir), QUALITY_FEATURES, "quality", specs).comparison
+
+
+@query("explained_classifier")
+def explained_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best saved classifier, loaded again and explained on the test split."""
+
+    rows = quality_split(spark, sf_dir)
+    suite = fit_classifiers(rows, QUALITY_FEATURES, "quality", [
+        ModelSpec("logistic_regression", lambda: Logistic(maxIter=100)),
+        ModelSpec("random_forest", lambda: Forest(numTrees=TREES, maxDepth=4))])
+    name = best_classifier(suite.models, classifier_comparison(suite.scored))
+    path = fresh_path(spark, "classifier")
+    save_model(suite.models[name], path)
+    return explain(load_model(path), name, rows.filter("split_name = 'train'"),
+                   rows.filter("split_name = 'test'"), ["doc_id"]).by_source
