@@ -99,17 +99,27 @@ def _first_name(part: Column) -> Column:
     return F.regexp_extract(part, TOKEN_NAME, 0)
 
 
-def normalize_token(token: Column) -> Column:
-    """Name of a lower-case token: the first identifier in it, or in its last ``:`` part.
+def normalize_tokens(tokens: Column) -> Column:
+    """Names of lower-case tokens: the first identifier in each, or in its last ``:`` part.
 
-    A token without any identifier stays as it is, but trimmed and unquoted.
+    A token without any identifier stays as it is, but trimmed and unquoted. The first array pass
+    settles nearly all tokens with one pattern, which takes the whole text where there is no
+    identifier; the second spends more on the few others.
     """
 
-    # a one-element array carries the colon part to the last step, so that it is computed once
-    parts = F.transform(F.array(token), lambda t: _after_colon(_unquoted(t)))
-    after_colon = F.transform(parts, lambda p: _or_else(_first_name(p), p))
-    return F.when(token.contains(":"), F.get(after_colon, F.lit(0))).otherwise(
-        _or_else(_first_name(token), _unquoted(token)))
+    name_or_all = rf"{TOKEN_NAME}|\A[^a-z]*\z"
+    first = F.transform(tokens, lambda t: F.when(t.contains(":"), t).otherwise(
+        F.regexp_extract(t, name_or_all, 0)))
+
+    def rest(t: Column) -> Column:
+        # a one-element array carries the colon part to the last step, so that it is computed once
+        parts = F.transform(F.array(t), lambda x: _after_colon(_unquoted(x)))
+        named = F.transform(parts, lambda p: _or_else(_first_name(p), p))
+        is_name = (t >= "a") & (t < "{") & ~t.contains(":")
+        return F.when(is_name, t).when(t.contains(":"), F.get(named, F.lit(0))).otherwise(
+            _unquoted(t))
+
+    return F.transform(first, rest)
 
 
 def parse_tokens(text: Column, delimiters: Sequence[str]) -> Column:
@@ -119,7 +129,7 @@ def parse_tokens(text: Column, delimiters: Sequence[str]) -> Column:
         segments = _segments(F.lower(text), delimiters)  # the delimiters have no case
     else:
         segments = F.transform(_segments(text, delimiters), F.lower)
-    tokens = F.transform(F.filter(segments, lambda s: s != ""), normalize_token)
+    tokens = normalize_tokens(F.filter(segments, lambda s: s != ""))
     kept = F.filter(tokens, lambda t: t != "")
     return F.coalesce(kept, F.array().cast("array<string>"))
 
