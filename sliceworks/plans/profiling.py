@@ -234,15 +234,15 @@ def target_design_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("target_profile", GROUPED_ORDERS + """
 , t AS (SELECT o_totalprice / 1000 AS amount, o_totalprice / 2000 AS half FROM orders JOIN s USING (o_custkey))
-SELECT 'amount' AS target, count(*) AS row_count, round(min(amount), 4) AS target_min,
-  round(max(amount), 4) AS target_max, round(avg(amount), 4) AS target_mean,
-  round(quantile_cont(amount, 0.5), 4) AS target_median FROM t
+SELECT 'amount' AS target, count(*) AS row_count, round(min(amount), 6) AS target_min,
+  round(max(amount), 6) AS target_max, round(avg(amount), 6) AS target_mean,
+  round(quantile_cont(amount, 0.5), 6) AS target_median FROM t
 """)
 def target_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = split_groups(table(spark, sf_dir, "orders"), "o_custkey").withColumn(
         "amount", F.col("o_totalprice") / 1000)
     return rounded(target_summary(split, ["amount"]), "target_min", "target_max", "target_mean",
-                   "target_median", digits=4)
+                   "target_median")
 
 
 # -- policies ---------------------------------------------------------------------------------
