@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sliceworks.models.prep import vector_names
-from sliceworks.operators.ordering import order_key
+from sliceworks.operators.ordering import order_key, small_table
 from sliceworks.operators.splits import sample_rows
 from sliceworks.session import fresh_path
 
@@ -96,8 +96,8 @@ def _prepared(model: PipelineModel, df: DataFrame) -> DataFrame:
 def _slot_table(prepared: DataFrame):
     names = vector_names(prepared)
     rows = [(i, slot, source) for i, (slot, source) in enumerate(names)]
-    return prepared.sparkSession.createDataFrame(
-        rows, "slot_index int, feature string, source_feature string")
+    return small_table(
+        prepared.sparkSession, rows, "slot_index int, feature string, source_feature string")
 
 
 def linear_values(
@@ -108,7 +108,8 @@ def linear_values(
     mean, one row per explained row, class and slot. One coefficient vector per class."""
 
     slots = background.select(F.posexplode(vector_to_array("features")).alias("slot_index", "x"))
-    weights = prepared.sparkSession.createDataFrame(
+    weights = small_table(
+        prepared.sparkSession,
         [(k, i, float(c)) for k, vector in enumerate(coefficients) for i, c in enumerate(vector)],
         "class_index int, slot_index int, coefficient double")
     means = slots.groupBy("slot_index").agg(F.avg("x").alias("center")).join(weights, "slot_index")

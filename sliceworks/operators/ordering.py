@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Hex digits of an md5 key used as its bucket: 65,536 evenly filled buckets.
@@ -24,6 +24,16 @@ SINGLE_TASK_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Rows at hand on the driver as a table, broadcast in joins when they are few enough.
+
+    Spark does not know the size of such a table, and would shuffle the other side to it.
+    """
+
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+
+
 def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a table for broadcasting once its size is known to be small; otherwise as it is.
 

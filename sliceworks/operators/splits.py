@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sliceworks.checks import fresh_name, require_columns
 from sliceworks.operators.ordering import (
-    order_key, smallest_key_cuts, stratum_key_cuts, with_rank,
+    order_key, small_table, smallest_key_cuts, stratum_key_cuts, with_rank,
 )
 
 SPLITS = ("train", "validation", "test")
@@ -118,8 +118,8 @@ def split_stratified(
     left = {x: n - test_quota[x] for x, n in counts.items()}
     keep_mix = can_stratify({x: n for x, n in left.items() if n}, within)
     validation_quota = label_quotas(left, n_validation) if keep_mix else dict.fromkeys(left, 0)
-    targets = df.sparkSession.createDataFrame(
-        [(x, cut, k) for x in counts for cut, k in
+    targets = small_table(
+        df.sparkSession, [(x, cut, k) for x in counts for cut, k in
          (("test", test_quota[x]), ("validation", test_quota[x] + validation_quota[x])) if k],
         "label string, cut string, k long",
     )
@@ -128,8 +128,8 @@ def split_stratified(
     # two rows per class
     cuts = {(row["label"], row["cut"]): row["key"]
             for row in stratum_key_cuts(keyed, ["label"], "key", targets).collect()}
-    table = df.sparkSession.createDataFrame(
-        [(x, cuts.get((x, "test")), cuts.get((x, "validation"))) for x in counts],
+    table = small_table(
+        df.sparkSession, [(x, cuts.get((x, "test")), cuts.get((x, "validation"))) for x in counts],
         "_label string, _test string, _validation string",
     )
     joined = df.join(table, text.eqNullSafe(F.col("_label")), "left")
@@ -186,8 +186,8 @@ def sample_groups(
     key = order_key(seed, group)
     keys = df.select("split_name", group).distinct().select("split_name", key.alias("key"))
     available = keys.groupBy("split_name").agg(F.count(F.lit(1)).alias("groups"))
-    wanted = df.sparkSession.createDataFrame(
-        [(name, "sample", k) for name, k in sizes.items()], "split_name string, cut string, k long")
+    wanted = small_table(
+        df.sparkSession, [(name, "sample", k) for name, k in sizes.items()], "split_name string, cut string, k long")
     targets = wanted.join(available, "split_name").select(
         "split_name", "cut", F.least("k", "groups").alias("k"))
     cuts = stratum_key_cuts(keys, ["split_name"], "key", targets)
@@ -279,7 +279,7 @@ def grouped_folds(
         deals += [((name,) if label else ()) + (size, turns) for size, turns in per_size.items()]
     schema = ("majority_label string, " if label else "") + \
         "group_rows long, turns array<struct<first:long,rotation:array<int>>>"
-    deal_table = df.sparkSession.createDataFrame(deals, schema)
+    deal_table = small_table(df.sparkSession, deals, schema)
     ranked = with_rank(sizes.withColumn("_key", order_key(seed, group)), by, "_key", "_rank")
     position = F.col("_rank") - 1
     turn = F.element_at(F.filter("turns", lambda t: t["first"] <= position), -1)
