@@ -7,11 +7,13 @@ do; everything around the sample stays distributed.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -233,8 +235,9 @@ def leaf_attributions(x: np.ndarray, leaves: Sequence[_Leaf]) -> np.ndarray:
 def tree_values(prepared: DataFrame, model, id_columns: Sequence[str]) -> DataFrame:
     """Tree attributions, one row per explained row, class and slot; batches run in the tasks."""
 
-    leaves = prepared.sparkSession.sparkContext.broadcast(
-        tree_leaves(prepared.sparkSession, model))  # as large as the model
+    leaves = tree_leaves(prepared.sparkSession, model)
+    # the function travels whole, with the leaves, so that workers need not have this package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = prepared.select(*id_columns, vector_to_array("features").alias("_x"))
     ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema
                     if f.name != "_x")
@@ -242,7 +245,7 @@ def tree_values(prepared: DataFrame, model, id_columns: Sequence[str]) -> DataFr
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["_x"].to_list(), dtype=float)
-            for k, values in enumerate(leaf_attributions(x, leaves.value) if len(x) else ()):
+            for k, values in enumerate(leaf_attributions(x, leaves) if len(x) else ()):
                 yield batch.drop(columns="_x").assign(class_index=k, _x=list(x), _v=list(values))
 
     arrays = rows.mapInPandas(attribute, f"{ids}, class_index int, _x array<double>, _v array<double>")
