@@ -15,6 +15,8 @@ import base64
 import codecs
 import json
 import re
+import zlib
+from array import array
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -27,8 +29,10 @@ from sliceworks.llm.common import add_columns, int_lists, worker_state
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs that no match of the splitting pattern crosses.
 RUN = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Runs of Latin letters, which the pattern never splits: they go to the merges right away.
+PLAIN = " ?[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
 #: Longest run that is kept, and runs kept by a worker.
-KEPT_LENGTH, KEPT_RUNS = 64, 200_000
+KEPT_LENGTH, KEPT_RUNS = 64, 300_000
 
 
 def byte_characters() -> list[str]:
@@ -70,49 +74,66 @@ def tokenizer_json(tokens: Sequence[bytes], pattern: str) -> str:
 class RunEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, by runs.
 
-    ``runs`` must cut a text so that the ids of the text are those of its runs in order. Ids of
-    short runs are kept; when too many are, the ones not used since the last such time go.
+    ``find`` must cut a text so that the ids of the text are those of its runs in order; runs that
+    match ``plain`` must be single pieces that the tokenizer does not rewrite. Ids of short runs are
+    kept; when too many are, the ones not used since the last such time go.
     """
 
-    def __init__(self, tokenizer: str, runs: str) -> None:
+    def __init__(self, tokenizer: str, find: Callable[[str], list[str]], plain: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.find = Tokenizer.from_str(tokenizer), re.compile(runs).findall
+        self.tokenizer, self.find = Tokenizer.from_str(tokenizer), find
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.merge, self.plain = self.tokenizer.model.tokenize, re.compile(plain).fullmatch
+        self.characters = byte_characters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def ids(self, run: str) -> bytes:
+        """Ids of a run that is one piece."""
+
+        shown = "".join(map(self.characters.__getitem__, run.encode()))
+        return array("I", [t.id for t in self.merge(shown)]).tobytes()
+
     def fill(self, runs: list[str]) -> dict[str, bytes]:
         """Ids of all runs of a text; those too long to be kept are in the result only."""
 
         if len(self.new) > KEPT_RUNS:
             self.new, self.old = {}, self.new
-        missing = []
-        for run in set(runs).difference(self.new):
+        new, rest = self.new, []
+        for run in set(runs).difference(new):
             if (ids := self.old.get(run)) is not None:
-                self.new[run] = ids
+                new[run] = ids
+            elif len(run) <= KEPT_LENGTH and self.plain(run):
+                new[run] = self.ids(run)
             else:
-                missing.append(run)
-        if not missing:
-            return self.new
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        fresh = {run: np.array(e.ids, dtype="<u4").tobytes()
-                 for run, e in zip(missing, found, strict=True)}
-        self.new.update((r, i) for r, i in fresh.items() if len(r) <= KEPT_LENGTH)
-        return self.new if all(len(r) <= KEPT_LENGTH for r in missing) else {**self.new, **fresh}
+                rest.append(run)
+        if not rest:
+            return new
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        fresh = {run: array("I", e.ids).tobytes() for run, e in zip(rest, found, strict=True)}
+        new.update((r, i) for r, i in fresh.items() if len(r) <= KEPT_LENGTH)
+        return new if all(len(r) <= KEPT_LENGTH for r in rest) else {**new, **fresh}
 
     def encode(self, text: str | None) -> bytes:
         runs = self.find(text) if text else []
         return b"".join(map(self.fill(runs).__getitem__, runs)) if runs else b""
 
 
-def encoder_of(spark, tokenizer: str, runs: str) -> Callable[[], RunEncoder]:
+def encoder_of(spark, tokenizer: str, finder: Callable[[], Callable[[str], list[str]]],
+               plain: str) -> Callable[[], RunEncoder]:
     """What makes the encoder in a worker; the tokenizer, a fixed file, is sent once."""
 
     sent = spark.sparkContext.broadcast(tokenizer)
-    key = f"encoder_{hash((tokenizer, runs)) & (2**63 - 1):x}"
-    return lambda: worker_state(key, lambda: RunEncoder(sent.value, runs))
+    key = f"encoder_{zlib.crc32((tokenizer + plain).encode())}"
+    return lambda: worker_state(key, lambda: RunEncoder(sent.value, finder(), plain))
+
+
+def run_finder() -> Callable[[str], list[str]]:
+    """Finds the runs of a text."""
+
+    return re.compile(RUN).findall
 
 
 def encode_bytes(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
@@ -120,7 +141,7 @@ def encode_bytes(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
     """Adds the ids of every text and where each token ends, in bytes of the UTF-8 text."""
 
     tokens = read_ranks(ranks_path)
-    make = encoder_of(df.sparkSession, tokenizer_json(tokens, pattern), RUN)
+    make = encoder_of(df.sparkSession, tokenizer_json(tokens, pattern), run_finder, PLAIN)
     lengths = np.array([len(t) for t in tokens], dtype=np.int32)
 
     def start():

@@ -23,7 +23,7 @@ token alone; repeated rows are documents each on its own; empty tables give no p
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +33,30 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sliceworks.llm.byte_bpe import encoder_of
-from sliceworks.llm.common import column, int_lists, slices
+from sliceworks.llm.common import column, int_lists, slices, word_finder
 
-#: The normaliser makes any white space a blank, and no token holds one: runs are words.
-RUN = r"[^\x20\x09-\x0D]+"
+#: Latin letters in lower case, which the tokenizer does not rewrite.
+PLAIN = "[a-z\xdf-\xf6\xf8-\xff]+"
 #: Tokens with which sentences end, without the mark of a word's end.
 SENTENCE_ENDS = (".", "!", "?", "...", "!!", "??", "!?", ".\"", ".)")
 WORD_END = "</w>"
 
 
+def word_runs() -> Callable[[str], list[str]]:
+    """Cuts a text at white space, which no token holds, with ASCII letters in lower case, as the
+    tokenizer has them; texts with control strings or separators that Python alone takes for white
+    space are cut at ASCII white space as they are."""
+
+    find = word_finder()
+
+    def runs(text: str) -> list[str]:
+        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return find(text)
+        return text.encode().lower().decode().split()
+
+    return runs
+
+
 def boundaries(ids: np.ndarray, ends: np.ndarray, stride: int, cut: float, hard: float):
     """Places at which a document may be cut and their penalties; its end comes last, at none."""
 
@@ -169,7 +184,7 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
 
     with open(tokenizer_path, encoding="utf-8") as file:
         description = file.read()
-    make = encoder_of(df.sparkSession, description, RUN)
+    make = encoder_of(df.sparkSession, description, word_runs, PLAIN)
     kind = df.schema[key].dataType
     schema = T.StructType([
         T.StructField(key, kind), T.StructField("start", T.LongType()),

@@ -189,7 +189,9 @@ def links(prints: DataFrame, radius: int = 3, value: str = "f") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())],
                                              names=["a", "b"])
 
-    return alone.unionByName(met).mapInArrow(compare, "a long, b long")
+    # few bytes but much work: as many tasks as the session deals a shuffle into
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return alone.unionByName(met).repartition(tasks).mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sliceworks.llm import packing, queries, sharding, simhash, substrings, topk
+from sliceworks.llm.byte_bpe import RunEncoder
 
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -74,6 +75,21 @@ def check_pieces(pieces, texts, length=4096):
     assert padding < 0.01 * sum(total)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_word_runs_cut_where_the_tokenizer_does(seed):
+    from tokenizers import Tokenizer
+
+    plain, dice = Tokenizer.from_file(TOKENS), random.Random(seed)
+    with open(TOKENS, encoding="utf-8") as file:
+        encoder = RunEncoder(file.read(), packing.word_runs(), packing.PLAIN)
+    signs = list(" \n\t\r\x0b\x1c\x1f\x85\xa0\u3000\u2003 abAB'sdtlvE19²ßÄöÅI\u0307\u030aΣ汉🙂.,!-_\\|<>") + [
+        "<|endoftext|>", "<|ENDOFTEXT|>", "the ", "Straße,", "ÉCOLE "]
+    for _ in range(3000):
+        text = "".join(dice.choice(signs) for _ in range(dice.randrange(1, 24)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(
+            text, add_special_tokens=False).ids, text
+
+
 def test_packing(spark, documents, nothing):
     pieces = packing.pack(documents, TOKENS, key="id", stretch=4).collect()
     check_pieces(pieces, [r.text for r in documents.collect()])

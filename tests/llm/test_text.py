@@ -173,7 +173,8 @@ def test_runs_cut_where_the_pattern_does(seed):
 
     plain, dice = plain_encoding(), random.Random(seed)
     encoder = byte_bpe.RunEncoder(byte_bpe.tokenizer_json(byte_bpe.read_ranks(RANKS),
-                                                          public_tokenizers.PATTERN), byte_bpe.RUN)
+                                                          public_tokenizers.PATTERN),
+                                  byte_bpe.run_finder(), byte_bpe.PLAIN)
     signs = " \n\t\r\x0b\x1c\x85\xa0　 abAB'sdtlve19²ⅷéñ汉🙂.,!-_\\|<>s​"
     for _ in range(3000):
         text = "".join(dice.choice(signs) for _ in range(dice.randrange(1, 24)))
@@ -181,8 +182,8 @@ def test_runs_cut_where_the_pattern_does(seed):
 
 
 def test_characters_split_between_tokens():
-    table = byte_bpe.decode_table(["".join(byte_bpe.byte_characters()[b] for b in t)
-                                   for t in byte_bpe.read_ranks(RANKS)])
+    characters = byte_bpe.byte_characters()
+    table = byte_bpe.decode_table(["".join(characters[b] for b in t) for t in byte_bpe.read_ranks(RANKS)])
     ids = plain_encoding().encode_ordinary("a🙂é汉")
     texts = byte_bpe.token_texts([table[k] for k in ids])
     assert "".join(texts) == "a🙂é汉" and "" in texts
