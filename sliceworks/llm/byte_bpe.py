@@ -29,10 +29,10 @@ from sliceworks.llm.common import add_columns, int_lists, worker_state
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs that no match of the splitting pattern crosses.
 RUN = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Runs of Latin letters, which the pattern never splits: they go to the merges right away.
-PLAIN = " ?[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
+#: ASCII signs but the apostrophe, with which contractions begin; the pattern takes them together.
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Longest run that is kept, and runs kept by a worker.
-KEPT_LENGTH, KEPT_RUNS = 64, 300_000
+KEPT_LENGTH, KEPT_RUNS = 64, 400_000
 
 
 def byte_characters() -> list[str]:
@@ -74,60 +74,80 @@ def tokenizer_json(tokens: Sequence[bytes], pattern: str) -> str:
 class RunEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, by runs.
 
-    ``find`` must cut a text so that the ids of the text are those of its runs in order; runs that
-    match ``plain`` must be single pieces that the tokenizer does not rewrite. Ids of short runs are
-    kept; when too many are, the ones not used since the last such time go.
+    ``find`` must cut a text so that the ids of the text are those of its runs in order. Runs of Latin
+    letters (in lower case, if ``lower``) and then signs are two pieces, which go to the merges without
+    the tokenizer's other steps. Ids of short runs are kept; when too many are, the ones not used since
+    the last such time go.
     """
 
-    def __init__(self, tokenizer: str, find: Callable[[str], list[str]], plain: str) -> None:
+    def __init__(self, tokenizer: str, find: Callable[[str], list[str]], lower: bool) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.find = Tokenizer.from_str(tokenizer), find
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.merge, self.plain = self.tokenizer.model.tokenize, re.compile(plain).fullmatch
+        self.merge, self.lower = self.tokenizer.model.tokenize, lower
         self.characters = byte_characters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def ids(self, run: str) -> bytes:
-        """Ids of a run that is one piece."""
+    def ids(self, piece: str) -> bytes:
+        """Ids of one piece."""
 
-        shown = "".join(map(self.characters.__getitem__, run.encode()))
+        if piece.isascii() and piece[0] != " ":
+            shown = piece
+        else:
+            shown = "".join(map(self.characters.__getitem__, piece.encode()))
         return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
-    def fill(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of all runs of a text; those too long to be kept are in the result only."""
+    def plain(self, run: str) -> str | None:
+        """The letters of a run of Latin letters and then signs; the first may be a blank."""
+
+        letters = run.rstrip(SIGNS)
+        word = letters[1:] if letters[:1] == " " else letters
+        if word.isalpha() and (word.isascii() or max(word) <= "\xff") and (
+                not self.lower or word.islower()):
+            return letters
+        return None
+
+    def fill(self, runs: list[str]) -> list[str]:
+        """Makes all runs of a text known; returns those that are too long to be kept."""
 
         if len(self.new) > KEPT_RUNS:
             self.new, self.old = {}, self.new
-        new, rest = self.new, []
+        new, old, plain, rest = self.new, self.old, self.plain, []
         for run in set(runs).difference(new):
-            if (ids := self.old.get(run)) is not None:
+            if (ids := old.get(run)) is not None:
                 new[run] = ids
-            elif len(run) <= KEPT_LENGTH and self.plain(run):
-                new[run] = self.ids(run)
+            elif len(run) <= KEPT_LENGTH and (letters := plain(run)):
+                signs = run[len(letters):]
+                new[run] = self.ids(letters) + (self.ids(signs) if signs else b"")
             else:
                 rest.append(run)
         if not rest:
-            return new
+            return rest
         found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        fresh = {run: array("I", e.ids).tobytes() for run, e in zip(rest, found, strict=True)}
-        new.update((r, i) for r, i in fresh.items() if len(r) <= KEPT_LENGTH)
-        return new if all(len(r) <= KEPT_LENGTH for r in rest) else {**new, **fresh}
+        new.update((run, array("I", e.ids).tobytes()) for run, e in zip(rest, found, strict=True))
+        return [run for run in rest if len(run) > KEPT_LENGTH]
 
     def encode(self, text: str | None) -> bytes:
-        runs = self.find(text) if text else []
-        return b"".join(map(self.fill(runs).__getitem__, runs)) if runs else b""
+        if not text:
+            return b""
+        runs = self.find(text)
+        long = self.fill(runs)
+        ids = b"".join(map(self.new.__getitem__, runs))
+        for run in long:
+            del self.new[run]
+        return ids
 
 
 def encoder_of(spark, tokenizer: str, finder: Callable[[], Callable[[str], list[str]]],
-               plain: str) -> Callable[[], RunEncoder]:
+               lower: bool) -> Callable[[], RunEncoder]:
     """What makes the encoder in a worker; the tokenizer, a fixed file, is sent once."""
 
     sent = spark.sparkContext.broadcast(tokenizer)
-    key = f"encoder_{zlib.crc32((tokenizer + plain).encode())}"
-    return lambda: worker_state(key, lambda: RunEncoder(sent.value, finder(), plain))
+    key = f"encoder_{zlib.crc32(tokenizer.encode())}_{lower}"
+    return lambda: worker_state(key, lambda: RunEncoder(sent.value, finder(), lower))
 
 
 def run_finder() -> Callable[[str], list[str]]:
@@ -141,7 +161,7 @@ def encode_bytes(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
     """Adds the ids of every text and where each token ends, in bytes of the UTF-8 text."""
 
     tokens = read_ranks(ranks_path)
-    make = encoder_of(df.sparkSession, tokenizer_json(tokens, pattern), run_finder, PLAIN)
+    make = encoder_of(df.sparkSession, tokenizer_json(tokens, pattern), run_finder, False)
     lengths = np.array([len(t) for t in tokens], dtype=np.int32)
 
     def start():

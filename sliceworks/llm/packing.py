@@ -35,8 +35,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sliceworks.llm.byte_bpe import encoder_of
 from sliceworks.llm.common import column, int_lists, slices, word_finder
 
-#: Latin letters in lower case, which the tokenizer does not rewrite.
-PLAIN = "[a-z\xdf-\xf6\xf8-\xff]+"
 #: Tokens with which sentences end, without the mark of a word's end.
 SENTENCE_ENDS = (".", "!", "?", "...", "!!", "??", "!?", ".\"", ".)")
 WORD_END = "</w>"
@@ -184,7 +182,7 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
 
     with open(tokenizer_path, encoding="utf-8") as file:
         description = file.read()
-    make = encoder_of(df.sparkSession, description, word_runs, PLAIN)
+    make = encoder_of(df.sparkSession, description, word_runs, True)
     kind = df.schema[key].dataType
     schema = T.StructType([
         T.StructField(key, kind), T.StructField("start", T.LongType()),

@@ -30,8 +30,8 @@ from sliceworks.llm.common import add_columns, column, int_lists
 WINDOW, WINDOW_BYTES = 16, 1024
 #: Bytes of the trained dictionary and of the ordinary words.
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 65536
-#: Share of the toxic texts in which a word must recur to be learnt, and texts at least.
-RECURS, RECURS_LEAST = 0.013, 2
+#: Share of the distinct toxic texts in which a word must recur to be learnt, and texts at least.
+RECURS, RECURS_LEAST = 0.02, 4
 #: Words taken from one ordinary text for the ordinary dictionary.
 WORDS_A_TEXT = 40
 STEPS = (2, 4, 6, 8)
@@ -148,10 +148,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             kept.append(random.Random(len(t)).sample(words, min(WORDS_A_TEXT, len(words))))
         return found, kept
 
-    worded = add_columns(rows.filter("train").select("k", "y", "t"), ["t"],
+    # copies of a text count once; the sample is bounded, so dealing it by text is small
+    train = rows.filter("train").groupBy(F.xxhash64("t").alias("h"), "y").agg(
+        F.min(F.struct("k", "t")).alias("r")).select("r.k", "y", "r.t")
+    worded = add_columns(train, ["t"],
                          [("words", "array<string>"), ("some", "array<string>")], distinct_words,
                          drop=["t"])
-    texts = {y: n for y, n in rows.filter("train").groupBy("y").count().collect()}
+    texts = {y: n for y, n in train.groupBy("y").count().collect()}
     if not texts.get(0) or not texts.get(1):
         return no_model()
     least = max(RECURS_LEAST, round(RECURS * texts[1]))

@@ -81,7 +81,7 @@ def test_word_runs_cut_where_the_tokenizer_does(seed):
 
     plain, dice = Tokenizer.from_file(TOKENS), random.Random(seed)
     with open(TOKENS, encoding="utf-8") as file:
-        encoder = RunEncoder(file.read(), packing.word_runs(), packing.PLAIN)
+        encoder = RunEncoder(file.read(), packing.word_runs(), True)
     signs = list(" \n\t\r\x0b\x1c\x1f\x85\xa0\u3000\u2003 abAB'sdtlvE19²ßÄöÅI\u0307\u030aΣ汉🙂.,!-_\\|<>") + [
         "<|endoftext|>", "<|ENDOFTEXT|>", "the ", "Straße,", "ÉCOLE "]
     for _ in range(3000):
