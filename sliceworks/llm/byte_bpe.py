@@ -110,13 +110,11 @@ class RunEncoder:
             return letters
         return None
 
-    def fill(self, runs: list[str]) -> list[str]:
-        """Makes all runs of a text known; returns those that are too long to be kept."""
+    def fill(self, runs: set[str]) -> list[str]:
+        """Makes runs known that are not; returns those that are too long to be kept."""
 
-        if len(self.new) > KEPT_RUNS:
-            self.new, self.old = {}, self.new
         new, old, plain, rest = self.new, self.old, self.plain, []
-        for run in set(runs).difference(new):
+        for run in runs:
             if (ids := old.get(run)) is not None:
                 new[run] = ids
             elif len(run) <= KEPT_LENGTH and (letters := plain(run)):
@@ -133,12 +131,19 @@ class RunEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        runs = self.find(text)
-        long = self.fill(runs)
-        ids = b"".join(map(self.new.__getitem__, runs))
+        if len(self.new) > KEPT_RUNS:
+            self.new, self.old = {}, self.new
+        runs, new = self.find(text), self.new
+        parts = list(map(new.get, runs))
+        if None not in parts:
+            return b"".join(parts)
+        missing = [k for k, part in enumerate(parts) if part is None]
+        long = self.fill({runs[k] for k in missing})
+        for k in missing:
+            parts[k] = new[runs[k]]
         for run in long:
-            del self.new[run]
-        return ids
+            del new[run]
+        return b"".join(parts)
 
 
 def encoder_of(spark, tokenizer: str, finder: Callable[[], Callable[[str], list[str]]],

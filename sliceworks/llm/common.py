@@ -97,4 +97,4 @@ def int_lists(arrays: Sequence, kind=pa.int32()) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     flat = np.concatenate(arrays) if len(arrays) else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                    pa.array(flat.astype(kind.to_pandas_dtype()), kind))
+                                    pa.array(flat.astype(kind.to_pandas_dtype(), copy=False), kind))

@@ -55,11 +55,18 @@ def word_runs() -> Callable[[str], list[str]]:
     return runs
 
 
-def boundaries(ids: np.ndarray, ends: np.ndarray, stride: int, cut: float, hard: float):
-    """Places at which a document may be cut and their penalties; its end comes last, at none."""
+def boundaries(ids: np.ndarray, ends: np.ndarray, stride: int, cut: float, hard: float,
+               near: int = 16):
+    """Places at which a document may be cut and their penalties; its end comes last, at none.
+
+    Of the sentences that end in the same ``near`` tokens, counted from the document's start, one is
+    a place; that is fine enough for windows of thousands.
+    """
 
     n = len(ids)
     places = np.flatnonzero(ends[ids[:n - 1]]) + 1
+    stretch = places // near
+    places = places[:-1][stretch[1:] != stretch[:-1]] if len(places) > 1 else places
     places = np.append(places[places < n - 1], n)  # the end token stays with the last sentence
     gaps = np.diff(places, prepend=0)
     if gaps.max() <= stride:
@@ -198,6 +205,7 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
         ends[[vocabulary[t] for e in SENTENCE_ENDS for t in (e, e + WORD_END)
               if t in vocabulary]] = True
         packer = Packer(length, ends, stretch * length, min(stride, length), cut, hard)
+        end = np.array([end_id], dtype="<i4").tobytes()
         first = TaskContext.get().partitionId() << 40
         pieces: list[tuple] = []
 
@@ -211,8 +219,8 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
 
         for rows in slices(batches, 64):
             for k, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.encode(t), dtype="<u4").astype(np.int64)
-                pieces += packer.add(k, np.append(ids, end_id))
+                ids = np.frombuffer(encoder.encode(t) + end, dtype="<i4")
+                pieces += packer.add(k, ids)
             if len(pieces) > 1000:
                 yield batch()
                 pieces.clear()

@@ -79,9 +79,9 @@ def with_crc(pieces: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(batch.schema.names.index("ids"))
             sizes = lists.value_lengths().to_numpy()
-            flat = lists.flatten().to_numpy().astype("<u4")
+            flat = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(), dtype="<i4")).cast("B")
             ends = np.cumsum(sizes)
-            crc = [zlib.crc32(flat[e - n:e].tobytes()) for e, n in zip(ends, sizes, strict=True)]
+            crc = [zlib.crc32(flat[4 * (e - n):4 * e]) for e, n in zip(ends, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.names.index(f.name)) for f in fields]
                 + [pa.array(crc, pa.int64())], names=schema.names)
