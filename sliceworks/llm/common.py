@@ -62,8 +62,8 @@ def arrow_array(values, kind: pa.DataType) -> pa.Array:
 def add_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[str, str]],
                 make: Callable[..., Sequence], rows: int = ROWS,
                 start: Callable[[], Callable[..., Sequence]] | None = None,
-                drop: Sequence[str] = ()) -> DataFrame:
-    """``df`` with columns that ``make`` computes from lists of the input columns.
+                drop: Sequence[str] = (), arrow: bool = False) -> DataFrame:
+    """``df`` with columns that ``make`` computes from lists (``arrow``: arrays) of the input columns.
 
     A new column takes the place of an input column of the same name. ``start``, if given, is
     called once in each task and returns the function to use in place of ``make``.
@@ -81,7 +81,8 @@ def add_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = start() if start else make
         for batch in slices(batches, rows):
-            found = function(*[batch.column(n + k).to_pylist() for k in range(len(values))])
+            given = [batch.column(n + k) for k in range(len(values))]
+            found = function(*(given if arrow else [c.to_pylist() for c in given]))
             yield pa.RecordBatch.from_arrays(
                 batch.columns[:n] + [arrow_array(x, t) for x, t in zip(found, kinds, strict=True)],
                 names=labels)

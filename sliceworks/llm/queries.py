@@ -151,12 +151,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.PATTERN).drop("text", "ends")
     decoded = byte_bpe.decode_bytes(encoded, ranks)
 
-    def digests(lists):
-        arrays = [np.array(x, dtype="<u4") for x in lists]
+    def digests(lists: pa.Array):
+        arrays = [x.astype("<u4") for x in byte_bpe.id_arrays(lists)]
         return [len(x) for x in arrays], [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays]
 
     return add_columns(decoded, ["ids"], [("n_tokens", "bigint"), ("ids_sha256", "string")],
-                       digests).select(
+                       digests, arrow=True).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
