@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sliceworks.functions.tokens import strip_blanks
+
 
 class NormalizedBits(NamedTuple):
     """Three columns: aligned text (null on an issue), padding flag, issue name (null if none)."""
@@ -24,14 +26,14 @@ def normalize_bits(
     The tests run in a fixed order: missing, empty, bad length, non-binary, too long, too short.
     """
 
-    text = F.trim(bits)
-    size, expected = F.length(text), length.cast("int")
+    text = strip_blanks(bits)
+    size, expected = F.length(text), length.try_cast("int")
     short_issue = F.lit(None) if align else F.lit(f"bitstring_shorter_than_{length_name}")
     issue = (
         F.when(bits.isNull(), "missing_bitstring")
         .when(text == "", "empty_bitstring")
         .when(expected.isNull() | (expected <= 0), f"invalid_{length_name}")
-        .when(~text.rlike("^[01]+$"), "non_binary_bitstring")
+        .when(~text.rlike(r"\A[01]+\z"), "non_binary_bitstring")
         .when(size > expected, f"bitstring_longer_than_{length_name}")
         .when(size < expected, short_issue)
     )
@@ -62,7 +64,7 @@ def bit_errors(observed: Column, ideal: Column) -> Column:
         places, F.lit(0), lambda sum_, i: sum_ + differing(piece(observed, i), piece(ideal, i)))
     pairs = F.zip_with(F.split(observed, ""), F.split(ideal, ""), lambda a, b: a != b)
     by_character = F.size(F.filter(pairs, lambda unequal: unequal))
-    binary = "^[01]+$"
+    binary = r"\A[01]+\z"
     return F.when(observed.isNull() | ideal.isNull() | (F.length(observed) != F.length(ideal)),
                   F.lit(None).cast("int")).when(
         observed.rlike(binary) & ideal.rlike(binary),

@@ -172,7 +172,8 @@ def grouped_search(
 
     assigned = grouped_folds(train, group, folds)
     rows = train.withColumn(target, F.col(target).cast("double")).join(
-        assigned.select(group, "fold"), group).select(
+        assigned.select(F.col(group).alias("_group_of_fold"), "fold"),
+        F.col(group).eqNullSafe(F.col("_group_of_fold"))).select(
         *dict.fromkeys([*features, target, "fold"]))
     learners = {spec.name: spec.build() for spec in specs}
     maps = {spec.name: _param_maps(learners[spec.name], spec.grid) for spec in specs}

@@ -67,8 +67,7 @@ def assert_split_integrity(
     if leaks or repeated:
         pairs = {f"{r['left_split']}__{r['right_split']}": r["count"] for r in leaks}
         ids = {r["split_name"]: r["duplicate_rows"] for r in repeated}
-        raise ValueError("Grouped split integrity validation failed. "
-                         f"Overlapping groups: {pairs}. Duplicate row ids: {ids}.")
+        raise ValueError(f"Duplicate ids within splits {ids}; groups in two splits at once {pairs}.")
     return audit
 
 

@@ -104,7 +104,7 @@ class PositiveLengthRule:
 
     def issue(self) -> Column:
         value = nan_to_null(F.col(self.column).cast("double"))
-        whole = value.cast("long")
+        whole = value.try_cast("long")
         return F.when(
             whole.isNull() | (whole <= 0),
             _issue(f"invalid_{self.column}", self.column, "> 0", value, "numeric_range"),
@@ -148,7 +148,7 @@ class BitStringRule:
 
     def issue(self) -> Column:
         problem = self._normalized().issue
-        length = F.coalesce(F.col(self.length_column).cast("int").cast("string"), F.lit("None"))
+        length = F.coalesce(F.col(self.length_column).try_cast("double").try_cast("int").cast("string"), F.lit("None"))
         condition = F.concat(
             F.lit(f"binary string with length <= {self.length_column} ("), length, F.lit(")")
         )

@@ -104,6 +104,8 @@ def split_stratified(
     """
 
     require_columns(df, [*id_columns, label])
+    if not df.filter(F.col(label).isNull()).isEmpty():
+        raise ValueError(f"Label column {label!r} has rows without a value; drop or fill them.")
     text = F.col(label).cast("string")
     # one row per class
     counts = {row["label"]: row["n"] for row in
@@ -299,4 +301,6 @@ def with_folds(
     name = fresh_name(df, "fold")
     assigned = grouped_folds(df, group, folds, seed=seed, label=label).select(
         F.col(group), F.col("fold").alias(name))
-    return df.join(assigned, group)
+    key = fresh_name(df, "group_of_fold")
+    assigned = assigned.withColumnRenamed(group, key)  # rows without a group are a group too
+    return df.join(assigned, F.col(group).eqNullSafe(F.col(key))).drop(key)

@@ -37,7 +37,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def bits(column: str | Column, width: int | None = None) -> Column:
-    """Binary text of an integer, zero-padded if a width is given."""
+    """Binary text of an integer, zero-padded to a width if shorter; never cut."""
 
     text = F.bin(column)
-    return F.lpad(text, width, F.lit("0")) if width else text
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0")) if width else text

@@ -13,14 +13,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Columns a result table may have at most.
-WIDEST_TABLE = 100
+# One field after its comma: quoted, quotes doubled, or plain.
+FIELD = r',(?:"((?:[^"]|"")*)"|([^,]*))'
 
 
 def _cells(line: Column) -> Column:
-    schema = ", ".join(f"c{i} string" for i in range(WIDEST_TABLE))
-    row = F.from_csv(line, F.lit(schema), {"escape": '"'})
-    return F.array(*[row[f"c{i}"] for i in range(WIDEST_TABLE)])
+    """The fields of a line in their places, however many; an empty one that is not quoted is null."""
+
+    quoted, plain = (F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD), F.lit(k))
+                     for k in (1, 2))
+    text = lambda q, p: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).when(p != "", p)
+    return F.zip_with(quoted, plain, text)
 
 
 def read_texts(spark: SparkSession, pattern: str) -> DataFrame | None:
@@ -56,10 +59,11 @@ def scan_tables(spark: SparkSession, root: str, file_name: str) -> DataFrame | N
         F.get(lines, 0).alias("_head"),
         F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("line_number", "_line"),
     )
-    head = F.filter(_cells(F.col("_head")), lambda x: x.isNotNull())
-    body = F.slice(_cells(F.col("_line")), F.lit(1), F.size("_columns"))
-    return rows.withColumn("_columns", head).select(
-        "run_root", "run_name", "line_number", F.map_from_arrays("_columns", body).alias("cells"))
+    # a column without a name keeps its place while names and cells are matched, then goes
+    named = rows.withColumn("_columns", _cells(F.col("_head"))).withColumn(
+        "_pairs", F.filter(F.arrays_zip(F.col("_columns").alias("name"), _cells(F.col("_line")).alias("cell")),
+                           lambda pair: pair["name"].isNotNull()))
+    return named.select("run_root", "run_name", "line_number", F.map_from_entries("_pairs").alias("cells"))
 
 
 def scan_json(spark: SparkSession, root: str, file_name: str, schema: str) -> DataFrame | None:
