@@ -32,7 +32,7 @@ RUN = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: ASCII signs but the apostrophe, with which contractions begin; the pattern takes them together.
 SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Longest run that is kept, and runs kept by a worker.
-KEPT_LENGTH, KEPT_RUNS = 64, 200_000
+KEPT_LENGTH, KEPT_RUNS = 64, 150_000
 
 
 def byte_characters() -> list[str]:
@@ -203,28 +203,24 @@ def token_texts(pieces: Sequence[bytes]) -> list[str]:
     return [decoder.decode(piece) for piece in pieces]
 
 
-def decode_bytes(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded",
-                 split: str = "n_split") -> DataFrame:
-    """Adds the bytes that ids stand for and the number of tokens that end inside a character.
-
-    The bytes are UTF-8 whenever the ids are those of a text; part of a text's ids may begin or
-    end inside a character, which is why bytes are returned. Null ids give no bytes.
-    """
+def decoder(spark, ranks_path: str) -> Callable[[], Callable[[pa.Array], tuple]]:
+    """What makes, in a task, the function from lists of ids to their bytes and the number of tokens
+    that end inside a character."""
 
     characters = byte_characters()
     spelt = ["".join(characters[b] for b in token) for token in read_ranks(ranks_path)]
-    sent = df.sparkSession.sparkContext.broadcast(json.dumps(spelt))
+    sent = spark.sparkContext.broadcast(json.dumps(spelt))
+    key = f"decoder_{zlib.crc32(' '.join(spelt).encode())}"
 
-    def start():
-        def make():
-            table = decode_table(json.loads(sent.value))
-            # a token ends inside a character if the byte that follows continues one
-            follows = np.array([(t[0] & 0xC0) == 0x80 for t in table])
-            return table, follows
+    def make():
+        table = decode_table(json.loads(sent.value))
+        # a token ends inside a character if the byte that follows continues one
+        return table, np.array([(t[0] & 0xC0) == 0x80 for t in table])
 
-        table, follows = worker_state(f"decode_{len(spelt)}_{hash(tuple(spelt[-5:]))}", make)
+    def start():
+        table, follows = worker_state(key, make)
 
-        def decode(lists: pa.Array):
+        def decode(lists: pa.Array) -> tuple[pa.Array, list[int]]:
             out, cut = [], []
             for x in id_arrays(lists):
                 out.append(b"".join(map(table.__getitem__, x.tolist())))
@@ -233,7 +229,19 @@ def decode_bytes(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "d
 
         return decode
 
-    return add_columns(df, [ids], [(out, "binary"), (split, "bigint")], None, start=start, arrow=True)
+    return start
+
+
+def decode_bytes(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded",
+                 split: str = "n_split") -> DataFrame:
+    """Adds the bytes that ids stand for and the number of tokens that end inside a character.
+
+    The bytes are UTF-8 whenever the ids are those of a text; part of a text's ids may begin or
+    end inside a character, which is why bytes are returned. Null ids give no bytes.
+    """
+
+    return add_columns(df, [ids], [(out, "binary"), (split, "bigint")], None, arrow=True,
+                       start=decoder(df.sparkSession, ranks_path))
 
 
 def id_arrays(lists: pa.Array) -> list[np.ndarray]:
