@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import codecs
 import json
+import os
 import re
 import zlib
 from array import array
@@ -31,7 +32,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 RUN = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: ASCII signs but the apostrophe, with which contractions begin; the pattern takes them together.
 SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-#: Longest run that is kept, and runs kept by a worker.
+#: Longest run that is kept, and runs that a worker keeps of each of two ages, unless told otherwise.
 KEPT_LENGTH, KEPT_RUNS = 64, 150_000
 
 
@@ -71,88 +72,76 @@ def tokenizer_json(tokens: Sequence[bytes], pattern: str) -> str:
     return tokenizer.to_str()
 
 
-class RunEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by runs.
+class RunEncoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit integers, by runs, which are its keys.
 
     ``find`` must cut a text so that the ids of the text are those of its runs in order. Runs of Latin
-    letters (in lower case, if ``lower``) and then signs are two pieces, which go to the merges without
-    the tokenizer's other steps. Ids of short runs are kept; when too many are, the ones not used since
-    the last such time go.
+    letters (put in lower case, if ``lower``) and then signs are two pieces, which go to the merges
+    without the tokenizer's other steps. Ids of short runs and of their two pieces are kept; when too
+    many are, the ones not used since the last such time go. A task has one core, so the tokenizer
+    starts no threads.
     """
 
-    def __init__(self, tokenizer: str, find: Callable[[str], list[str]], lower: bool) -> None:
+    def __init__(self, tokenizer: str, find: Callable[[str], list[str]], lower: bool,
+                 kept: int = KEPT_RUNS) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
+        self.kept = kept
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.find = Tokenizer.from_str(tokenizer), find
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.merge, self.lower = self.tokenizer.model.tokenize, lower
         self.characters = byte_characters()
-        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def ids(self, piece: str) -> bytes:
-        """Ids of one piece."""
-
-        if piece.isascii() and piece[0] != " ":
-            shown = piece
-        else:
-            shown = "".join(map(self.characters.__getitem__, piece.encode()))
-        return array("I", [t.id for t in self.merge(shown)]).tobytes()
-
-    def plain(self, run: str) -> str | None:
-        """The letters of a run of Latin letters and then signs; the first may be a blank."""
-
-        letters = run.rstrip(SIGNS)
-        word = letters[1:] if letters[:1] == " " else letters
-        if word.isalpha() and (word.isascii() or max(word) <= "\xff") and (
-                not self.lower or word.islower()):
-            return letters
-        return None
-
-    def fill(self, runs: set[str]) -> list[str]:
-        """Makes runs known that are not; returns those that are too long to be kept."""
-
-        new, old, plain, rest = self.new, self.old, self.plain, []
-        for run in runs:
-            if (ids := old.get(run)) is not None:
-                new[run] = ids
-            elif len(run) <= KEPT_LENGTH and (letters := plain(run)):
-                signs = run[len(letters):]
-                new[run] = self.ids(letters) + (self.ids(signs) if signs else b"")
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of one piece, kept from then on."""
+
+        ids = self.get(piece) or self.old.get(piece)
+        if ids is None:
+            if piece.isascii() and piece[0] != " ":
+                shown = piece
+            else:
+                shown = "".join(map(self.characters.__getitem__, piece.encode()))
+            ids = array("I", [t.id for t in self.merge(shown)]).tobytes()
+        self[piece] = ids
+        return ids
+
+    def __missing__(self, run: str) -> bytes:
+        """Ids of a run that is not among the keys; kept if it is short."""
+
+        if (ids := self.old.get(run)) is None:
+            letters = run.rstrip(SIGNS)
+            word = letters[1:] if letters[:1] == " " else letters
+            if len(run) <= KEPT_LENGTH and word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                ids = self.piece_ids(letters.lower() if self.lower else letters)
+                if len(letters) < len(run):
+                    ids += self.piece_ids(run[len(letters):])
             else:
-                rest.append(run)
-        if not rest:
-            return rest
-        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        new.update((run, array("I", e.ids).tobytes()) for run, e in zip(rest, found, strict=True))
-        return [run for run in rest if len(run) > KEPT_LENGTH]
+                found = self.tokenizer.encode(run, add_special_tokens=False)
+                ids = array("I", found.ids).tobytes()
+        if len(run) <= KEPT_LENGTH:
+            self[run] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.new) > KEPT_RUNS:
-            self.new, self.old = {}, self.new
-        runs, new = self.find(text), self.new
-        parts = list(map(new.get, runs))
-        if None not in parts:
-            return b"".join(parts)
-        missing = [k for k, part in enumerate(parts) if part is None]
-        long = self.fill({runs[k] for k in missing})
-        for k in missing:
-            parts[k] = new[runs[k]]
-        for run in long:
-            del new[run]
-        return b"".join(parts)
+        if len(self) > self.kept:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, self.find(text)))
 
 
 def encoder_of(spark, tokenizer: str, finder: Callable[[], Callable[[str], list[str]]],
-               lower: bool) -> Callable[[], RunEncoder]:
+               lower: bool, kept: int = KEPT_RUNS) -> Callable[[], RunEncoder]:
     """What makes the encoder in a worker; the tokenizer, a fixed file, is sent once."""
 
     sent = spark.sparkContext.broadcast(tokenizer)
-    key = f"encoder_{zlib.crc32(tokenizer.encode())}_{lower}"
-    return lambda: worker_state(key, lambda: RunEncoder(sent.value, finder(), lower))
+    key = f"encoder_{zlib.crc32(tokenizer.encode())}_{lower}_{kept}"
+    return lambda: worker_state(key, lambda: RunEncoder(sent.value, finder(), lower, kept))
 
 
 def run_finder() -> Callable[[str], list[str]]:

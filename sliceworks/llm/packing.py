@@ -38,6 +38,8 @@ from sliceworks.llm.common import column, int_lists, slices, word_finder
 #: Tokens with which sentences end, without the mark of a word's end.
 SENTENCE_ENDS = (".", "!", "?", "...", "!!", "??", "!?", ".\"", ".)")
 WORD_END = "</w>"
+#: Words that a worker keeps with their ids, of each of two ages: at most 200 MB in all.
+KEPT_WORDS = 500_000
 
 
 def word_runs() -> Callable[[str], list[str]]:
@@ -179,21 +181,23 @@ class Packer:
 
 def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text",
          length: int = 4096, end_id: int = 2, stretch: int = 64, stride: int = 32,
-         cut: float = 2.0, hard: float = 6.0) -> DataFrame:
+         cut: float = 2.0, hard: float = 6.0, as_bytes: bool = False) -> DataFrame:
     """The pieces of the windows: key, ``start`` in the document, ``length``, ``ids``,
     ``doc_tokens``, ``sequence_id`` and ``offset`` in the window.
 
     ``stretch`` windows are worked off at a time; ``stride`` is the most tokens without a
-    boundary; ``cut`` and ``hard`` are the penalties, in tokens of padding.
+    boundary; ``cut`` and ``hard`` are the penalties, in tokens of padding. ``as_bytes`` gives the
+    ids as little-endian unsigned 32-bit integers in one binary value in place of an array.
     """
 
     with open(tokenizer_path, encoding="utf-8") as file:
         description = file.read()
-    make = encoder_of(df.sparkSession, description, word_runs, True)
+    make = encoder_of(df.sparkSession, description, word_runs, True, KEPT_WORDS)
     kind = df.schema[key].dataType
+    ids_field = T.StructField("ids", T.BinaryType() if as_bytes else T.ArrayType(T.IntegerType()))
     schema = T.StructType([
         T.StructField(key, kind), T.StructField("start", T.LongType()),
-        T.StructField("length", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("length", T.LongType()), ids_field,
         T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()),
         T.StructField("offset", T.LongType())])
     arrow_key = to_arrow_type(kind)
@@ -213,7 +217,8 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
             keys, starts, ids, total, windows, offsets = zip(*pieces, strict=True)
             return pa.RecordBatch.from_arrays([
                 pa.array(keys, arrow_key), pa.array(starts, pa.int64()),
-                pa.array([len(x) for x in ids], pa.int64()), int_lists(ids),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([x.tobytes() for x in ids], pa.binary()) if as_bytes else int_lists(ids),
                 pa.array(total, pa.int64()), pa.array([first + w for w in windows], pa.int64()),
                 pa.array(offsets, pa.int64())], names=schema.names)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,29 +63,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in windows of 4096 tokens."""
 
     pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"),
-                          public_tokenizers.path("word_bpe_49k.json"))
-    return with_crc(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                                   "sequence_id", "offset")
-
-
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """Pieces with the CRC32 of their ids as little-endian unsigned numbers in place of the ids."""
-
-    fields = [f for f in pieces.schema.fields if f.name != "ids"]
-    schema = T.StructType([*fields, T.StructField("ids_crc32", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.schema.names.index("ids"))
-            sizes = lists.value_lengths().to_numpy()
-            flat = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(), dtype="<i4")).cast("B")
-            ends = np.cumsum(sizes)
-            crc = [zlib.crc32(flat[4 * (e - n):4 * e]) for e, n in zip(ends, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.names.index(f.name)) for f in fields]
-                + [pa.array(crc, pa.int64())], names=schema.names)
-
-    return pieces.mapInArrow(run, schema)
+                          public_tokenizers.path("word_bpe_49k.json"), as_bytes=True)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
 
 
 @query("op4_topk_search", """
