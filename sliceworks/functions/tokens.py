@@ -135,9 +135,13 @@ def parse_tokens(text: Column, delimiters: Sequence[str]) -> Column:
 
 
 def plain_token(name: str) -> str:
-    """The normal form of a token given as a Python literal, for comparing with parsed tokens."""
+    """The normal form of a token given as a Python literal, as :func:`normalize_tokens` has it."""
 
-    return name.strip().lower().strip("\"'`")
+    plain = name.strip().lower().strip("\"'`")
+    filled = [part.strip() for part in plain.split(":") if part.strip()]
+    last = filled[-1] if ":" in plain and filled else plain
+    found = re.search(TOKEN_NAME, last)
+    return found.group() if found else last
 
 
 def count_token(tokens: Column, name: str) -> Column:

@@ -48,10 +48,14 @@ def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def order_key(seed: int, *columns: str | Column) -> Column:
-    """Pseudo-random but repeatable order of rows: md5 of the seed and the identifying columns."""
+    """Pseudo-random but repeatable order of rows: md5 of the seed and the identifying columns.
 
-    parts = [F.col(c) if isinstance(c, str) else c for c in columns]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    Separators inside values are escaped and a null is marked, so that different ids differ.
+    """
+
+    parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    escaped = [F.coalesce(F.regexp_replace(p, r"([\\|])", r"\\$1"), F.lit("\\N")) for p in parts]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *escaped))
 
 
 def _prefix(key: str) -> Column:
@@ -154,7 +158,8 @@ def with_running_totals(
     """Sum of each amount over the rows *before* this one in the order of a double column.
 
     ``rows`` has one row per (``by``, ``order``). Buckets are cut at approximate quantiles; the
-    cuts only balance the work, the totals are exact. Up to ``limit`` rows need no buckets.
+    cuts only balance the work, the totals are exact. Up to ``limit`` rows need no buckets. At
+    every size a null comes first and NaN last, after infinity.
     """
 
     by = list(by)
@@ -169,7 +174,9 @@ def with_running_totals(
             for amount, name in amounts.items()})
     edges = sorted({cut for cut in cuts or [] if math.isfinite(cut)})
     splits = [-math.inf, *edges, math.inf] if edges else [-math.inf, 0.0, math.inf]
-    keyed = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(rows)
+    keyed = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket",
+                       handleInvalid="keep").transform(rows)
+    keyed = keyed.withColumn("_bucket", F.when(F.col(order).isNull(), -1.0).otherwise(F.col("_bucket")))
     running = Window.partitionBy(*by).orderBy("_bucket")
     offsets = keyed.groupBy(*by, "_bucket").agg(
         *[F.sum(a).alias(f"_sum_{a}") for a in amounts]
@@ -225,14 +232,15 @@ def _narrowed_quantiles(
     result = []
     for place in places:
         low, high = at_rank[math.floor(place)], at_rank[math.ceil(place)]
-        result.append(low + (high - low) * (place - math.floor(place)))
+        share = place - math.floor(place)
+        result.append(low if share == 0 or low == high else (1 - share) * low + share * high)
     return result
 
 
 def values_at_ranks(
     values: DataFrame, ranks: Sequence[int], total: int, limit: int = SINGLE_TASK_ROWS
 ) -> dict[int, float]:
-    """The values at 0-based ranks of column ``v``, exactly.
+    """The values at 0-based ranks of column ``v``, exactly; infinities are values, NaN is the largest.
 
     Each pass asks a quantile sketch for bounds around every rank, then *counts* below, at and
     between the bounds, so a wrong sketch costs a pass, never the answer. A value held by a
@@ -241,13 +249,14 @@ def values_at_ranks(
 
     v = F.col("v")
     found: dict[int, float] = {}
-    # rank -> (open lower bound, open upper bound, rows at or below the lower bound, rows inside)
-    open_ranges = {r: (-math.inf, math.inf, None, total) for r in ranks}
+    # rank -> (open lower bound, open upper bound, rows at or below the lower bound, rows inside);
+    # no bound is None
+    open_ranges: dict[int, tuple] = {r: (None, None, None, total) for r in ranks}
     slack = 5e-4
 
-    def inside(low: float, high: float) -> Column:
-        return ((v > low) if low > -math.inf else F.lit(True)) & (
-            (v < high) if high < math.inf else F.lit(True)
+    def inside(low: float | None, high: float | None) -> Column:
+        return ((v > low) if low is not None else F.lit(True)) & (
+            (v < high) if high is not None else F.lit(True)
         )
 
     while pending := {r: s for r, s in open_ranges.items() if r not in found and s[3] > limit}:
@@ -267,16 +276,17 @@ def values_at_ranks(
         for i, (r, (low, high, below, count)) in enumerate(pending.items()):
             a, b = bounds[str(r)]
             under, at_a, between, at_b = row[4 * i: 4 * i + 4]
+            one_bound = a == b or (math.isnan(a) and math.isnan(b))
             if r < under:
                 open_ranges[r] = (low, a, below or 0, under - (below or 0))
             elif r < under + at_a:
                 found[r] = a
             elif r < under + at_a + between:
                 open_ranges[r] = (a, b, under + at_a, between)
-            elif a != b and r < under + at_a + between + at_b:
+            elif not one_bound and r < under + at_a + between + at_b:
                 found[r] = b
             else:
-                past = under + at_a + between + (at_b if a != b else 0)
+                past = under + at_a + between + (0 if one_bound else at_b)
                 upper = (below or 0) + count
                 open_ranges[r] = (b, high, past, upper - past)
     rest = [r for r in ranks if r not in found]

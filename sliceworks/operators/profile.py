@@ -162,11 +162,17 @@ def column_profile(df: DataFrame) -> DataFrame:
     """
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    # long texts are told apart by their digest, so that they need not be shuffled
-    text = lambda c: normalized(df, c).cast("string")
-    as_text = df.select(*[
-        F.when(F.length(text(c)) > 64, F.concat(F.lit("md5:"), F.md5(text(c)))).otherwise(text(c))
-        .alias(c) for c in df.columns])
+
+    def text(field: T.StructField) -> Column:
+        # texts and nested values are told apart by their digest, so that they need not be shuffled
+        value = normalized(df, field.name)
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            value = F.when(value == 0, F.lit(0.0)).otherwise(value)  # -0.0 is no value of its own
+        if isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType)):
+            return value.cast("string")
+        return F.md5(value.cast("string"))
+
+    as_text = df.select(*[text(f).alias(f.name) for f in df.schema])
     counts = (
         as_text.unpivot([], df.columns, "column", "value")
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -41,29 +41,34 @@ def infer_format(path: str) -> str:
     raise ValueError(f"Cannot infer a table format from {path!r}.")
 
 
-def _csv_columns(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.csv(path, header=True).columns
+def _csv_columns(spark: SparkSession, path: str, multiline: bool) -> list[str]:
+    return spark.read.csv(path, header=True, escape='"', multiLine=multiline).columns
 
 
 def read_table(
     spark: SparkSession, path: str, *, file_format: str = "auto",
     string_columns: Sequence[str] = (), schema: T.StructType | None = None,
-    required: Sequence[str] = (),
+    required: Sequence[str] = (), multiline: bool = False,
 ) -> DataFrame:
     """Read CSV or Parquet. CSV types come from the schema; without one Spark infers them,
-    except that ``string_columns`` stay text. Missing markers in text become null."""
+    except that ``string_columns`` stay text. Missing markers in text become null.
+
+    ``multiline`` keeps quoted line breaks inside their field, as in the quarantine files of
+    :func:`write_prepared`; such a file is read by one task, others are split.
+    """
 
     chosen = infer_format(path) if file_format == "auto" else file_format
     try:
         if chosen == "parquet":
             table = spark.read.parquet(path)
         elif chosen == "csv":
-            reader = spark.read.options(header=True, nullValue="", escape='"')
+            reader = spark.read.options(
+                header=True, nullValue="", escape='"', multiLine=multiline)
             if schema is not None:
                 # the file's header decides the order of the columns
                 by_name = {f.name: f for f in schema}
                 fields = [by_name.get(c, T.StructField(c, T.StringType()))
-                          for c in _csv_columns(spark, path)]
+                          for c in _csv_columns(spark, path, multiline)]
                 table = reader.schema(T.StructType(fields)).csv(path)
             elif string_columns:
                 inferred = reader.csv(path, inferSchema=True).schema

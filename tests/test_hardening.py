@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from sliceworks.functions.bits import normalize_bits
+from sliceworks.functions.tokens import count_token, parse_tokens, plain_token, share_in_set
+from sliceworks.operators.ordering import exact_quantiles, order_key, with_running_totals
+from sliceworks.operators.profile import column_profile
 from sliceworks.operators.rules import BitStringRule, PositiveLengthRule
 from sliceworks.operators.splits import split_stratified, with_folds
 from sliceworks.plans.registry import bits
 from sliceworks.sources.runs import scan_tables
+from sliceworks.sources.tables import read_table
 
 
 def test_lengths_that_are_no_whole_numbers(spark):
@@ -54,3 +60,52 @@ def test_wide_and_nameless_columns(spark, tmp_path):
     cells = scan_tables(spark, str(tmp_path / "family"), "wide.csv").first().cells
     assert len(cells) == 120 and cells["c0"] == "0" and cells["c118"] == "118"
     assert cells["c119"] == 'x, "y"'
+
+
+def test_different_ids_have_different_keys(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("x", None), ("\\N", "x"),
+                                ("a\\", "|b"), ("a", "\\|b"), ("", "x")], "a string, b string")
+    assert df.select(order_key(1, "a", "b")).distinct().count() == 8
+    assert spark.range(1).select(order_key(42, "id") == F.md5(F.lit("42|0"))).first()[0]
+
+
+def test_odd_scores_are_ordered_alike_at_every_size(spark):
+    scores = [None, float("-inf"), -1.0, 0.5, 2.0, 7.0, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(s, 10 ** k) for k, s in enumerate(scores)], "s double, n long")
+    for limit in (5, 10**6):
+        found = with_running_totals(rows, "s", {"n": "before"}, buckets=3, limit=limit).collect()
+        assert {r.n: r.before for r in found} == {10 ** k: int("0" + "1" * k) for k in range(8)}
+
+
+def test_quantiles_of_infinite_values_are_alike_at_every_size(spark):
+    values = [float("-inf")] * 3 + [float(x) for x in range(40)] + [float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    wanted = [0.0, 0.03, 0.06, 0.5, 0.61, 0.97, 1.0]
+    small, large = (exact_quantiles(df, {"x": wanted}, limit=n)["x"] for n in (10**6, 5))
+    assert small[:5] == pytest.approx(large[:5]) and large[0] == float("-inf")
+    assert all(a == b or (math.isnan(a) and math.isnan(b)) for a, b in zip(small[5:], large[5:]))
+
+
+def test_names_are_written_as_tokens_may_be(spark):
+    cases = ["lib:CX", "CX(q0)", " 'H' ", "a:b:", "12", "x::", "Rz(0.5)"]
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select(
+        "t", parse_tokens(F.col("t"), [";"]).alias("p")).collect()
+    assert {r.t: r.p for r in rows} == {c: [plain_token(c)] for c in cases}
+    tokens = parse_tokens(F.lit("cx; lib:CX; h"), [";"])
+    row = spark.range(1).select(count_token(tokens, "lib:CX"), share_in_set(tokens, ["CX(q0)"])).first()
+    assert row[0] == 2 and row[1] == pytest.approx(2 / 3)
+
+
+def test_both_zeros_are_one_value(spark):
+    df = spark.createDataFrame([(0.0, "a" * 70), (-0.0, "a" * 71), (1.0, "b")], "x double, t string")
+    found = {r.column: r.distinct_count for r in column_profile(df).collect()}
+    assert found == {"x": 2, "t": 3}
+
+
+def test_quoted_line_breaks_stay_in_their_field(spark, tmp_path):
+    path = str(tmp_path / "broken.csv")
+    texts = ["one\ntwo", 'say ""x""', "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1).write.csv(
+        path, header=True, escape='"')
+    found = read_table(spark, path, multiline=True, string_columns=["t"]).orderBy("k").collect()
+    assert [r.t for r in found] == texts
