@@ -1,10 +1,12 @@
 """Removal of repeated word sequences with prefix-partitioned suffix trees.
 
-A suffix is a word position of a document with the 20 words from there on, spelt in four symbols, each
-the hash of five words. Suffixes whose prefixes fall into one group are sorted, which is the tree's
-order; where neighbours agree in all four symbols is an internal node as deep as a window, and its
-leaves are a repeat. Groups are of bounded size: counts by the first symbol are taken over all
-documents, rare prefixes share a group, and a frequent prefix is split by ten or all twenty words.
+A suffix is a word position of a document with the 20 words from there on, spelt in two numbers of 64
+bits: the hash of its first five words and one of all twenty. Suffixes whose prefixes fall into one
+group are sorted by both; where neighbours agree in both is a node as deep as a window, and its leaves
+are a repeat. Windows that differ in one word differ in a number unless the 64-bit hashes of the two
+words are equal; other different windows are taken for equal with a chance of 2^-64 a pair at most.
+Groups are of bounded size: counts by the first five words are taken over all documents, rare prefixes
+share a group, and a frequent prefix is split by all twenty words.
 
 Only suffixes that can repeat enter the trees. Each window has an anchor, the least of the hashes of
 its five-word sequences, so that equal windows have equal anchors; a first pass finds the anchors that
@@ -76,6 +78,18 @@ def symbols(hashes: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
+def whole_windows(found: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of all 20 words from each of these places, out of the 64 bits of its four symbols."""
+
+    mixed = found[at] * FACTORS[0]
+    for k in range(1, WINDOW // SYMBOL):
+        symbol = found[at + k * SYMBOL]
+        mixed += (symbol ^ (symbol >> np.uint64(31))) * FACTORS[k]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= FACTORS[4]
+    return mixed ^ (mixed >> np.uint64(29))
+
+
 def sliding(values: np.ndarray, size: int, function) -> np.ndarray:
     """Least or greatest of each ``size`` values in a row; ``size`` is a power of two."""
 
@@ -203,19 +217,16 @@ class BlockWindows:
             spot = np.searchsorted(anchors, least)
             at = np.flatnonzero(anchors[np.minimum(spot, len(anchors) - 1)] == least
                                 if len(anchors) else np.zeros(len(least), bool))
-            short = found >> np.uint64(40)
-            high.append(short[at] << np.uint64(24) | short[at + SYMBOL])
-            low.append(short[at + 2 * SYMBOL] << np.uint64(24) | short[at + 3 * SYMBOL])
+            high.append(found[at])
+            low.append(whole_windows(found, at))
             owner.append(np.full(len(at), rank, dtype=np.uint32))
             place.append(at)
         none = np.zeros(0, dtype=np.uint64)
         self.high, self.low = np.concatenate([none, *high]), np.concatenate([none, *low])
         self.owner = np.concatenate([none.astype(np.uint32), *owner])
         self.place = np.concatenate([none.astype(np.int64), *place])
-        first = (self.high >> np.uint64(36)).astype(np.int64)  # 12 bits of the first symbol
-        ways = split[first]
-        longer = np.where(ways > 16, self.high * FACTORS[0] ^ self.low * FACTORS[1], self.high * FACTORS[2])
-        self.group = base[first] + ((longer >> np.uint64(33)).astype(np.int64) % ways)
+        first = (self.high >> np.uint64(52)).astype(np.int64)  # 12 bits of the first symbol
+        self.group = base[first] + ((self.low >> np.uint64(33)).astype(np.int64) % split[first])
         self.sorted = np.lexsort((self.low, self.high, self.group))  # stable: earlier ones first
         h, lo, g = self.high[self.sorted], self.low[self.sorted], self.group[self.sorted]
         fresh = np.ones(len(h), dtype=bool)
@@ -274,9 +285,9 @@ def subtree(table: pa.Table) -> pa.Table:
         sizes.append(len(owner))
     high, low = np.concatenate(high), np.concatenate(low)
     order = np.lexsort((np.concatenate(ties), np.concatenate(ids), low, high))
-    depth = common_symbols(high[order], low[order])
+    high, low = high[order], low[order]
     later = np.zeros(len(order), dtype=bool)
-    later[order[1:]] = depth == WINDOW // SYMBOL
+    later[order[1:]] = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
     cuts = np.cumsum(sizes)[:-1]
     return pa.table([table["b"].combine_chunks(), table["g"].combine_chunks(),
                      pa.array([None] * len(sizes), pa.binary()),
@@ -284,17 +295,6 @@ def subtree(table: pa.Table) -> pa.Table:
                     names=["b", "g", "anchors", "bits"])
 
 
-def common_symbols(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of sorted neighbours: the depth of the node between them."""
-
-    half = np.uint64(24)
-    one = (high[1:] >> half) == (high[:-1] >> half)
-    two = high[1:] == high[:-1]
-    three = two & ((low[1:] >> half) == (low[:-1] >> half))
-    four = two & (low[1:] == low[:-1])
-    return one.astype(np.int64) + two + three + four
-
-
 def covered(places: np.ndarray, n: int) -> np.ndarray:
     """Which of n words lie in windows that start at these places."""
 

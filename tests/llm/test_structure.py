@@ -156,6 +156,27 @@ def test_substrings_of_few_words(spark, monkeypatch, seed):
     check_unrepeated(df, substrings.remove_repeats(df, key="id"), "id")
 
 
+@pytest.mark.parametrize("place", [9, 19])
+def test_substrings_tell_windows_of_one_other_word_apart(spark, place):
+    """Two words for which five-word sequences agree in 24 of 64 bits make no repeat."""
+
+    line = [f"common{k}" for k in range(20)]
+    begin, hashes = place // 5 * 5, substrings.WordHashes()
+    seen = {}
+    for k in range(100_000):
+        five = [*line[begin:place], f"name{k}", *line[place + 1:begin + 5]]
+        short = int(substrings.symbols(hashes.of(five))[0]) >> 40
+        if short in seen:
+            break
+        seen[short] = k
+    rows = [(n, " ".join([*line[:place], f"name{w}", *line[place + 1:]]))
+            for n, w in enumerate([seen[short], k, seen[short]])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    found = substrings.remove_repeats(df, key="id")
+    assert {r.id: r.n_removed for r in found.collect()} == {0: 0, 1: 0, 2: 20}
+    check_unrepeated(df, found, "id")
+
+
 def test_sharding(spark, documents, nothing):
     rows = sharding.shard_documents(documents, key="id").collect()
     texts = sorted((r.id is not None, r.id or 0, len((r.text or "").encode()) + 16,
