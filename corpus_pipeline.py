@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sliceworks.llm import packing, quality, simhash, substrings, toxicity
@@ -31,15 +31,10 @@ def civil_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates; once, if its row repeats."""
-
-    groups = simhash.near_duplicates(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        "doc_id", "fingerprint").distinct()
-    kept = docs.join(first.groupBy("doc_id").count().drop("count").withColumnRenamed(
-        "doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_row", F.row_number().over(once)).filter("_row = 1").select(*docs.columns)
+    """One document of each group of near-duplicates: that of the smallest id; see ``one_of_each``
+    for null and repeated ids."""
+
+    return simhash.one_of_each(docs)
 
 
 def unrepeated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,16 +227,43 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
 
 
+def rooted(rows: DataFrame, radius: int) -> DataFrame:
+    """Each fingerprint ``f`` once, with its least ``k`` and the root of its component."""
+
+    distinct = rows.groupBy("f").agg(F.min("k").alias("k"))
+    roots = components(links(distinct.select("f"), radius))
+    return written(distinct.join(roots, F.col("f") == F.col("v"), "left").select(
+        "f", "k", F.coalesce("root", "f").alias("root")), "components")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3,
+                radius: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each component: that of the smallest key, a null key only where there is no other;
+    of rows that share the key, that of the lowest hash of the text, then of the whole row.
+
+    A row is known by the two hashes, 128 bits, so null and repeated keys stay apart; copies of a row
+    are one. Choice and removal of copies combine on the map side.
+    """
+
+    columns = [column(c) for c in df.columns]
+    hashes = F.xxhash64(column(text)), F.xxhash64(F.lit(7), column(key).isNull(), *columns)
+    rows = written(add_fingerprints(
+        df.select(F.struct(column(key).isNull().alias("none"), column(key).alias("key"),
+                           hashes[0].alias("h"), hashes[1].alias("g")).alias("k"),
+                  column(text).alias("t")), "t", "f", size, seed).drop("t"), "fingerprints")
+    first = rooted(rows, radius).groupBy("root").agg(F.min("k").alias("k")).select("k.h", "k.g")
+    once = df.select(F.struct(*columns).alias("r"), hashes[0].alias("h"), hashes[1].alias("g")).groupBy(
+        "h", "g").agg(F.min("r").alias("r"))
+    return once.join(first, ["h", "g"], "left_semi").select("r.*")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3,
                     radius: int = 3, seed: int = 42) -> DataFrame:
     """Key, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest key reachable."""
 
     rows = written(add_fingerprints(df.select(column(key).alias("k"), column(text).alias("t")), "t",
                                     "f", size, seed).drop("t"), "fingerprints")
-    distinct = rows.groupBy("f").agg(F.min("k").alias("k"))
-    roots = components(links(distinct.select("f"), radius))
-    grouped = written(distinct.join(roots, F.col("f") == F.col("v"), "left").select(
-        "f", "k", F.coalesce("root", "f").alias("root")), "components")
+    grouped = rooted(rows, radius)
     lowest = written(grouped.groupBy("root").agg(F.min("k").alias("component_id")), "smallest")
     named = grouped.select("f", "root").join(lowest, "root").select("f", "component_id")
     return rows.join(named, "f").select(

@@ -258,6 +258,23 @@ def test_links_in_dense_buckets(spark, monkeypatch):
     assert len(set(zip(found, plain, strict=True))) == len(set(plain)) == len(set(found))
 
 
+def test_pipeline_keeps_one_document_of_each_component(spark):
+    """Null ids of unrelated texts stay apart, and so do the texts of a repeated id."""
+
+    dice = random.Random(3)
+    texts = [" ".join(f"w{dice.randrange(10_000)}" for _ in range(60)) for _ in range(6)]
+    a, b, c, d, e, f = texts
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "x"), (None, b, "y"),  # of null ids only
+            (7, c, "x"), (7, d, "x"), (7, d, "x"), (5, d, "x"),  # one id, two texts, one of them a copy
+            (9, e, "x"), (None, e, "x"), (8, f, "x"), (8, f, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = [tuple(r) for r in corpus_pipeline.distinct_documents(spark, df, SMALL).collect()]
+    assert sorted((r[:2] for r in found), key=str) == sorted(
+        [(None, a), (None, b), (7, c), (5, d), (9, e), (8, f)], key=str)
+    assert set(found) <= set(rows)
+    assert corpus_pipeline.distinct_documents(spark, df.limit(0), SMALL).count() == 0
+
+
 def test_pipeline(spark):
     """Each stage against the plain version, on what the stage before it left."""
 
