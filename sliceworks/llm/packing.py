@@ -57,18 +57,12 @@ def word_runs() -> Callable[[str], list[str]]:
     return runs
 
 
-def boundaries(ids: np.ndarray, ends: np.ndarray, stride: int, cut: float, hard: float,
-               near: int = 16):
-    """Places at which a document may be cut and their penalties; its end comes last, at none.
-
-    Of the sentences that end in the same ``near`` tokens, counted from the document's start, one is
-    a place; that is fine enough for windows of thousands.
-    """
+def boundaries(ids: np.ndarray, ends: np.ndarray, stride: int, cut: float, hard: float):
+    """Places at which a document may be cut, every sentence's end among them, and their penalties;
+    its end comes last, at none."""
 
     n = len(ids)
     places = np.flatnonzero(ends[ids[:n - 1]]) + 1
-    stretch = places // near
-    places = places[:-1][stretch[1:] != stretch[:-1]] if len(places) > 1 else places
     places = np.append(places[places < n - 1], n)  # the end token stays with the last sentence
     gaps = np.diff(places, prepend=0)
     if gaps.max() <= stride:

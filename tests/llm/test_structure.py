@@ -48,6 +48,18 @@ def test_best_cuts_are_best(seed):
         c for q, c in best.items() if places[-1] - q <= length)
 
 
+def test_every_sentence_end_is_a_place_to_cut():
+    ends = np.array([False, True])
+    ids = np.zeros(501, dtype=int)
+    ids[[9, 12, 13, 99, 199]] = 1
+    places, penalties = packing.boundaries(ids, ends, 32, 2.0, 6.0)
+    assert places[penalties == 2.0].tolist() == [10, 13, 14, 100, 200]
+    assert places[-1] == 501 and penalties[-1] == 0.0 and np.diff(places, prepend=0).max() <= 32
+    ids[499] = 1  # before the end token, which stays with the sentence
+    places, penalties = packing.boundaries(ids, ends, 32, 2.0, 6.0)
+    assert places[penalties == 2.0].tolist() == [10, 13, 14, 100, 200] and places[-1] == 501
+
+
 def check_pieces(pieces, texts, length=4096):
     """Every id of every document lies in one piece, windows are full and gapless."""
 
