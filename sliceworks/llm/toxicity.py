@@ -1,8 +1,9 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 The ordinary dictionary holds words of ordinary texts. The toxic one holds, in front of the same
-words, a dictionary trained on toxic text: on the words that recur in toxic texts and do not occur
-in ordinary ones. Every window of a text is compressed with either; the bytes that the toxic
+words, a dictionary trained on toxic text: on the words whose smoothed share of the toxic texts is,
+beyond chance, a multiple of that of the ordinary ones. It grows with these words, and holds them all;
+they are left out of the ordinary words. Every window of a text is compressed with either; the bytes that the toxic
 dictionary saves are the window's margin. As both dictionaries end alike, a window without toxic
 words compresses alike. A logistic regression on the margins of held-back labelled texts calibrates
 the score, weighted to the labels' frequencies.
@@ -28,10 +29,11 @@ from sliceworks.llm.common import add_columns, column, int_lists
 
 #: Words of a window, and bytes after which a longer one is cut.
 WINDOW, WINDOW_BYTES = 16, 1024
-#: Bytes of the trained dictionary and of the ordinary words.
+#: Bytes of the trained dictionary, at least, and of the ordinary words.
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 65536
-#: Share of the distinct toxic texts in which a word must recur to be learnt, and texts at least.
-RECURS, RECURS_LEAST = 0.02, 4
+#: How many times as frequent in toxic texts a word to be learnt is, at the lower bound of its
+#: smoothed ratio by so many standard errors, and what is added to its counts.
+RATIO, ERRORS, SMOOTH = 2.0, 1.96, 0.5
 #: Words taken from one ordinary text for the ordinary dictionary.
 WORDS_A_TEXT = 40
 STEPS = (2, 4, 6, 8)
@@ -53,9 +55,10 @@ def compressor(content: bytes):
 
     import zstandard as zstd
 
+    bits = len(content).bit_length()  # reach and tables cover all of it
     settings = zstd.ZstdCompressionParameters(
-        compression_level=3, strategy=zstd.STRATEGY_LAZY2, min_match=5, window_log=18,
-        chain_log=17, hash_log=17, search_log=6, target_length=0, write_content_size=False,
+        compression_level=3, strategy=zstd.STRATEGY_LAZY2, min_match=5, window_log=max(18, bits + 1),
+        chain_log=max(17, bits), hash_log=max(17, bits), search_log=6, target_length=0, write_content_size=False,
         write_checksum=False, write_dict_id=False)
     dictionary = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=settings)
@@ -84,19 +87,21 @@ def features(margins: np.ndarray) -> list[float]:
             float(top[0] - 2 * np.log1p(n))]
 
 
-def train_dictionary(words: Sequence[tuple[str, int]], size: int, seed: int = 0) -> bytes:
-    """A dictionary of words that occur in so many texts each; the bare words if too few to train."""
+def train_dictionary(words: Sequence[tuple[str, int]], least: int, seed: int = 0) -> bytes:
+    """A dictionary of words that occur in so many texts each, at least so many bytes, or twice the
+    words; those that training leaves out come behind it."""
 
     import zstandard as zstd
 
     many = [b" " + w.encode() for w, n in sorted(words) for _ in range(n)]
     random.Random(seed).shuffle(many)
     samples = [b"".join(many[k:k + 4]) for k in range(0, len(many), 4)]
+    often = [b" " + w.encode() for w, _ in sorted(words, key=lambda x: (-x[1], x[0]))]
     try:
-        return zstd.train_dictionary(size, samples, k=16, d=6).as_bytes()
-    except zstd.ZstdError:
-        often = sorted(words, key=lambda x: (-x[1], x[0]))
-        return b"".join(b" " + w.encode() for w, _ in often)[:size]
+        trained = zstd.train_dictionary(max(least, 2 * sum(map(len, often))), samples, k=16, d=6).as_bytes()
+    except zstd.ZstdError:  # too few to train
+        trained = b""
+    return trained + b"".join(w for w in often if w not in trained)
 
 
 @dataclass(frozen=True)
@@ -157,15 +162,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     texts = {y: n for y, n in train.groupBy("y").count().collect()}
     if not texts.get(0) or not texts.get(1):
         return no_model()
-    least = max(RECURS_LEAST, round(RECURS * texts[1]))
-    recurring = worded.select("y", F.explode("words").alias("w")).groupBy("w").agg(
+    a, b = F.col("toxic") + SMOOTH, F.col("ordinary") + SMOOTH
+    ratio = F.log(a / (texts[1] + 2 * SMOOTH)) - F.log(b / (texts[0] + 2 * SMOOTH))
+    learnt = worded.select("y", F.explode("words").alias("w")).groupBy("w").agg(
         F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("ordinary")).filter(
-        (F.col("toxic") >= least) & (F.col("ordinary") == 0))
-    # at most 1 / RECURS words for each distinct word of one toxic text
-    words = [(w, n) for w, n in recurring.select("w", "toxic").collect()]
+        ratio - ERRORS * F.sqrt(1 / a + 1 / b) >= float(np.log(RATIO)))
+    words = [(w, n) for w, n in learnt.select("w", "toxic").collect()]  # of the bounded sample
+    known_words = {w for w, _ in words}
     some = worded.filter("y = 0").orderBy(F.xxhash64("k", F.lit(2)), "k").limit(
         2 * ORDINARY_BYTES // WORDS_A_TEXT).select("some").collect()
-    ordinary = " ".join(w for row in some for w in row[0]).encode()[:ORDINARY_BYTES]
+    ordinary = " ".join(w for row in some for w in row[0] if w not in known_words).encode()[:ORDINARY_BYTES]
     toxic = train_dictionary(words, TOXIC_BYTES) if words else b""
     measured = margin_columns(rows.filter("not train").select("y", "t"), toxic, ordinary, "t")
     found = measured.select("y", "features").collect()  # bounded by the sample

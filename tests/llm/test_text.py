@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 
 import brute
@@ -125,6 +126,23 @@ def test_toxicity_held_out(spark):
     assert hits / len(toxic) > 0.6 and sum(r.predicted for r in rows if not r.toxic) < 0.02 * len(plain)
 
 
+def test_toxicity_learns_rare_and_quoted_words(spark):
+    """Words of one toxic text in a hundred, of which ordinary texts quote one each, and 400 of them."""
+
+    dice = random.Random(5)
+    plain = [f"plain{k * 7919 % 9973}" for k in range(600)]
+    bad = ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(400)]
+    text = lambda some: " ".join(dice.sample([*dice.sample(plain, 14), *some], 14 + len(some)))
+    rows = [(k, text(dice.sample(bad, 4)), 1) for k in range(1800)]
+    rows += [(2000 + k, text([bad[k]] if k < 400 else []), 0) for k in range(5400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.fit_toxicity(df, df)
+    assert sum(b" " + w.encode() in model.toxic for w in bad) > 0.8 * len(bad)
+    found = toxicity.score_toxicity(df, model).collect()
+    assert np.mean([r.predicted for r in found if r.toxic]) > 0.8
+    assert np.mean([r.predicted for r in found if not r.toxic]) < 0.1
+
+
 def test_toxicity_odd_rows(spark, documents, nothing):
     known = labels(spark)
     model = toxicity.fit_toxicity(documents, known, key="id")
