@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sliceworks.llm import (byte_bpe, chat, language, packing, quality, sharding, simhash, substrings,
-                            topk, toxicity)
+from sliceworks.llm import (byte_bpe, chat, divergence, embeddings, language, packing, quality, repair,
+                            sharding, simhash, substrings, topk, toxicity)
 from sliceworks.llm.common import add_columns, crc_of, slices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,3 +250,147 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels").filter(~held_out))
     return toxicity.score_toxicity(documents.withColumn("held_out", held_out), model).select(
         "doc_id", "held_out", "score", "predicted")
+
+
+@query("op11_embedding_near_dedup", """
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links, component_id,
+       e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON least.a = e.vec_id""")
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+#: Costs by state with their audits and turns, as a struct so that the least sorts first; CRC32 by its table.
+REPAIR_SQL = """
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+    FROM (SELECT unnest(range(256)) AS n)),
+named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+drawn AS (
+    SELECT named.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        string_split(k, ''), lambda x: unicode(x)::BIGINT)),
+        lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) % 20 AS f FROM named, crc),
+damaged AS (
+    SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM drawn, range(2) copies(n) WHERE f <> 0 AND (n = 0 OR f = 3)),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+           rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare,
+           role[1:1] || lead(role[1:1]) OVER (
+               PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS two
+    FROM damaged),
+seen AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM numbered),
+rows AS (
+    SELECT *, bare = '' AS blank, bare <> '' AND again AS duplicate,
+           bare <> '' AND NOT again AND bare[-1:] NOT IN ('.', '!', '?') AS truncated FROM seen),
+stats AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+           count(*) FILTER (WHERE truncated) AS truncated,
+           count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM rows GROUP BY conv_id),
+way AS (
+    SELECT conv_id, 0 AS i, {c: 0, a: '', r: ''} AS q0, NULL::STRUCT(c INTEGER, a VARCHAR, r VARCHAR) AS q1,
+           {c: 2, a: 'I', r: chr(10) || 'user:'} AS q2,
+           {c: 4, a: 'II', r: chr(10) || 'user:' || chr(10) || 'assistant:'} AS q3 FROM stats
+    UNION ALL
+    SELECT conv_id, i, n0, n1, list_min([m2, DO_I(n3, user)]), list_min([n3, DO_I(m2, assistant)])
+    FROM (SELECT *, list_min([n2, DO_I(n0, user), DO_I(n1, user)]) AS m2
+          FROM (SELECT way.conv_id, r.i, DO_D(q0) AS n0,
+                       list_min([DO_D(q1), CASE WHEN ok AND x = 's' THEN DO_K(q0) END]) AS n1,
+                       list_min([DO_D(q2), CASE WHEN ok THEN list_min([DO_R(q0, user), DO_R(q1, user),
+                                 DO_R(q3, user)]) END, CASE WHEN ok AND x = 'u' THEN
+                                 list_min([DO_K(q0), DO_K(q1), DO_K(q3)]) END]) AS n2,
+                       list_min([DO_D(q3), CASE WHEN ok THEN DO_R(q2, assistant) END,
+                                 CASE WHEN ok AND x = 'a' THEN DO_K(q2) END]) AS n3
+                FROM way JOIN (SELECT *, NOT blank AND NOT duplicate AS ok, role[1:1] AS x,
+                                      truncated::INTEGER AS more FROM rows) r
+                ON r.conv_id IS NOT DISTINCT FROM way.conv_id AND r.i = way.i + 1))),
+best AS (
+    SELECT way.conv_id, list_min([q0, q3]) AS b FROM way JOIN stats
+    ON stats.conv_id IS NOT DISTINCT FROM way.conv_id AND way.i = stats.n)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k
+LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM k.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM k.conv_id"""
+
+
+def repair_oracle() -> str:
+    """SQL of op12, its four edits written out."""
+
+    step = lambda cost, letter, turn: (
+        lambda m: f"CASE WHEN {m[1]} IS NOT NULL THEN {{c: {m[1]}.c + {cost}, a: {m[1]}.a || '{letter}', "
+                  f"r: {m[1]}.r{turn.format(m[2]) if turn else ''}}} END")
+    out = REPAIR_SQL
+    for name, cost, letter, turn in (("D", "3", "D", ""), ("K", "more", "K", " || chr(10) || role || ':' || text"),
+                                     ("R", "2 + more", "R", " || chr(10) || '{}:' || text"),
+                                     ("I", "2", "I", " || chr(10) || '{}:'")):
+        out = re.sub(rf"DO_{name}\((\w+)(?:, (\w+))?\)", step(cost, letter, turn), out)
+    return out
+
+
+@query("op12_conversation_repair", repair_oracle())
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after planted damage."""
+
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), copies="copies")
+
+
+@query("op13_source_divergence", r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT i, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT lang, source, sum(c)::BIGINT AS n FROM cells GROUP BY ALL),
+dense AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+           1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (coalesce(t.n, 0) + 5 * v) AS p
+    FROM grp g JOIN kept k ON g.lang = k.lang JOIN sizes s ON s.lang = g.lang
+    LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+    LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 5)) //
+           (sum(sum(c)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+    FROM dense GROUP BY lang, term),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+               FROM dense x JOIN dense y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+               GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+    SELECT d.lang, d.source, 'term' AS part, d.term AS item, (p - q)::BIGINT AS value
+    FROM dense d JOIN whole w ON d.lang = w.lang AND d.term = w.term WHERE c > 0 AND p > q),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50""")
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source's terms differ from those of the other sources of its language."""
+
+    return divergence.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
