@@ -51,6 +51,21 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path, schema=schema, required=orders.columns)
 
 
+@query("quoted_text_round_trip", """
+SELECT doc_id, source, n_chars, length(text) AS n_read, md5(text) AS digest FROM documents
+""")
+def quoted_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, quotes and line breaks included, written as CSV and read from split files."""
+
+    path = fresh_path(spark, "documents") + ".csv"
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    documents.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                        ignoreTrailingWhiteSpace=False)
+    back = read_table(spark, path, string_columns=["text", "source"], required=documents.columns)
+    return back.select(F.col("doc_id").cast("long"), "source", F.col("n_chars").cast("long"),
+                       F.length("text").alias("n_read"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("parquet_round_trip", ORDERS_TEXT)
 def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "orders") + ".parquet"

@@ -1,8 +1,8 @@
 """Saved runs: result tables in run folders, read as cells by column name.
 
-Run folders come in several layouts with different columns. Each file is read whole (a result
-table has one line per model), its header is split off and every line becomes a map from column
-to text, so one scan serves all layouts.
+Run folders come in several layouts with different columns. The header of each file is split off and
+every record, line breaks in its quoted cells included, becomes a map from column to text, so one scan
+serves all layouts.
 """
 
 from __future__ import annotations
@@ -10,21 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# One field after its comma: quoted, quotes doubled, or plain.
-FIELD = r',(?:"((?:[^"]|"")*)"|([^,]*))'
-
-
-def _cells(line: Column) -> Column:
-    """The fields of a line in their places, however many; an empty one that is not quoted is null."""
-
-    quoted, plain = (F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD), F.lit(k))
-                     for k in (1, 2))
-    text = lambda q, p: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).when(p != "", p)
-    return F.zip_with(quoted, plain, text)
-
+from sliceworks.sources.records import fields, read_lines, records
 
 def read_texts(spark: SparkSession, pattern: str) -> DataFrame | None:
     """Whole files matching a glob, with their path; null when there are none."""
@@ -46,24 +35,37 @@ def _run_parts(path: Column, file_name: str) -> dict[str, Column]:
     }
 
 
+def column_names(header: Column) -> Column:
+    """A header's names; a repeated one gets its number (``x``, ``x.1``), one without text is null."""
+
+    earlier = lambda names, name, i: F.size(F.filter(F.slice(names, 1, i), lambda n: n == name))
+    names = fields(header)
+    return F.transform(names, lambda name, i: F.when(earlier(names, name, i) > 0, F.concat(
+        name, F.lit("."), earlier(names, name, i).cast("string"))).otherwise(name))
+
+
 def scan_tables(spark: SparkSession, root: str, file_name: str) -> DataFrame | None:
-    """Lines of ``root/<run>/<file_name>``: run_root, run_name, line number, cells by column."""
+    """Records of ``root/<run>/<file_name>``: run_root, run_name, line number, cells by column.
 
-    files = read_texts(spark, f"{root}/*/{file_name}")
-    if files is None:
+    Blank records are left out. A column without a name keeps its place while names and cells are
+    matched, then goes; of a name that still repeats, the last cell counts.
+    """
+
+    lines = read_lines(spark, f"{root}/*/{file_name}")
+    if lines is None:
         return None
-    lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
     parts = _run_parts(F.col("file_path"), file_name)
-    rows = files.select(
+    in_file = Window.partitionBy("file_path").orderBy("block", "at")
+    placed = records(lines).filter(F.trim("record") != "").withColumn("place", F.row_number().over(in_file))
+    heads = placed.filter("place = 1").select("file_path", column_names(F.col("record")).alias("_columns"))
+    named = placed.filter("place > 1").join(heads, "file_path").withColumn("_pairs", F.filter(
+        F.arrays_zip(F.col("_columns").alias("name"), fields(F.col("record")).alias("cell")),
+        lambda pair: pair["name"].isNotNull()))
+    distinct = F.filter("_pairs", lambda pair, i: ~F.exists(
+        F.slice("_pairs", i + 2, F.size("_pairs")), lambda later: later["name"] == pair["name"]))
+    return named.select(
         parts["run_root"].alias("run_root"), parts["run_name"].alias("run_name"),
-        F.get(lines, 0).alias("_head"),
-        F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("line_number", "_line"),
-    )
-    # a column without a name keeps its place while names and cells are matched, then goes
-    named = rows.withColumn("_columns", _cells(F.col("_head"))).withColumn(
-        "_pairs", F.filter(F.arrays_zip(F.col("_columns").alias("name"), _cells(F.col("_line")).alias("cell")),
-                           lambda pair: pair["name"].isNotNull()))
-    return named.select("run_root", "run_name", "line_number", F.map_from_entries("_pairs").alias("cells"))
+        (F.col("place") - 2).alias("line_number"), F.map_from_entries(distinct).alias("cells"))
 
 
 def scan_json(spark: SparkSession, root: str, file_name: str, schema: str) -> DataFrame | None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +18,8 @@ from sliceworks.operators.profile import feature_report
 from sliceworks.operators.rules import DETAILS, Prepared, issue_ranges, validation_summary
 from sliceworks.operators.splits import SPLITS, label_splits
 from sliceworks.operators.subsets import drop_columns
+from sliceworks.session import fresh_path
+from sliceworks.sources.records import has_quoted_breaks, read_lines, records
 
 # The raw log's columns and their types before coercion.
 RAW_LOG_SCHEMA = T.StructType([
@@ -41,20 +44,47 @@ def infer_format(path: str) -> str:
     raise ValueError(f"Cannot infer a table format from {path!r}.")
 
 
-def _csv_columns(spark: SparkSession, path: str, multiline: bool) -> list[str]:
-    return spark.read.csv(path, header=True, escape='"', multiLine=multiline).columns
+# One character that starts an escape, and what stands for it, a line feed and a carriage return.
+MARK = "\x1a"
+MARKED = ((MARK, MARK + "0"), ("\n", MARK + "1"), ("\r", MARK + "2"))
+
+
+def _one_line_each(spark: SparkSession, path: str) -> tuple[str, list[str]] | None:
+    """Where quoted fields hold line breaks: a copy in the shared folder with each record on one line,
+    breaks marked, and the column names. Null where there are none."""
+
+    lines = read_lines(spark, path)
+    if lines is None or not has_quoted_breaks(lines):
+        return None
+    found = records(lines)
+    first = found.filter("block = 0 AND at = 0").orderBy("file_path").select("record").first()
+    names = [name or f"_c{k}" for k, name in enumerate(next(csv.reader([first["record"]])))]
+    lowered = [name.lower() for name in names]
+    names = [f"{n}{k}" if lowered.count(n.lower()) > 1 else n for k, n in enumerate(names)]
+    line = F.col("record")
+    for plain, marked in MARKED:
+        line = F.replace(line, F.lit(plain), F.lit(marked))
+    folder = fresh_path(spark, "records")
+    found.filter("NOT (block = 0 AND at = 0)").select(line.alias("value")).write.text(folder)
+    return folder, names
+
+
+def _with_breaks(value: Column) -> Column:
+    for plain, marked in reversed(MARKED):
+        value = F.replace(value, F.lit(marked), F.lit(plain))
+    return value
 
 
 def read_table(
     spark: SparkSession, path: str, *, file_format: str = "auto",
     string_columns: Sequence[str] = (), schema: T.StructType | None = None,
-    required: Sequence[str] = (), multiline: bool = False,
+    required: Sequence[str] = (),
 ) -> DataFrame:
     """Read CSV or Parquet. CSV types come from the schema; without one Spark infers them,
     except that ``string_columns`` stay text. Missing markers in text become null.
 
-    ``multiline`` keeps quoted line breaks inside their field, as in the quarantine files of
-    :func:`write_prepared`; such a file is read by one task, others are split.
+    Quoted line breaks stay inside their field, and files are split all the same: where there are any,
+    a copy with one record on each line is read instead.
     """
 
     chosen = infer_format(path) if file_format == "auto" else file_format
@@ -62,23 +92,26 @@ def read_table(
         if chosen == "parquet":
             table = spark.read.parquet(path)
         elif chosen == "csv":
-            reader = spark.read.options(
-                header=True, nullValue="", escape='"', multiLine=multiline)
-            if schema is not None:
+            copy = _one_line_each(spark, path)
+            source, names = copy or (path, None)
+            reader = spark.read.options(header=copy is None, nullValue="", escape='"')
+            if schema is not None or string_columns:
                 # the file's header decides the order of the columns
-                by_name = {f.name: f for f in schema}
-                fields = [by_name.get(c, T.StructField(c, T.StringType()))
-                          for c in _csv_columns(spark, path, multiline)]
-                table = reader.schema(T.StructType(fields)).csv(path)
-            elif string_columns:
-                inferred = reader.csv(path, inferSchema=True).schema
-                fields = [T.StructField(f.name, T.StringType()) if f.name in string_columns else f
-                          for f in inferred]
-                table = reader.schema(T.StructType(fields)).csv(path)
+                names = names or spark.read.csv(path, header=True, escape='"').columns
+                if schema is not None:
+                    by_name = {f.name: f for f in schema}
+                else:
+                    inferred = reader.csv(source, inferSchema=True).schema
+                    by_name = {n: T.StructField(n, T.StringType() if n in string_columns else f.dataType)
+                               for n, f in zip(names, inferred, strict=True)}
+                fields = [by_name.get(n, T.StructField(n, T.StringType())) for n in names]
+                table = reader.schema(T.StructType(fields)).csv(source)
             else:
-                table = reader.csv(path, inferSchema=True)
+                table = reader.csv(source, inferSchema=True)
+                table = table.toDF(*names) if names else table
             texts = [f.name for f in table.schema if isinstance(f.dataType, T.StringType)]
-            table = table.withColumns({c: blank_markers_to_null(F.col(c)) for c in texts})
+            value = (lambda c: _with_breaks(F.col(c))) if copy else F.col
+            table = table.withColumns({c: blank_markers_to_null(value(c)) for c in texts})
         else:
             raise ValueError(f"Unsupported file format: {chosen!r}")
     except AnalysisException as error:

@@ -107,5 +107,5 @@ def test_quoted_line_breaks_stay_in_their_field(spark, tmp_path):
     texts = ["one\ntwo", 'say ""x""', "plain"]
     spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1).write.csv(
         path, header=True, escape='"')
-    found = read_table(spark, path, multiline=True, string_columns=["t"]).orderBy("k").collect()
+    found = read_table(spark, path, string_columns=["t"]).orderBy("k").collect()
     assert [r.t for r in found] == texts
