@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 # Hex digits of an md5 key used as its bucket: 65,536 evenly filled buckets.
 PREFIX_DIGITS = 4
-# Up to this many rows may be ordered by a single task.
-SINGLE_TASK_ROWS = 1_000_000
+# Rows of a bucket that a window orders, and values of a range that one task gathers.
+BUCKET_ROWS, GATHERED_VALUES = 100_000, 10_000
+# Rows that bounds are drawn from, how finely, and how far from a rank they are taken.
+SAMPLE_ROWS, SKETCH, SLACK = 1_000_000, 20_000, 1e-3
 
 
 # A table of up to this many rows is sent to every task of a join; a larger one is shuffled.
@@ -54,7 +56,9 @@ def order_key(seed: int, *columns: str | Column) -> Column:
     """
 
     parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
-    escaped = [F.coalesce(F.regexp_replace(p, r"([\\|])", r"\\$1"), F.lit("\\N")) for p in parts]
+    marked = lambda p: F.contains(p, F.lit("|")) | F.contains(p, F.lit("\\"))
+    escaped = [F.coalesce(F.when(marked(p), F.regexp_replace(p, r"([\\|])", r"\\$1")).otherwise(p),
+                          F.lit("\\N")) for p in parts]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *escaped))
 
 
@@ -153,26 +157,24 @@ def with_rank(rows: DataFrame, by: Sequence[str], key: str, name: str = "rank")
 
 def with_running_totals(
     rows: DataFrame, order: str, amounts: Mapping[str, str], by: Sequence[str] = (),
-    buckets: int = 1000, limit: int = SINGLE_TASK_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Sum of each amount over the rows *before* this one in the order of a double column.
 
-    ``rows`` has one row per (``by``, ``order``). Buckets are cut at approximate quantiles; the
-    cuts only balance the work, the totals are exact. Up to ``limit`` rows need no buckets. At
-    every size a null comes first and NaN last, after infinity.
+    ``rows`` has one row per (``by``, ``order``). Buckets of about ``bucket_rows`` rows are cut at
+    quantiles of a sample; the cuts only balance the work, the totals are exact. A null comes first
+    and NaN last, after infinity.
     """
 
     by = list(by)
-    probabilities = [i / buckets for i in range(1, buckets)]
-    size, cuts = rows.agg(
-        F.count(F.lit(1)), F.percentile_approx(order, probabilities, 10 * buckets)).first()
-    if size <= limit:
-        before = Window.partitionBy(*(by or [F.lit(1)])).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, -1)
-        return rows.withColumns({
-            name: F.coalesce(F.sum(amount).over(before), F.lit(0))
-            for amount, name in amounts.items()})
-    edges = sorted({cut for cut in cuts or [] if math.isfinite(cut)})
+    size = rows.count()
+    buckets = -(-size // bucket_rows)
+    cuts = []
+    if buckets > 1:
+        value = F.when(_drawn(size), F.col(order))
+        cuts = rows.withColumn("_draw", F.rand(17)).agg(F.percentile_approx(
+            value, [i / buckets for i in range(1, buckets)], SKETCH)).first()[0] or []
+    edges = sorted({cut for cut in cuts if math.isfinite(cut)})
     splits = [-math.inf, *edges, math.inf] if edges else [-math.inf, 0.0, math.inf]
     keyed = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket",
                        handleInvalid="keep").transform(rows)
@@ -198,104 +200,105 @@ def with_running_totals(
     return joined.drop("_bucket", *[f"_off_{a}" for a in amounts])
 
 
+def _drawn(size: int) -> Column:
+    """Whether a row, by its ``_draw``, belongs to a bounded sample; only work depends on it."""
+
+    return F.col("_draw") < SAMPLE_ROWS / size if size > SAMPLE_ROWS else F.lit(True)
+
+
+class _Ranks:
+    """What is known of one column: how many values lie below and up to each value looked at."""
+
+    def __init__(self, total: int, probabilities: Sequence[float]) -> None:
+        self.total, self.known = total, {}
+        self.places = [p * (total - 1) for p in probabilities]
+        self.ranks = sorted({r for x in self.places for r in (math.floor(x), math.ceil(x))}) if total else []
+        self.found: dict[int, float] = {}
+
+    def learn(self, value: float, below: int, upto: int) -> None:
+        self.known[value] = (below, upto)
+        for r in self.ranks:
+            if below <= r < upto:
+                self.found[r] = value
+
+    def gaps(self) -> dict[tuple, list[int]]:
+        """Open ranges (low, high; null for no bound) with the ranks that lie inside."""
+
+        out: dict[tuple, list[int]] = {}
+        for r in self.ranks:
+            if r not in self.found:
+                low = max((v for v, (_, upto) in self.known.items() if upto <= r), default=None)
+                high = min((v for v, (below, _) in self.known.items() if below > r), default=None)
+                out.setdefault((low, high), []).append(r)
+        return out
+
+    def start(self, gap: tuple) -> int:
+        return 0 if gap[0] is None else self.known[gap[0]][1]
+
+    def size(self, gap: tuple) -> int:
+        return (self.total if gap[1] is None else self.known[gap[1]][0]) - self.start(gap)
+
+    def answers(self) -> list[float | None]:
+        if not self.total:
+            return [None] * len(self.places)
+        result = []
+        for place in self.places:
+            low, high = self.found[math.floor(place)], self.found[math.ceil(place)]
+            share = place - math.floor(place)
+            result.append(low if share == 0 or low == high else (1 - share) * low + share * high)
+        return result
+
+
 def exact_quantiles(
-    df: DataFrame, requests: Mapping[str, Sequence[float]], limit: int = SINGLE_TASK_ROWS,
-    total: int | None = None,
+    df: DataFrame, requests: Mapping[str, Sequence[float]], limit: int = GATHERED_VALUES,
 ) -> dict[str, list[float | None]]:
-    """Exact linearly interpolated quantiles of double columns, nulls left out.
+    """Exact linearly interpolated quantiles of double columns, nulls and NaN left out.
 
-    A table of at most ``limit`` rows takes one aggregate. Beyond that each column is narrowed
-    around the wanted ranks with quantile sketches until few enough rows remain. ``total`` saves
-    counting the rows when they are known already.
+    All columns and ranks are narrowed together, so the number of passes depends on the number of rows
+    only. A pass draws bounds around every open rank from a bounded sample, then counts the values
+    below and at the bounds: a poor sample costs a pass, never the answer, and a value that a third
+    of all rows hold becomes a bound and is answered from its count. Ranges with at most ``limit``
+    values are gathered. Infinities are values.
     """
 
     columns = list(requests)
-    if (df.count() if total is None else total) <= limit:
-        row = df.agg(
-            *[F.percentile(c, [float(p) for p in requests[c]]).alias(c) for c in columns]
-        ).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(requests[c])
-                for c in columns}
-    return {c: _narrowed_quantiles(df.select(F.col(c).alias("v")).filter("v is not null"),
-                                   requests[c], limit) for c in columns}
-
-
-def _narrowed_quantiles(
-    values: DataFrame, probabilities: Sequence[float], limit: int
-) -> list[float | None]:
-    total = values.count()
-    if total == 0:
-        return [None] * len(probabilities)
-    places = [p * (total - 1) for p in probabilities]
-    ranks = sorted({r for place in places for r in (math.floor(place), math.ceil(place))})
-    at_rank = values_at_ranks(values, ranks, total, limit)
-    result = []
-    for place in places:
-        low, high = at_rank[math.floor(place)], at_rank[math.ceil(place)]
-        share = place - math.floor(place)
-        result.append(low if share == 0 or low == high else (1 - share) * low + share * high)
-    return result
-
-
-def values_at_ranks(
-    values: DataFrame, ranks: Sequence[int], total: int, limit: int = SINGLE_TASK_ROWS
-) -> dict[int, float]:
-    """The values at 0-based ranks of column ``v``, exactly; infinities are values, NaN is the largest.
-
-    Each pass asks a quantile sketch for bounds around every rank, then *counts* below, at and
-    between the bounds, so a wrong sketch costs a pass, never the answer. A value held by a
-    third of all rows becomes a bound and is answered from its count.
-    """
-
-    v = F.col("v")
-    found: dict[int, float] = {}
-    # rank -> (open lower bound, open upper bound, rows at or below the lower bound, rows inside);
-    # no bound is None
-    open_ranges: dict[int, tuple] = {r: (None, None, None, total) for r in ranks}
-    slack = 5e-4
-
-    def inside(low: float | None, high: float | None) -> Column:
-        return ((v > low) if low is not None else F.lit(True)) & (
-            (v < high) if high is not None else F.lit(True)
-        )
-
-    while pending := {r: s for r, s in open_ranges.items() if r not in found and s[3] > limit}:
+    if not columns:
+        return {}
+    names = {c: f"_q{k}" for k, c in enumerate(columns)}
+    numbers = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(n) for c, n in names.items()])
+    totals = numbers.agg(*[F.count(n).alias(n) for n in names.values()]).first()
+    state = {n: _Ranks(totals[n], requests[c]) for c, n in names.items()}
+
+    def inside(name: str, gap: tuple) -> Column:
+        v = F.col(name)
+        return F.when(((v > gap[0]) if gap[0] is not None else F.lit(True))
+                      & ((v < gap[1]) if gap[1] is not None else F.lit(True)), v)
+
+    while wide := [(n, gap, ranks) for n, s in state.items() for gap, ranks in s.gaps().items()
+                   if s.size(gap) > limit]:
         asks = []
-        for r, (low, high, below, count) in pending.items():
-            q = (r - (below or 0) + 0.5) / count
+        for k, (n, gap, ranks) in enumerate(wide):
+            size, start = state[n].size(gap), state[n].start(gap)
+            place = lambda r, side: min(1.0, max(0.0, (r - start + 0.5) / size + side))  # noqa: B023, E731
+            near = {place(r, -SLACK) for r in ranks if r - 1 not in ranks} | {
+                place(r, SLACK) for r in ranks if r + 1 not in ranks}
             asks.append(F.percentile_approx(
-                F.when(inside(low, high), v), [max(0.0, q - slack), min(1.0, q + slack)], 20_000
-            ).alias(str(r)))
-        bounds = values.agg(*asks).first()
-        counts = []
-        for r in pending:
-            a, b = bounds[str(r)]
-            counts += [F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)),
-                       F.count_if(v == b)]
-        row = values.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()
-        for i, (r, (low, high, below, count)) in enumerate(pending.items()):
-            a, b = bounds[str(r)]
-            under, at_a, between, at_b = row[4 * i: 4 * i + 4]
-            one_bound = a == b or (math.isnan(a) and math.isnan(b))
-            if r < under:
-                open_ranges[r] = (low, a, below or 0, under - (below or 0))
-            elif r < under + at_a:
-                found[r] = a
-            elif r < under + at_a + between:
-                open_ranges[r] = (a, b, under + at_a, between)
-            elif not one_bound and r < under + at_a + between + at_b:
-                found[r] = b
-            else:
-                past = under + at_a + between + (0 if one_bound else at_b)
-                upper = (below or 0) + count
-                open_ranges[r] = (b, high, past, upper - past)
-    rest = [r for r in ranks if r not in found]
+                F.when(_drawn(size), inside(n, gap)), sorted(near), SKETCH).alias(str(k)))
+        bounds = numbers.withColumn("_draw", F.rand(17)).agg(*asks).first()
+        looked_at = sorted({(n, b) for k, (n, _, _) in enumerate(wide) for b in bounds[str(k)] or ()})
+        counts = numbers.agg(*[
+            count.alias(f"{k}{side}") for k, (n, b) in enumerate(looked_at)
+            for side, count in (("b", F.count_if(F.col(n) < b)), ("u", F.count_if(F.col(n) <= b)))]
+            or [F.count(F.lit(1))]).first()
+        for k, (n, b) in enumerate(looked_at):
+            state[n].learn(b, counts[f"{k}b"], counts[f"{k}u"])
+    rest = [(n, gap, ranks) for n, s in state.items() for gap, ranks in s.gaps().items()]
     if rest:
-        picks = []
-        for r in rest:
-            low, high, below, _ = open_ranges[r]
-            sorted_inside = F.sort_array(F.collect_list(F.when(inside(low, high), v)))
-            picks.append(F.element_at(sorted_inside, r - (below or 0) + 1).alias(str(r)))
-        row = values.agg(*picks).first()
-        found.update({r: row[str(r)] for r in rest})
-    return found
+        picks = [F.array(*[F.get(f"_sorted{k}", F.lit(r - state[n].start(gap))) for r in ranks]).alias(str(k))
+                 for k, (n, gap, ranks) in enumerate(rest)]
+        gathered = numbers.agg(*[F.sort_array(F.collect_list(inside(n, gap))).alias(f"_sorted{k}")
+                                 for k, (n, gap, _) in enumerate(rest)])
+        row = gathered.select(*picks).first()
+        for k, (n, _, ranks) in enumerate(rest):
+            state[n].found.update(zip(ranks, row[str(k)], strict=True))
+    return {c: state[n].answers() for c, n in names.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,17 +74,48 @@ def test_odd_scores_are_ordered_alike_at_every_size(spark):
     scores = [None, float("-inf"), -1.0, 0.5, 2.0, 7.0, float("inf"), float("nan")]
     rows = spark.createDataFrame([(s, 10 ** k) for k, s in enumerate(scores)], "s double, n long")
     for limit in (5, 10**6):
-        found = with_running_totals(rows, "s", {"n": "before"}, buckets=3, limit=limit).collect()
+        found = with_running_totals(rows, "s", {"n": "before"}, bucket_rows=limit).collect()
         assert {r.n: r.before for r in found} == {10 ** k: int("0" + "1" * k) for k in range(8)}
 
 
-def test_quantiles_of_infinite_values_are_alike_at_every_size(spark):
-    values = [float("-inf")] * 3 + [float(x) for x in range(40)] + [float("inf"), float("nan")]
-    df = spark.createDataFrame([(v,) for v in values], "x double")
-    wanted = [0.0, 0.03, 0.06, 0.5, 0.61, 0.97, 1.0]
-    small, large = (exact_quantiles(df, {"x": wanted}, limit=n)["x"] for n in (10**6, 5))
-    assert small[:5] == pytest.approx(large[:5]) and large[0] == float("-inf")
-    assert all(a == b or (math.isnan(a) and math.isnan(b)) for a, b in zip(small[5:], large[5:]))
+@pytest.mark.parametrize("limit", [10**6, 5])
+def test_quantiles_of_odd_values_are_those_of_pandas(spark, limit):
+    inf, nan = float("inf"), float("nan")
+    columns = {"x": [-inf] * 3 + [float(k) for k in range(40)] + [inf, nan, None],
+               "y": [None] * 46, "z": [nan] * 45 + [2.0], "w": [7.5] * 46}
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), "x double, y double, z double, w double")
+    wanted = [0.0, 0.25, 0.5, 0.61, 0.8, 1.0]
+    found = exact_quantiles(df, dict.fromkeys(columns, wanted), limit=limit)
+    for name, values in columns.items():
+        plain = pd.Series(values, dtype=float).dropna()
+        same = [None if plain.empty else float(plain.sort_values().iloc[0]) if p == 0 else
+                float(plain.sort_values().iloc[-1]) if p == 1 else float(plain.quantile(p)) for p in wanted]
+        assert [x if x is None or math.isinf(x) else round(x, 9) for x in found[name]] == [
+            x if x is None or math.isinf(x) else round(x, 9) for x in same], name
+
+
+def test_passes_of_quantiles_do_not_grow_with_columns(spark, monkeypatch):
+    """Ten columns take as many aggregations as one, with samples smaller than the table."""
+
+    from sliceworks.operators import ordering
+
+    monkeypatch.setattr(ordering, "SAMPLE_ROWS", 2000)
+    monkeypatch.setattr(ordering, "SLACK", 0.02)
+    rows = spark.range(40_000).select(*[
+        F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10 ** (k + 1))).cast("double").alias(f"c{k}") for k in range(10)])
+    data = rows.toPandas()
+    passes = {}
+    for n in (1, 10):
+        jobs = []
+        kept = type(rows).agg
+        monkeypatch.setattr(type(rows), "agg", lambda self, *a: jobs.append(1) or kept(self, *a))  # noqa: B023
+        names = rows.columns[-n:]
+        found = exact_quantiles(rows, {c: (0.01, 0.5, 0.75) for c in names}, limit=500)
+        monkeypatch.setattr(type(rows), "agg", kept)
+        passes[n] = len(jobs)
+        for c in names:
+            assert found[c] == pytest.approx(data[c].quantile([0.01, 0.5, 0.75]).tolist())
+    assert passes[10] <= passes[1] + 4
 
 
 def test_names_are_written_as_tokens_may_be(spark):

@@ -48,7 +48,7 @@ def test_rank_and_running_totals(spark):
         "g").collect() == [("cold", 1, 200, 200), ("hot", 1, 300, 300)]
     rows = spark.range(1000).select((F.col("id") / 7).alias("x"), F.lit(2).alias("n"))
     for limit in (10**6, 10):
-        total = with_running_totals(rows, "x", {"n": "before"}, buckets=9, limit=limit)
+        total = with_running_totals(rows, "x", {"n": "before"}, bucket_rows=limit)
         assert total.filter(F.abs(F.col("before") - F.round(F.col("x") * 7) * 2) > 1e-9).count() == 0
 
 
