@@ -124,22 +124,80 @@ def linear_values(
 
 # -- trees ------------------------------------------------------------------------------------
 
-class _Leaf(NamedTuple):
-    """A leaf as the conditions on its path: per distinct feature an interval or a category set,
-    and the share of training rows that keep it. One value per class, or just one."""
+class Tree(NamedTuple):
+    """One tree as arrays by node, level after level with siblings side by side; the root is node 0.
 
-    values: tuple[float, ...]
-    features: tuple[int, ...]
-    low: tuple[float, ...]
-    high: tuple[float, ...]
-    categories: tuple[frozenset | None, ...]
-    shares: tuple[float, ...]
+    A node is described by the edge that leads to it: the feature asked there, the interval or, as a
+    row of ``categories``, the codes that lead this way (-1: an interval), and the share of the
+    parent's training rows. ``prior`` is the nearest node above whose edge asks the same feature (-1:
+    none); ``share`` holds the product along such nodes. ``values`` are a leaf's, 0 elsewhere.
+    """
+
+    parent: np.ndarray
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    kind: np.ndarray
+    share: np.ndarray
+    prior: np.ndarray
+    values: np.ndarray
+    levels: list[tuple[int, int]]
+    categories: np.ndarray
 
 
-def tree_leaves(spark: SparkSession, model) -> list[_Leaf]:
-    """Weighted leaves of a fitted tree ensemble, read from its saved node table.
+def flat_tree(nodes: dict[int, dict], weight: float, by_class: bool) -> Tree:
+    """A tree of Spark's node table (rows by id), its values times a weight.
+
+    A classification forest averages the class shares of its leaves; other trees add values.
+    """
 
-    A model is bounded by its own settings (trees times leaves), never by the data.
+    def values(node: dict) -> list[float]:
+        if not by_class:
+            return [weight * float(node["prediction"])]
+        counts = [float(n) for n in node["impurityStats"]]
+        return [weight * n / sum(counts) for n in counts]
+
+    zero = [0.0] * len(values(nodes[0]))
+    rows = [(-1, -1, -math.inf, math.inf, -1, 1.0, -1)]
+    leaf, sets, levels = [], [], [(0, 1)]
+    level = [(0, 0, {})]  # node of the table, its place, the nearest edges by feature
+    while level:
+        below = []
+        for number, place, nearest in level:
+            node = nodes[number]
+            children = int(node["leftChild"]), int(node["rightChild"])
+            leaf.append(values(node) if children[0] < 0 else zero)
+            if children[0] < 0:
+                continue
+            split = node["split"]
+            split = split.asDict() if hasattr(split, "asDict") else dict(split)
+            feature, arity = int(split["featureIndex"]), int(split["numCategories"])
+            asked = [float(v) for v in split["leftCategoriesOrThreshold"]]
+            prior = nearest.get(feature, -1)
+            for child, left in zip(children, (True, False), strict=True):
+                share = float(nodes[child]["rawCount"]) / float(node["rawCount"])
+                share *= rows[prior][5] if prior >= 0 else 1.0
+                low, high, kind = -math.inf, math.inf, -1
+                if arity < 0:
+                    low, high = (low, asked[0]) if left else (asked[0], high)
+                else:
+                    kind = len(sets)
+                    sets.append([(code in asked) == left for code in range(arity)])
+                rows.append((place, feature, low, high, kind, share, prior))
+                below.append((child, len(rows) - 1, {**nearest, feature: len(rows) - 1}))
+        if below:
+            levels.append((len(rows) - len(below), len(rows)))
+        level = below
+    arity = max(map(len, sets), default=0)
+    table = np.array([x + [False] * (arity - len(x)) for x in sets], dtype=bool).reshape(len(sets), arity)
+    columns = [np.array(c) for c in zip(*rows, strict=True)]
+    return Tree(*columns, np.array(leaf), levels, table)
+
+
+def model_trees(spark: SparkSession, model) -> list[Tree]:
+    """Weighted trees of a fitted ensemble, read from its saved node table.
+
+    A model is bounded by its own settings (trees times nodes), never by the data.
     """
 
     path = fresh_path(spark, "tree-model")
@@ -154,98 +212,118 @@ def tree_leaves(spark: SparkSession, model) -> list[_Leaf]:
         table = nodes.assign(tree=0)
     averaged = type(model).__name__.startswith("RandomForest")
     by_class = type(model).__name__ == "RandomForestClassificationModel"
-    trees = sorted(table["tree"].unique())
-    leaves = []
-    for place, tree in enumerate(trees):
-        by_id = {int(r["id"]): r for r in table[table["tree"] == tree].to_dict("records")}
-        weight = 1.0 / len(trees) if averaged else (weights[place] if weights else 1.0)
-        leaves += _walk(by_id, 0, weight, {}, by_class)
-    return leaves
-
-
-def _leaf_values(node: dict, weight: float, by_class: bool) -> tuple[float, ...]:
-    """A classification forest averages the class shares of its leaves; other trees add values."""
-
-    if not by_class:
-        return (weight * float(node["prediction"]),)
-    counts = [float(n) for n in node["impurityStats"]]
-    return tuple(weight * n / sum(counts) for n in counts)
-
-
-def _walk(nodes: dict, node_id: int, weight: float, path: dict, by_class: bool) -> list[_Leaf]:
-    node = nodes[node_id]
-    left, right = int(node["leftChild"]), int(node["rightChild"])
-    if left < 0:
-        keys = sorted(path)
-        return [_Leaf(_leaf_values(node, weight, by_class), tuple(keys),
-                      *[tuple(path[k][i] for k in keys) for i in range(4)])]
-    split = node["split"]
-    split = split.asDict() if hasattr(split, "asDict") else dict(split)
-    feature, arity = int(split["featureIndex"]), int(split["numCategories"])
-    values = [float(v) for v in split["leftCategoriesOrThreshold"]]
-    low, high, allowed, share = path.get(feature, (-math.inf, math.inf, None, 1.0))
-    leaves = []
-    for child, goes_left in ((left, True), (right, False)):
-        kept = share * float(nodes[child]["rawCount"]) / float(node["rawCount"])
-        if arity < 0:
-            bounds = (low, min(high, values[0])) if goes_left else (max(low, values[0]), high)
-            state = (*bounds, allowed, kept)
-        else:
-            mine = frozenset(values) if goes_left else frozenset(range(arity)) - frozenset(values)
-            state = (low, high, mine if allowed is None else allowed & mine, kept)
-        leaves += _walk(nodes, child, weight, {**path, feature: state}, by_class)
-    return leaves
-
-
-def leaf_attributions(x: np.ndarray, leaves: Sequence[_Leaf]) -> np.ndarray:
+    groups = list(table.groupby("tree", sort=True))
+    return [
+        flat_tree({int(r["id"]): r for r in group.to_dict("records")},
+                  1.0 / len(groups) if averaged else (weights[place] if weights else 1.0), by_class)
+        for place, (_, group) in enumerate(groups)]
+
+
+def base_values(trees: Sequence[Tree]) -> np.ndarray:
+    """What the ensemble expects, by class, of a row of which nothing is known."""
+
+    total = np.zeros(trees[0].values.shape[1])
+    for tree in trees:
+        reach = np.ones(len(tree.parent))
+        for start, stop in tree.levels[1:]:
+            here = slice(start, stop)
+            prior = tree.prior[here]
+            own = tree.share[here] / np.where(prior >= 0, tree.share[prior], 1.0)
+            reach[here] = reach[tree.parent[here]] * own
+        total += reach @ tree.values
+    return total
+
+
+#: Numbers that an array over nodes, points and rows holds at most.
+HELD = 1 << 21
+
+
+def tree_attributions(x: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
     """Shapley values of a tree ensemble for a matrix of rows (path-dependent expectation), as an
     array of classes by rows by features.
 
     A leaf's value is a game among the features on its path: a feature in the coalition keeps the
-    leaf if the row meets its conditions, one outside keeps it with its training share. Weights
-    come from the coefficients of a product of one linear factor per feature.
+    leaf if the row meets its conditions, one outside keeps it with its training share. If every
+    feature joins with a chance t, a path keeps ``share + t * (meets - share)`` for each of its
+    features; a feature's Shapley value is the integral over t of the product of the others times
+    ``meets - share``. The integrand is a polynomial, so a few Gauss points give it exactly. Products are
+    built level by level towards the leaves and summed level by level back, in time proportional to
+    the nodes; where a feature is asked again, the later factor replaces the earlier one.
     """
 
-    out = np.zeros((len(leaves[0].values), *x.shape))
-    for leaf in leaves:
-        d = len(leaf.features)
-        meets = [
-            ((x[:, f] > low) & (x[:, f] <= high) if allowed is None
-             else np.isin(x[:, f], list(allowed))).astype(float)
-            for f, low, high, allowed in
-            zip(leaf.features, leaf.low, leaf.high, leaf.categories, strict=True)
-        ]
-        sizes = np.array([math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d)
-                          for s in range(d)])
-        for j, f in enumerate(leaf.features):
-            poly = np.zeros((len(x), d))
-            poly[:, 0] = 1.0
-            for k in range(d):
-                if k == j:
-                    continue
-                shifted = np.zeros_like(poly)
-                shifted[:, 1:] = poly[:, :-1] * meets[k][:, None]
-                poly = poly * leaf.shares[k] + shifted
-            part = (meets[j] - leaf.shares[j]) * (poly @ sizes)
-            for k, value in enumerate(leaf.values):
-                out[k, :, f] += value * part
+    out = np.zeros((trees[0].values.shape[1], *x.shape))
+    for tree in trees:
+        if len(tree.levels) < 2:
+            continue
+        points, weights = np.polynomial.legendre.leggauss(len(tree.levels) // 2)
+        points, weights = (points + 1) / 2, weights / 2
+        rows = max(1, HELD // (len(tree.parent) * len(points)))
+        for start in range(0, len(x), rows):
+            part = slice(start, start + rows)
+            out[:, part] += _one_tree(x[part], tree, points, weights)
+    return out
+
+
+def _one_tree(x: np.ndarray, tree: Tree, points: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    n, t = len(tree.parent), points[None, :, None]
+    meets = np.ones((n, len(x)), dtype=bool)
+    kept = np.ones((n, len(points), len(x)))  # products along the path, of the latest factors only
+    pull = np.zeros((n, len(points), len(x)))  # of the latest factor: (meets - share) / factor
+
+    for start, stop in tree.levels[1:]:
+        here = slice(start, stop)
+        value, prior, kind = x[:, tree.feature[here]].T, tree.prior[here], tree.kind[here]
+        asked = (value > tree.low[here, None]) & (value <= tree.high[here, None])
+        coded = np.flatnonzero(kind >= 0)
+        if len(coded):
+            codes = value[coded].astype(int)
+            known = (codes >= 0) & (codes < tree.categories.shape[1])
+            asked[coded] = known & tree.categories[
+                kind[coded, None], np.where(known, codes, 0)]
+        again = prior >= 0
+        meets[here] = asked & (meets[prior] | ~again[:, None])
+        gap = meets[here] - tree.share[here, None]
+        factor = tree.share[here, None, None] + t * gap[:, None]
+        kept[here] = kept[tree.parent[here]] * factor
+        if again.any():
+            before = prior[again]
+            kept[start + np.flatnonzero(again)] /= tree.share[before, None, None] + t * (
+                meets[before] - tree.share[before, None])[:, None]
+        pull[here] = gap[:, None] / factor
+
+    out = np.zeros((tree.values.shape[1], *x.shape))
+    features, place = np.unique(tree.feature[1:], return_inverse=True)
+    change = pull[1:] - np.where((tree.prior[1:] >= 0)[:, None, None], pull[tree.prior[1:]], 0.0)
+    change *= weights[None, :, None]
+    order = np.argsort(place, kind="stable")
+    first = np.searchsorted(place[order], np.arange(len(features)))
+    for k in range(len(out)):
+        total = kept * tree.values[:, k, None, None]
+        for start, stop in reversed(tree.levels[1:]):  # siblings are side by side
+            total[tree.parent[start:stop:2]] += total[start:stop:2] + total[start + 1:stop:2]
+        share = np.einsum("npr,npr->nr", change, total[1:])
+        out[k][:, features] = np.add.reduceat(share[order], first, axis=0).T
     return out
 
 
-def tree_values(prepared: DataFrame, model, id_columns: Sequence[str]) -> DataFrame:
-    """Tree attributions, one row per explained row, class and slot; batches run in the tasks."""
+def tree_values(prepared: DataFrame, model, id_columns: Sequence[str],
+                trees: Sequence[Tree] | None = None) -> DataFrame:
+    """Tree attributions, one row per explained row, class and slot; the rows are dealt to as many
+    tasks as there are cores, and the trees are broadcast."""
 
-    leaves = tree_leaves(prepared.sparkSession, model)
-    # the function travels whole, with the leaves, so that workers need not have this package
+    spark = prepared.sparkSession
+    shared = spark.sparkContext.broadcast(trees or model_trees(spark, model))
+    # the function travels whole, so that workers need not have this package
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    rows = prepared.select(*id_columns, vector_to_array("features").alias("_x"))
+    rows = prepared.select(*id_columns, vector_to_array("features").alias("_x")).repartition(
+        spark.sparkContext.defaultParallelism)
     ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema
                     if f.name != "_x")
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["_x"].to_list(), dtype=float)
-            for k, values in enumerate(leaf_attributions(x, leaves) if len(x) else ()):
+            for k, values in enumerate(tree_attributions(x, shared.value) if len(x) else ()):
                 yield batch.drop(columns="_x").assign(class_index=k, _x=list(x), _v=list(values))
 
     arrays = rows.mapInPandas(attribute, f"{ids}, class_index int, _x array<double>, _v array<double>")

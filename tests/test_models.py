@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from sliceworks.models.estimators import (
     DummyClassifier, Logistic, ModelSpec, Ridge, boosted_classifier, forest_regressor,
 )
-from sliceworks.models.explain import _Leaf, explain, leaf_attributions, permutation_importance
+from sliceworks.models.explain import (
+    base_values, explain, flat_tree, permutation_importance, tree_attributions,
+)
 from sliceworks.models.prep import classification_prep, regression_prep, release_prep, vector_names
 from sliceworks.models.suites import (
     comparison, fit_classifiers, fit_regressors, grouped_search, model_importance,
@@ -167,33 +170,88 @@ def test_search_and_explanations(spark):
         model.transform(test).select("prediction").collect()
 
 
-def test_leaf_attributions_against_all_coalitions():
-    inf = math.inf
-    leaves = [_Leaf((1.0, 2.0), (0, 1), (-inf, -inf), (0.5, 0.0), (None, None), (0.6, 0.3)),
-              _Leaf((4.0, 0.0), (0, 1), (-inf, 0.0), (0.5, inf), (None, None), (0.6, 0.7)),
-              _Leaf((-2.0, 1.0), (0, 2), (0.5, -inf), (inf, inf), (None, frozenset({1.0})), (0.4, 0.5)),
-              _Leaf((3.0, 5.0), (0, 2), (0.5, -inf), (inf, inf), (None, frozenset({0.0})), (0.4, 0.5))]
-    x = np.array([[0.2, 1.0, 1.0], [0.9, -1.0, 0.0], [0.5, 0.0, 1.0]])
-
-    def value(row, known, k):
-        total = 0.0
-        for leaf in leaves:
-            weight = leaf.values[k]
-            for f, low, high, kinds, share in zip(*leaf[1:], strict=True):
-                meets = (low < row[f] <= high) if kinds is None else row[f] in kinds
-                weight *= float(meets) if f in known else share
-            total += weight
-        return total
-
-    expected = np.zeros((2, *x.shape))
-    for k, i, j in itertools.product(range(2), range(3), range(3)):
-        others = [f for f in range(3) if f != j]
-        for size in range(3):
+def random_tree(dice, features: int, depth: int, classes: int) -> dict[int, dict]:
+    """A node table such as Spark saves: thresholds, categories, features asked again."""
+
+    nodes, waiting = {}, [(0, 0, 64.0)]
+    while waiting:
+        number, level, count = waiting.pop()
+        node = nodes[number] = {"rawCount": count, "leftChild": -1, "rightChild": -1,
+                                "prediction": dice.normal(), "impurityStats": dice.randint(1, 9, classes)}
+        if level < depth and count > 2 and dice.rand() < 0.85:
+            low = float(dice.randint(1, int(count)))
+            left = len(nodes) + len(waiting)
+            while left in nodes or any(left in (w[0], w[0] + 1) for w in waiting):
+                left += 1
+            node |= {"leftChild": left, "rightChild": left + 1}
+            feature = int(dice.randint(features))
+            node["split"] = {"featureIndex": feature, "numCategories": 3 if feature == 0 else -1,
+                             "leftCategoriesOrThreshold": [float(dice.randint(3))] if feature == 0
+                             else [dice.normal()]}
+            waiting += [(left, level + 1, low), (left + 1, level + 1, count - low)]
+    return nodes
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_tree_attributions_against_all_coalitions(seed):
+    dice = np.random.RandomState(seed)
+    features, by_class = 4, seed % 2 == 0
+    tables = [random_tree(dice, features, 1 + seed % 6, 2) for _ in range(3)]
+    x = dice.normal(size=(5, features))
+    x[:, 0] = dice.randint(0, 4, 5)  # a code that no split knows too
+
+    def expected(nodes, number, row, known, k):
+        node = nodes[number]
+        if node["leftChild"] < 0:
+            stats = node["impurityStats"]
+            return stats[k] / stats.sum() if by_class else node["prediction"]
+        split, children = node["split"], (node["leftChild"], node["rightChild"])
+        feature, asked = split["featureIndex"], split["leftCategoriesOrThreshold"]
+        below = [expected(nodes, c, row, known, k) for c in children]
+        if feature not in known:
+            return sum(v * nodes[c]["rawCount"] for v, c in zip(below, children, strict=True)) / node["rawCount"]
+        if split["numCategories"] > 0 and row[feature] > 2:
+            return 0.0  # an unknown code meets neither side
+        left = row[feature] in asked if split["numCategories"] > 0 else row[feature] <= asked[0]
+        return below[0] if left else below[1]
+
+    value = lambda row, known, k: sum(expected(n, 0, row, known, k) for n in tables) / 3
+    plain = np.zeros((2 if by_class else 1, *x.shape))
+    for k, i, j in itertools.product(range(len(plain)), range(len(x)), range(features)):
+        others = [f for f in range(features) if f != j]
+        for size in range(features):
             for known in itertools.combinations(others, size):
-                share = math.factorial(size) * math.factorial(2 - size) / 6
-                expected[k, i, j] += share * (
-                    value(x[i], {*known, j}, k) - value(x[i], set(known), k))
-    assert leaf_attributions(x, leaves) == pytest.approx(expected)
+                share = math.factorial(size) * math.factorial(features - 1 - size) / math.factorial(features)
+                plain[k, i, j] += share * (value(x[i], {*known, j}, k) - value(x[i], set(known), k))
+    trees = [flat_tree(n, 1 / 3, by_class) for n in tables]
+    assert tree_attributions(x, trees) == pytest.approx(plain, abs=1e-9)
+    assert base_values(trees) == pytest.approx([value(x[0], set(), k) for k in range(len(plain))])
+
+
+def test_large_ensembles_take_time_by_nodes():
+    """Full trees of depth 12, as the study's forests have, in a moment each."""
+
+    dice = np.random.RandomState(1)
+    nodes = {}
+    for number in range(2 ** 13 - 1):
+        inner = number < 2 ** 12 - 1
+        nodes[number] = {"rawCount": 2.0 ** (12 - int(math.log2(number + 1))), "prediction": dice.normal(),
+                         "leftChild": 2 * number + 1 if inner else -1, "rightChild": 2 * number + 2 if inner else -1,
+                         "split": {"featureIndex": int(dice.randint(30)), "numCategories": -1,
+                                   "leftCategoriesOrThreshold": [dice.normal()]}}
+    tree, x = flat_tree(nodes, 1.0, False), dice.normal(size=(50, 30))
+    start = time.perf_counter()
+    found = tree_attributions(x, [tree])[0]
+    assert time.perf_counter() - start < 5
+
+    def predict(row, number=0):
+        while nodes[number]["leftChild"] >= 0:
+            split = nodes[number]["split"]
+            left = row[split["featureIndex"]] <= split["leftCategoriesOrThreshold"][0]
+            number = nodes[number]["leftChild" if left else "rightChild"]
+        return nodes[number]["prediction"]
+
+    assert found.sum(1) + base_values([tree])[0] == pytest.approx([predict(row) for row in x])
 
 
 def test_classifiers_with_three_labels(spark):
