@@ -18,6 +18,7 @@ from sliceworks.checks import fresh_name, require_columns
 from sliceworks.operators.ordering import (
     order_key, small_table, smallest_key_cuts, stratum_key_cuts, with_rank,
 )
+from sliceworks.session import written
 
 SPLITS = ("train", "validation", "test")
 
@@ -201,11 +202,26 @@ def sample_groups(
 
 
 def sample_rows(df: DataFrame, id_columns: Sequence[str], limit: int, *, seed: int = 42) -> DataFrame:
-    """A repeatable random sample of at most ``limit`` rows."""
+    """A repeatable random sample of at most ``limit`` rows.
+
+    Of rows that share the ids at the cut, those of the lowest hash of the whole row are taken, and of
+    equal rows as many as are still missing.
+    """
 
     key = order_key(seed, *id_columns)
-    _, (cut,) = smallest_key_cuts(df.select(key.alias("key")), "key", lambda n: [min(n, limit)])
-    return df.filter(key <= _text(cut))
+    total, (cut,) = smallest_key_cuts(df.select(key.alias("key")), "key", lambda n: [min(n, limit)])
+    if cut is None:
+        return df.filter(F.lit(False))
+    below, upto = df.agg(F.count_if(key < cut), F.count_if(key <= cut)).first()
+    missing = min(total, limit) - below
+    if upto - below == missing:
+        return df.filter(key <= cut)
+    tied = df.filter(key == cut)
+    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    _, (last,) = smallest_key_cuts(tied.select(whole.alias("key")), "key", lambda n: [missing])
+    before = tied.filter(whole < last)
+    return df.filter(key < cut).unionByName(before).unionByName(
+        tied.filter(whole == last).limit(missing - before.count()))
 
 
 def _turns(class_sizes: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, int, list[int]]]:
@@ -247,50 +263,143 @@ def _turns(class_sizes: Sequence[tuple[int, int]], folds: int) -> list[tuple[int
     return turns
 
 
+#: Portions that a class of equal groups is dealt in at first, and classes written at a time.
+STEPS, CLASSES = 1024, 50_000
+
+
+class _Balance:
+    """Label counts of folds, and which fold a group leaves the labels' shares least spread over.
+
+    The spread of a label is the deviation, over folds, of the share of its rows that a fold holds;
+    it does not change when all folds get the same, so choices repeat once each fold had its turn.
+    """
+
+    def __init__(self, totals: Mapping[str | None, int], folds: int) -> None:
+        self.totals, self.folds, self.rows = totals, folds, [0] * folds
+        self.counts = {label: [0] * folds for label in totals}
+        self.sums = {label: (0, 0) for label in totals}
+
+    def _spread(self, label: str | None, fold: int | None, n: int) -> float:
+        one, two = self.sums[label]
+        if fold is not None:
+            one, two = one + n, two + 2 * n * self.counts[label][fold] + n * n
+        return math.sqrt(self.folds * two - one * one) / (self.folds * self.totals[label])
+
+    def best(self, group: Sequence[tuple[str | None, int]]) -> int:
+        """Least spread (to ten digits), then fewest rows, then the first fold."""
+
+        old = sum(self._spread(label, None, 0) for label, _ in group)
+        change = [round(sum(self._spread(label, f, n) for label, n in group) - old, 10)
+                  for f in range(self.folds)]
+        return min(range(self.folds), key=lambda f: (change[f], self.rows[f], f))
+
+    def add(self, group: Sequence[tuple[str | None, int]], fold: int, times: int) -> None:
+        for label, n in group:
+            one, two = self.sums[label]
+            n, old = n * times, self.counts[label][fold]
+            self.sums[label] = one + n, two + 2 * n * old + n * n
+            self.counts[label][fold] = old + n
+            self.rows[fold] += n
+
+    def deal(self, group: Sequence[tuple[str | None, int]], amount: int) -> list[tuple[int, list[int]]]:
+        """Folds of so many equal groups as ``(first position, rotation)``: one after the other to the
+        best fold, large amounts in portions, until each fold had its turn and the turns repeat. Portions
+        then get smaller, down to single groups."""
+
+        turns, last, dealt, portion = [], [], 0, max(1, amount // STEPS)
+        while dealt < amount:
+            left = amount - dealt
+            if portion > 1 and portion * self.folds > left:
+                portion, last = portion // 2, []
+                continue
+            fold = self.best([(label, n * portion) for label, n in group])
+            rotation = last[-self.folds:]
+            if len(set(rotation)) == self.folds and rotation[0] == fold:
+                cycles = left // (portion * self.folds)
+                amount_now = left if portion == 1 else cycles * portion * self.folds
+                turns.append((dealt, rotation))
+                for place, f in enumerate(rotation):
+                    self.add(group, f, (amount_now - place + self.folds - 1) // self.folds)
+                dealt, portion, last = dealt + amount_now, max(1, portion // 2), []
+                continue
+            if not turns or turns[-1][1] != [fold]:
+                turns.append((dealt, [fold]))
+            last = [*rotation, fold]
+            self.add(group, fold, portion)
+            dealt += portion
+        return turns
+
+
+def stratified_group_folds(
+    df: DataFrame, group: str, label: str, folds: int, *, seed: int = 42
+) -> DataFrame:
+    """One row per group: its rows, its majority label and its fold, so that each fold holds about the
+    same share of every label.
+
+    Groups are dealt in order of how uneven their label counts are, each to the fold that leaves the
+    labels' shares least spread. Groups with equal label counts are one class, dealt at once; the
+    classes pass through the driver one by one. Null labels are a label, rows without a group a group.
+    """
+
+    require_columns(df, [group, label])
+    per_label = df.groupBy(group, F.col(label).cast("string").alias("_label")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    totals = {row["_label"]: row["n"] for row in per_label.groupBy("_label").agg(
+        F.sum("_n").alias("n")).collect()}  # as many as there are labels
+    vector = F.array_sort(F.collect_list(F.struct(F.col("_label").alias("label"), F.col("_n").alias("n"))))
+    groups = written(per_label.groupBy(group).agg(
+        F.sum("_n").cast("long").alias("group_rows"),
+        F.min(F.struct(-F.col("_n"), F.col("_label").isNull(), F.col("_label").alias("name")))["name"]
+        .alias("majority_label"), vector.alias("_vector")).withColumn(
+        "_class", F.array_join(F.transform("_vector", lambda x: F.concat(
+            F.to_json(F.array(x["label"])), x["n"].cast("string"))), "")), "label-counts")
+    squares = F.aggregate("_vector", F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"])
+    classes = groups.groupBy("_class", "_vector", "group_rows").agg(F.count(F.lit(1)).alias("groups")).withColumn(
+        "_uneven", squares * len(totals) - F.col("group_rows") * F.col("group_rows")).orderBy(
+        F.desc("_uneven"), F.desc("group_rows"), "_class")
+    schema = "_class string, turns array<struct<first:long,rotation:array<int>>>"
+    balance, deals, tables = _Balance(totals, folds), [], []
+    for row in classes.toLocalIterator():
+        deals.append((row["_class"], balance.deal([tuple(x) for x in row["_vector"]], row["groups"])))
+        if len(deals) == CLASSES:
+            tables.append(written(df.sparkSession.createDataFrame(deals, schema), "deals"))
+            deals = []
+    tables.append(small_table(df.sparkSession, deals, schema))
+    ranked = with_rank(groups.withColumn("_key", order_key(seed, group)), ["_class"], "_key", "_rank")
+    return _dealt(ranked.join(reduce(DataFrame.unionByName, tables), "_class")).drop("_class", "_vector")
+
+
+def _dealt(ranked: DataFrame) -> DataFrame:
+    """The fold of each group from its rank in its class and the class's turns."""
+
+    position = F.col("_rank") - 1
+    turn = F.element_at(F.filter("turns", lambda t: t["first"] <= position), -1)
+    place = ((position - turn["first"]) % F.size(turn["rotation"])).cast("int")
+    return ranked.withColumn("fold", F.get(turn["rotation"], place)).drop("turns", "_key", "_rank")
+
+
 def grouped_folds(
     df: DataFrame, group: str, folds: int, *, seed: int = 42, label: str | None = None
 ) -> DataFrame:
     """One row per group: its rows and its fold, the largest group going to the lightest fold.
 
-    With ``label`` the groups of each majority label are dealt separately, which spreads the
-    labels over the folds.
+    With ``label`` the folds also balance the labels, see :func:`stratified_group_folds`.
     """
 
-    require_columns(df, [group, *([label] if label else [])])
     if label:
-        per_label = df.groupBy(group, F.col(label).cast("string").alias("_label")).agg(
-            F.count(F.lit(1)).alias("_n"))
-        sizes = per_label.groupBy(group).agg(
-            F.sum("_n").alias("group_rows"),
-            F.min(F.struct(-F.col("_n"), F.col("_label").alias("name")))["name"]
-            .alias("majority_label"),
-        )
-        by = ["majority_label", "group_rows"]
-    else:
-        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows"))
-        by = ["group_rows"]
+        return stratified_group_folds(df, group, label, folds, seed=seed)
+    require_columns(df, [group])
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows"))
     # one row per distinct group size (n rows have fewer than sqrt(2n) distinct sizes)
-    classes = sizes.groupBy(*by).agg(F.count(F.lit(1)).alias("groups")).collect()
-    deals = []
-    for name in {row["majority_label"] for row in classes} if label else {None}:
-        mine = sorted(((row["group_rows"], row["groups"]) for row in classes
-                       if not label or row["majority_label"] == name), reverse=True)
-        per_size: dict[int, list[tuple[int, list[int]]]] = {}
-        for size, first, rotation in _turns(mine, folds):
-            per_size.setdefault(size, []).append((first, rotation))
-        deals += [((name,) if label else ()) + (size, turns) for size, turns in per_size.items()]
-    schema = ("majority_label string, " if label else "") + \
-        "group_rows long, turns array<struct<first:long,rotation:array<int>>>"
-    deal_table = small_table(df.sparkSession, deals, schema)
-    ranked = with_rank(sizes.withColumn("_key", order_key(seed, group)), by, "_key", "_rank")
-    position = F.col("_rank") - 1
-    turn = F.element_at(F.filter("turns", lambda t: t["first"] <= position), -1)
-    place = ((position - turn["first"]) % F.size(turn["rotation"])).cast("int")
-    return (
-        ranked.join(deal_table, by)
-        .withColumn("fold", F.get(turn["rotation"], place))
-        .drop("turns", "_key", "_rank")
-    )
+    classes = sizes.groupBy("group_rows").agg(F.count(F.lit(1)).alias("groups")).collect()
+    per_size: dict[int, list[tuple[int, list[int]]]] = {}
+    for size, first, rotation in _turns(sorted(((r["group_rows"], r["groups"]) for r in classes), reverse=True),
+                                        folds):
+        per_size.setdefault(size, []).append((first, rotation))
+    deal_table = small_table(df.sparkSession, list(per_size.items()),
+                             "group_rows long, turns array<struct<first:long,rotation:array<int>>>")
+    ranked = with_rank(sizes.withColumn("_key", order_key(seed, group)), ["group_rows"], "_key", "_rank")
+    return _dealt(ranked.join(deal_table, "group_rows"))
 
 
 def with_folds(

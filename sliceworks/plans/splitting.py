@@ -91,27 +91,51 @@ def grouped_split_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_membership(split, "conv_id", ["turn"])
 
 
-def folds_sql(table_name: str, group: str, folds: int, label: str | None = None) -> str:
+def folds_sql(table_name: str, group: str, folds: int) -> str:
     """Deal the groups one after the other to the lightest fold, by a fold over a list."""
 
-    majority = f"""
-labelled AS (SELECT {group}, {label} AS label, count(*) AS n FROM {table_name} GROUP BY ALL),
-sizes AS (SELECT {group}, sum(n)::BIGINT AS group_rows, arg_min(label, (-n, label)) AS majority_label
-  FROM labelled GROUP BY {group})""" if label else f"""
-sizes AS (SELECT {group}, count(*) AS group_rows, 'all' AS majority_label FROM {table_name} GROUP BY {group})"""
     start = ", ".join(["0::BIGINT"] * folds)
-    return f"""WITH {majority},
-ordered AS (SELECT *, row_number() OVER (PARTITION BY majority_label
-    ORDER BY group_rows DESC, md5('42|' || {group}::VARCHAR)) AS rn FROM sizes),
-listed AS (SELECT majority_label, list(group_rows ORDER BY rn) AS item FROM ordered GROUP BY 1),
+    return f"""WITH sizes AS (SELECT {group}, count(*) AS group_rows FROM {table_name} GROUP BY {group}),
+ordered AS (SELECT *, row_number() OVER (ORDER BY group_rows DESC, md5('42|' || {group}::VARCHAR)) AS rn FROM sizes),
+listed AS (SELECT list(group_rows ORDER BY rn) AS item FROM ordered),
 dealt AS (
-  SELECT majority_label, list_reduce(item, lambda a, x: {{
+  SELECT list_reduce(item, lambda a, x: {{
       'loads': list_transform(a.loads, lambda load, i: load + CASE WHEN i = list_position(a.loads, list_min(a.loads)) THEN x.x ELSE 0 END),
       'x': 0::BIGINT, 'picks': list_append(a.picks, list_position(a.loads, list_min(a.loads)) - 1)}},
     {{'loads': [{start}], 'x': 0::BIGINT, 'picks': []::INT[]}}).picks AS picks
-  FROM (SELECT majority_label, list_transform(item, lambda v: {{'loads': []::BIGINT[], 'x': v, 'picks': []::INT[]}}) AS item FROM listed))
-SELECT {group}, group_rows, {"majority_label, " if label else ""}picks[rn]::INT AS fold
-FROM ordered JOIN dealt USING (majority_label)"""
+  FROM (SELECT list_transform(item, lambda v: {{'loads': []::BIGINT[], 'x': v, 'picks': []::INT[]}}) AS item FROM listed))
+SELECT {group}, group_rows, picks[rn]::INT AS fold FROM ordered, dealt"""
+
+
+def stratified_sql(rows: str, group: str, folds: int) -> str:
+    """Deal the groups of ``rows`` (with a ``label``), the most uneven first, each to the fold that leaves the
+    labels' shares least spread."""
+
+    deviation = "sqrt(({folds} * {two} - ({one}) * ({one}))::DOUBLE) / ({folds} * t[k])"
+    one = "list_sum(list_transform(counts, lambda c: c[k]))"
+    two = "list_sum(list_transform(counts, lambda c: c[k] * c[k]))"
+    new = deviation.format(folds=folds, one=f"{one} + v[k]", two=f"({two} + 2 * v[k] * counts[f][k] + v[k] * v[k])")
+    old = deviation.format(folds=folds, one=one, two=two)
+    return f"""WITH RECURSIVE c AS ({rows}),
+lab AS (SELECT {group}, label, count(*) AS n FROM c GROUP BY ALL),
+tot AS (SELECT label, sum(n)::BIGINT AS t FROM lab GROUP BY label),
+tots AS (SELECT list(t ORDER BY label NULLS FIRST) AS t, count(*) AS labels FROM tot),
+wide AS (SELECT g.{group}, tot.label, coalesce(n, 0) AS n FROM (SELECT DISTINCT {group} FROM lab) g CROSS JOIN tot
+    LEFT JOIN lab ON lab.{group} = g.{group} AND lab.label IS NOT DISTINCT FROM tot.label),
+grp AS (SELECT {group}, sum(n)::BIGINT AS group_rows, sum(n * n)::BIGINT AS squares, list(n ORDER BY label NULLS FIRST) AS v,
+    string_agg(to_json([label])::VARCHAR || n, '' ORDER BY label NULLS FIRST) FILTER (WHERE n > 0) AS class,
+    list(label ORDER BY -n, label IS NULL, label)[1] AS majority_label FROM wide GROUP BY {group}),
+ordered AS (SELECT *, row_number() OVER (ORDER BY squares * labels - group_rows * group_rows DESC, group_rows DESC, class,
+    md5('42|' || {group}::VARCHAR)) AS rn FROM grp, tots),
+deal AS (
+  SELECT 0::BIGINT AS rn, list_transform(range({folds}), lambda f: list_transform(t, lambda x: 0::BIGINT)) AS counts, 0 AS fold FROM tots
+  UNION ALL
+  SELECT rn, list_transform(counts, lambda c, f: CASE WHEN f = best THEN list_transform(c, lambda x, k: x + v[k]) ELSE c END), best - 1
+  FROM (SELECT o.rn, v, counts, list_min(list_transform(range(1, {folds + 1}), lambda f: {{
+        'change': round(list_sum(list_transform(range(1, labels + 1), lambda k: {new} - {old})), 10),
+        'load': list_sum(counts[f]), 'f': f}})).f AS best
+    FROM deal JOIN ordered o ON o.rn = deal.rn + 1))
+SELECT {group}, group_rows, majority_label, fold::INT AS fold FROM ordered JOIN deal USING (rn)"""
 
 
 @query("grouped_folds", folds_sql("lineitem", "l_orderkey", 3))
@@ -119,9 +143,15 @@ def lineitem_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_folds(table(spark, sf_dir, "lineitem"), "l_orderkey", 3)
 
 
-@query("stratified_folds", folds_sql("conversations", "conv_id", 4, "role"))
+@query("stratified_folds", stratified_sql(
+    "SELECT conv_id, CASE WHEN role <> 'system' AND turn % 7 <> 3 THEN role END AS label FROM conversations",
+    "conv_id", 4))
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped_folds(table(spark, sf_dir, "conversations"), "conv_id", 4, label="role")
+    """Folds of conversations that balance their roles; some roles are taken out, so null is a label."""
+
+    rows = table(spark, sf_dir, "conversations").withColumn("label", F.expr(
+        "CASE WHEN role <> 'system' AND turn % 7 <> 3 THEN role END"))
+    return grouped_folds(rows, "conv_id", 4, label="label")
 
 
 @query("fold_sizes", "SELECT fold, sum(group_rows)::BIGINT AS row_count, count(*) AS group_count FROM ("

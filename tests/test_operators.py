@@ -297,3 +297,66 @@ def test_constant_histogram(spark):
     df = spark.createDataFrame([(2.0,)] * 3, "x double")
     row = histogram(df, "x").first()
     assert row["bin_count"] == 3 and row["bin_start"] <= 2.0 <= row["bin_end"]
+
+
+def plain_stratified(groups, folds):
+    """Fold of each group (name, key, label counts), dealt one by one to the fold of least spread."""
+
+    labels = sorted({x for *_, v in groups for x in v}, key=lambda x: (x is not None, x or ""))
+    totals = {x: sum(v.get(x, 0) for *_, v in groups) for x in labels}
+    text = lambda v: "".join(f'["{x}"]{v[x]}' if x is not None else f"[null]{v[x]}" for x in labels if x in v)
+    uneven = lambda v: len(labels) * sum(n * n for n in v.values()) - sum(v.values()) ** 2
+    counts, out = [dict.fromkeys(labels, 0) for _ in range(folds)], {}
+    for name, _, v in sorted(groups, key=lambda g: (-uneven(g[2]), -sum(g[2].values()), text(g[2]), g[1])):
+        def spread(fold, v=v):
+            shares = [[(c[x] + (v.get(x, 0) if f == fold else 0)) / totals[x] for f, c in enumerate(counts)] for x in labels]
+            return round(sum(float(np.std(s)) for s in shares), 9)
+
+        out[name] = min(range(folds), key=lambda f: (spread(f), sum(counts[f].values()), f))
+        for x, n in v.items():
+            counts[out[name]][x] += n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stratified_folds_balance_labels(spark, seed):
+    """Null labels and null groups stay; folds are those of dealing one by one."""
+
+    import hashlib
+    import random
+
+    dice = random.Random(seed)
+    rows = [(g if g else None, dice.choice(["a", "b", None, "c"][:2 + seed % 3])) for g in range(120)
+            for _ in range(dice.choice([1, 1, 2, 3, 9]))]
+    rows += [(500 + k, None) for k in range(20)] + [(900, "a")] * 60
+    df = spark.createDataFrame(rows, "g int, y string").repartition(3)
+    counted = {}
+    for g, y in rows:
+        counted.setdefault(g, {}).setdefault(y, 0)
+        counted[g][y] += 1
+    key = lambda g: hashlib.md5(("42|" + ("\\N" if g is None else str(g))).encode()).hexdigest()
+    expected = plain_stratified([(g, key(g), v) for g, v in counted.items()], 4)
+    found = grouped_folds(df, "g", 4, label="y").collect()
+    assert {r.g: r.fold for r in found} == expected
+    assert {r.g: r.group_rows for r in found} == {g: sum(v.values()) for g, v in counted.items()}
+    assert with_folds(df, "g", 4, label="y").filter("fold is not null").count() == len(rows)
+
+
+def test_large_classes_are_dealt_in_few_steps():
+    from sliceworks.operators.splits import _Balance
+
+    balance = _Balance({"a": 10 ** 9 + 7, "b": 3 * 10 ** 8}, 3)
+    balance.deal([("b", 3 * 10 ** 8)], 1)
+    turns = balance.deal([("a", 1)], 10 ** 9 + 7)
+    assert len(turns) < 2_000 and turns[0][0] == 0
+    assert max(balance.counts["a"]) - min(balance.counts["a"]) <= 1
+
+
+def test_samples_keep_their_limit_where_ids_repeat(spark):
+    rows = [(k // 6, k % 4, None if k % 5 else "x") for k in range(90)]
+    df = spark.createDataFrame(rows, "id int, v int, t string").repartition(3)
+    for limit in (0, 1, 7, 50, 89, 200):
+        found = sample_rows(df, ["id"], limit).collect()
+        assert len(found) == min(limit, 90)
+        assert sorted(map(str, found)) == sorted(map(str, sample_rows(df, ["id"], limit).collect()))
+    assert sample_rows(df.limit(0), ["id"], 5).count() == 0
