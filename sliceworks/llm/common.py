@@ -8,6 +8,7 @@ import types
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +27,37 @@ def word_finder() -> Callable[[str], list[str]]:
     return re.compile(WORD).findall
 
 
+def _task() -> int | None:
+    context = TaskContext.get()
+    return context.taskAttemptId() if context else None
+
+
+def _states() -> dict[str, tuple[object, int | None]]:
+    """What this worker keeps, with the task that last used it."""
+
+    module = sys.modules.setdefault("_text_worker_state", types.ModuleType("_text_worker_state"))
+    return module.__dict__.setdefault("states", {})
+
+
 def worker_state(name: str, make: Callable[[], object]) -> object:
-    """An object that a Python worker makes once and keeps for its later tasks."""
+    """An object that a Python worker makes once and keeps for its later tasks.
+
+    It goes as soon as the worker gets a task that does not ask for it (see ``slices``), so that
+    workers, which Spark uses again for other stages, do not carry it through them.
+    """
+
+    states = _states()
+    made = states[name][0] if name in states else make()
+    states[name] = (made, _task())
+    return made
+
 
-    store = sys.modules.setdefault("_text_worker_state", types.ModuleType("_text_worker_state"))
-    if not hasattr(store, name):
-        setattr(store, name, make())
-    return getattr(store, name)
+def drop_stale_states() -> None:
+    """Forget what this task has not asked for."""
+
+    states, task = _states(), _task()
+    for name in [name for name, (_, used) in states.items() if used != task]:
+        del states[name]
 
 
 def column(name: str) -> Column:
@@ -48,8 +73,12 @@ def crc_of(name: str) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in shorter pieces, so that few texts are Python objects at a time."""
+    """The batches in shorter pieces, so that few texts are Python objects at a time.
+
+    A task asks for its kept state before; what earlier tasks left goes here.
+    """
 
+    drop_stale_states()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
