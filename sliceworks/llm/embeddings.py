@@ -36,7 +36,7 @@ from sliceworks.llm.simhash import components
 from sliceworks.session import written
 
 #: Codes for each vector, axes tried for each hash, and the largest number of probes in a table.
-SPREAD, AXES, PROBES = 8, 3, 8
+SPREAD, AXES, PROBES = 32, 3, 8
 #: Numbers and members that a chunk of a bucket holds at most.
 CHUNK_NUMBERS, CHUNK_MEMBERS = 1 << 17, 1024
 #: Members of small buckets that are handled together.

@@ -31,7 +31,7 @@ def test_hadamard_keeps_lengths_and_rows():
 @pytest.mark.parametrize("length,n", [(1, 10), (3, 1000), (64, 10_000), (100, 10 ** 7)])
 def test_tables_have_enough_codes_and_no_probe_twice(length, n):
     plan = embeddings.plan_tables(length, n, 0.9, 1e-3)
-    assert (2 * plan.width) ** (plan.hashes - 1) * 2 * plan.last >= 8 * n and plan.probes > 1
+    assert (2 * plan.width) ** (plan.hashes - 1) * 2 * plan.last >= 32 * n and plan.probes > 1
     x = embeddings.padded(np.random.RandomState(2).normal(size=(50, length)), plan.width)
     for table in range(min(3, plan.tables)):
         assert all(len(set(row)) == plan.probes for row in plan.codes(x, table).tolist())
