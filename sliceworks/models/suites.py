@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
+from statistics import mean, pstdev
 from typing import NamedTuple
 
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import OneVsRest
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 from pyspark.util import inheritable_thread_target
@@ -51,14 +53,19 @@ def stacked(frames: Iterable[DataFrame]) -> DataFrame:
 
 def fit_settings(
     learner: Estimator, prepared: DataFrame, maps: Sequence[dict[Param, object]], parallelism: int
-) -> list:
-    """One model per setting, a few at a time, all on the same prepared rows."""
+) -> list[tuple[Model, float]]:
+    """One model per setting with its fit's seconds, a few at a time, all on the same prepared rows."""
 
     fits = learner.fitMultiple(prepared, maps)
-    step = inheritable_thread_target(prepared.sparkSession)(lambda _: next(fits))
+
+    def timed(_) -> tuple[int, Model, float]:
+        start = time.perf_counter()
+        return *next(fits), time.perf_counter() - start
+
+    step = inheritable_thread_target(prepared.sparkSession)(timed)
     with ThreadPool(max(1, min(parallelism, len(maps)))) as pool:
-        models = dict(pool.imap_unordered(step, range(len(maps))))
-    return [models[i] for i in range(len(maps))]
+        found = {i: (model, seconds) for i, model, seconds in pool.imap_unordered(step, range(len(maps)))}
+    return [found[i] for i in range(len(maps))]
 
 
 def model_importance(model: PipelineModel, prepared: DataFrame, vector: str = "features"
@@ -80,8 +87,58 @@ def model_importance(model: PipelineModel, prepared: DataFrame, vector: str = "f
         F.desc("importance"), "feature")
 
 
+def fan_out(prepared: DataFrame, models: Mapping[object, Model], keep: Sequence[str],
+            keys: Callable[[object], dict[str, Column]]) -> DataFrame:
+    """One row per prepared row and model: what is kept, the model's keys, ``prediction`` and ``scores``.
+
+    The models run one after the other on the same row, which is then taken apart once, so the rows
+    are read and prepared once however many models there are.
+    """
+
+    made = ("prediction", "probability", "rawPrediction", "scores", "label_scores")
+    carried = dict.fromkeys([*keep])
+    rows, results = prepared.select(*carried, "features"), []
+    for k, (name, model) in enumerate(models.items()):
+        out = model.transform(rows)
+        scores = next((vector_to_array(c) if c != "scores" else F.col(c) for c in ("probability", "rawPrediction",
+                       "scores") if c in out.columns and c not in carried), F.lit(None).cast("array<double>"))
+        labels = [column.alias(c) for c, column in keys(name).items()]
+        result = F.struct(*labels, F.col("prediction").cast("double").alias("prediction"), scores.alias("scores"))
+        rows = out.withColumn(f"_result{k}", result).drop(*[c for c in made if c not in carried])
+        results.append(f"_result{k}")
+    if not results:
+        raise ValueError("There is no model to score with.")
+    return rows.select(*carried, F.explode(F.array(*results)).alias("_result")).select(*carried, "_result.*")
+
+
+def shared_preparation(models: Mapping[object, PipelineModel]) -> tuple[PipelineModel, dict] | None:
+    """The preparation that all pipelines share, and their learners; null if they differ."""
+
+    parts = {name: (model.stages[:-1], model.stages[-1]) for name, model in models.items()}
+    preparations = [tuple(map(id, stages)) for stages, _ in parts.values()]
+    if len(set(preparations)) != 1:
+        return None
+    return PipelineModel(list(next(iter(parts.values()))[0])), {n: learner for n, (_, learner) in parts.items()}
+
+
 # -- regression -------------------------------------------------------------------------------
 
+def score_all(models: Mapping[str, PipelineModel], df: DataFrame, *, target: str, ablation: str = "all",
+              keep: Sequence[str] = ()) -> DataFrame:
+    """Prediction rows of all models for every split of a table, which is read once where the models
+    share their preparation."""
+
+    shared = shared_preparation(models)
+    if shared is None:
+        return stacked(score(model, df, target=target, name=name, ablation=ablation, keep=keep)
+                       for name, model in models.items())
+    ready, learners = shared
+    columns = list(dict.fromkeys(["split_name", *keep, target]))
+    scored = fan_out(ready.transform(df), learners, columns, lambda name: {"_model": F.lit(name)})
+    return predictions(scored.select(*columns, "prediction", "_model"), truth=target,
+                       predicted="prediction", ablation=ablation, model=F.col("_model")).drop("_model")
+
+
 def score(model: PipelineModel, df: DataFrame, *, target: str, name: str, ablation: str = "all",
           keep: Sequence[str] = ()) -> DataFrame:
     """Prediction rows of one model for every split of a table."""
@@ -120,9 +177,7 @@ def fit_regressors(
     with kept(ready.transform(train).select("features", target)) as prepared:
         models = {spec.name: PipelineModel([ready, spec.build().fit(prepared)]) for spec in specs}
     held_out = table.filter(F.col("split_name") != "train")
-    return Suite(models, stacked(
-        score(model, held_out, target=target, name=name, ablation=ablation, keep=keep)
-        for name, model in models.items()))
+    return Suite(models, score_all(models, held_out, target=target, ablation=ablation, keep=keep))
 
 
 # -- grouped search ---------------------------------------------------------------------------
@@ -132,26 +187,35 @@ class SearchResult(NamedTuple):
 
     model: PipelineModel
     best: dict[str, object]
-    best_r2: float
+    best_r2: float | None
     results: DataFrame
 
 
+#: Scores of a search and whether the best is the largest.
+SCORES = {"r2": True, "mae": False, "rmse": False}
+
+
 def fold_results(scored: DataFrame, truth: str, predicted: str, settings: str = "setting",
-                 fold: str = "fold", by: Sequence[str] = ()) -> DataFrame:
-    """Cross-validation table from out-of-fold predictions: mean, deviation and rank over folds.
+                 fold: str = "fold", by: Sequence[str] = (), folds: int | None = None) -> DataFrame:
+    """Cross-validation table from out-of-fold predictions: each score in each fold, its mean,
+    deviation and rank, all from one aggregation by fold and setting.
 
-    Ordered by R² rank, then MAE.
+    Ordered by R² rank, then MAE. A setting without a score, such as R² on folds of one row, ranks last.
     """
 
     measures = regression_measures(truth, predicted)
     per_fold = scored.groupBy(*by, settings, fold).agg(*[m.alias(n) for n, m in measures.items()])
-    summary = per_fold.groupBy(*by, settings).agg(*[
-        f(m).alias(f"{name}_{m}") for m in ("r2", "mae", "rmse")
-        for name, f in (("mean", F.avg), ("std", F.stddev_pop))
-    ])
+    if folds is None:
+        folds = (per_fold.agg(F.max(fold)).first()[0] or 0) + 1
+    summary = per_fold.groupBy(*by, settings).agg(
+        *[F.max(F.when(F.col(fold) == k, F.col(m))).alias(f"fold{k}_{m}") for m in SCORES for k in range(folds)],
+        *[f(m).alias(f"{name}_{m}") for m in SCORES for name, f in (("mean", F.avg), ("std", F.stddev_pop))])
     # one row per setting tried
-    by_r2 = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc_nulls_last("mean_r2"))
-    return summary.withColumn("rank_r2", F.rank().over(by_r2)).orderBy("rank_r2", "mean_mae")
+    among = Window.partitionBy(*(by or [F.lit(1)]))
+    order = {m: F.desc_nulls_last(f"mean_{m}") if largest else F.asc_nulls_last(f"mean_{m}")
+             for m, largest in SCORES.items()}
+    return summary.withColumns({f"rank_{m}": F.rank().over(among.orderBy(o)) for m, o in order.items()}
+                               ).orderBy("rank_r2", "mean_mae")
 
 
 def _param_maps(learner: Estimator, grid: Sequence[Mapping[str, object]]
@@ -181,34 +245,38 @@ def grouped_search(
         largest = table.agg(F.max("fold")).first()[0]
         if largest is None or largest < 1:
             raise ValueError("Grouped cross-validation needs at least two groups.")
-        scored = []
+        scored, seconds = [], {}
         for fold in range(largest + 1):  # fewer groups than folds leave folds empty
             fit_rows = table.filter(F.col("fold") != fold)
             ready = prep(features).fit(fit_rows)
             held = ready.transform(table.filter(F.col("fold") == fold))
             with kept(ready.transform(fit_rows).select("features", target)) as prepared:
-                for name, learner in learners.items():
-                    models = fit_settings(learner, prepared, maps[name], parallelism)
-                    scored += [model.transform(held).select(
-                        "fold", target, "prediction", F.lit(name).alias("model_name"),
-                        F.lit(i).alias("setting_index")) for i, model in enumerate(models)]
+                fitted = {(name, i): fit for name, learner in learners.items()
+                          for i, fit in enumerate(fit_settings(learner, prepared, maps[name], parallelism))}
+            for key, (_, took) in fitted.items():
+                seconds.setdefault(key, []).append(took)
+            scored.append(fan_out(held, {key: model for key, (model, _) in fitted.items()}, ["fold", target],
+                                  lambda key: {"model_name": F.lit(key[0]), "setting_index": F.lit(key[1])}))
         # one row per model and setting
         tried = fold_results(stacked(scored), target, "prediction", "setting_index",
-                             by=["model_name"]).collect()
+                             by=["model_name"], folds=largest + 1).collect()
         ready = prep(features).fit(table)
-        measures = ("mean_r2", "std_r2", "mean_mae", "std_mae", "mean_rmse", "std_rmse")
+        measures = [*(f"fold{k}_{m}" for m in SCORES for k in range(largest + 1)),
+                    *(f"{name}_{m}" for m in SCORES for name in ("mean", "std"))]
+        ranks = [f"rank_{m}" for m in SCORES]
         found = {}
         with kept(ready.transform(table).select("features", target)) as prepared:
             for spec in specs:
                 mine = [r for r in tried if r["model_name"] == spec.name]
-                top = min(mine, key=lambda r: (-r["mean_r2"], r["setting_index"]))
+                top = min(mine, key=lambda r: (r["mean_r2"] is None, -(r["mean_r2"] or 0.0), r["setting_index"]))
                 best = top["setting_index"]
                 model = learners[spec.name].fit(prepared, maps[spec.name][best])
+                took = lambda r: seconds[r["model_name"], r["setting_index"]]
                 results = train.sparkSession.createDataFrame(
-                    [(str(dict(spec.grid[r["setting_index"]])), *[r[m] for m in measures],
-                      r["rank_r2"]) for r in mine],
-                    "setting string, " + ", ".join(f"{m} double" for m in measures)
-                    + ", rank_r2 int")
+                    [(str(dict(spec.grid[r["setting_index"]])), *[r[m] for m in measures + ranks],
+                      mean(took(r)), pstdev(took(r))) for r in mine],
+                    "setting string, " + ", ".join(f"{m} double" for m in measures) + ", "
+                    + ", ".join(f"{m} int" for m in ranks) + ", mean_fit_seconds double, std_fit_seconds double")
                 found[spec.name] = SearchResult(
                     PipelineModel([ready, model]), dict(spec.grid[best]), top["mean_r2"], results)
     return found
@@ -240,6 +308,25 @@ def score_classes(model: PipelineModel, df: DataFrame, labels: Sequence[str], *,
         F.col(label).cast("string").alias("true_label"), "predicted_label", "scores")
 
 
+def score_all_classes(models: Mapping[object, PipelineModel], df: DataFrame, labels: Sequence[str], *,
+                      label: str, keep: Sequence[str] = (), needs: Sequence[str] = (),
+                      key: str = "model_name") -> DataFrame:
+    """The same for all models, reading the rows once where they share their preparation; ``needs`` are
+    columns that models read beside the features."""
+
+    shared = shared_preparation(models)
+    if shared is None:
+        return stacked(score_classes(model, df, labels, label=label, name=name, keep=keep)
+                       for name, model in models.items())
+    ready, learners = shared
+    columns = list(dict.fromkeys(["split_name", *keep]))
+    scored = fan_out(ready.transform(df), learners, [*dict.fromkeys([*columns, label, *needs])],
+                     lambda name: {"_model": F.lit(name)})
+    decoded = F.get(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int"))
+    return scored.select(*columns, F.col("_model").alias(key), F.col(label).cast("string").alias("true_label"),
+                         decoded.alias("predicted_label"), "scores")
+
+
 def encode_label(df: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
     """The label as text, its code in column ``label_code`` and the labels in code order."""
 
@@ -274,9 +361,8 @@ def fit_classifiers(
         models = {spec.name: PipelineModel([ready, _for_label(spec).fit(prepared)])
                   for spec in specs}
     held_out = coded.filter(F.col("split_name") != "train")
-    return ClassifierSuite(models, stacked(
-        score_classes(model, held_out, labels, label=label, name=name, keep=keep)
-        for name, model in models.items()), labels)
+    return ClassifierSuite(models, score_all_classes(
+        models, held_out, labels, label=label, keep=keep, needs=_ids(specs)), labels)
 
 
 def classifier_comparison(scored: DataFrame, keys: Sequence[str] = ("model_name",)) -> DataFrame:
@@ -330,9 +416,7 @@ def tune_classifiers(
     validation, score test."""
 
     coded, labels = encode_label(df, label)
-    models, tried, rows = {}, [], []
-    score_as = lambda model, table, name: score_classes(
-        model, table, labels, label=label, name=name)
+    models, tried, chosen = {}, [], []
     with kept(coded) as table:
         in_split = lambda *names: table.filter(F.col("split_name").isin(*names))
         first = classification_prep(features).fit(in_split("train"))
@@ -345,21 +429,22 @@ def tune_classifiers(
             for spec in specs:
                 learner = _for_label(spec)
                 maps = _param_maps(_base(learner), spec.grid)
-                candidates = fit_settings(learner, fit_rows, maps, parallelism)
-                scored = stacked(
-                    score_as(PipelineModel([first, model]), in_split("validation"), spec.name)
-                    .withColumn("setting", F.lit(i)) for i, model in enumerate(candidates))
+                candidates = [PipelineModel([first, model]) for model, _ in
+                              fit_settings(learner, fit_rows, maps, parallelism)]
+                scored = score_all_classes(dict(enumerate(candidates)), in_split("validation"), labels,
+                                           label=label, key="setting")
                 metrics = {r["setting"]: r for r in classification_metrics(
                     scored, "true_label", "predicted_label", ["setting"]).collect()}
                 tried += [(spec.name, i, str(dict(spec.grid[i])), metrics[i]["accuracy"],
                            metrics[i]["macro_f1"]) for i in range(len(maps))]
                 best = max(range(len(maps)), key=lambda i: (metrics[i]["macro_f1"], -i))
                 models[spec.name] = PipelineModel([final, learner.fit(refit_rows, maps[best])])
-                on_test = classification_metrics(
-                    score_as(models[spec.name], in_split("test"), spec.name),
-                    "true_label", "predicted_label").first()
-                rows.append((spec.name, metrics[best]["macro_f1"], on_test["accuracy"],
-                             on_test["macro_f1"], str(dict(spec.grid[best]))))
+                chosen.append((spec.name, metrics[best], str(dict(spec.grid[best]))))
+        on_test = {r["model_name"]: r for r in classification_metrics(
+            score_all_classes(models, in_split("test"), labels, label=label),
+            "true_label", "predicted_label", ["model_name"]).collect()}
+    rows = [(name, top["macro_f1"], on_test[name]["accuracy"], on_test[name]["macro_f1"], setting)
+            for name, top, setting in chosen]
     spark = df.sparkSession
     return Tuned(
         models,
@@ -432,15 +517,14 @@ def regime_study(
             found = grouped_search(design.filter(F.col("split_name") == "train"), used, target,
                                    group, models, folds=folds, parallelism=parallelism)
             held_out = design.filter(F.col("split_name") != "train")
-            write_predictions(stacked(
-                score(result.model, held_out, target=target, name=name, ablation=regime.name,
-                      keep=carried) for name, result in found.items()), path)
+            write_predictions(score_all({name: result.model for name, result in found.items()}, held_out,
+                                        target=target, ablation=regime.name, keep=carried), path)
         for name, result in found.items():
             fitted[regime.name, name] = result.model
             searches.append(result.results.select(
                 F.lit(regime.name).alias("ablation_name"), F.lit(name).alias("model_name"), "*"))
             rows.append((regime.name, name, len(used), sum(c in local for c in used),
-                         float(result.best_r2), str(result.best)))
+                         result.best_r2, str(result.best)))
     scored = read_predictions(df.sparkSession, path)
     facts = df.sparkSession.createDataFrame(
         rows, "ablation_name string, model_name string, feature_column_count int, "

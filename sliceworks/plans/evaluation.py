@@ -288,10 +288,12 @@ p AS (SELECT 'global mean' AS setting, fold, amount, m FROM b JOIN m0 ON fold =
   UNION ALL SELECT 'segment mean', fold, amount, m FROM b JOIN m1 ON fold = f AND b.c_mktsegment = m1.c_mktsegment),
 k AS (SELECT setting, fold, avg(abs(m - amount)) AS mae, sqrt(avg((m - amount) ** 2)) AS rmse,
     1 - sum((m - amount) ** 2) / (var_pop(amount) * count(*)) AS r2 FROM p GROUP BY ALL)
-SELECT setting, round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS std_r2, round(avg(mae), 6) AS mean_mae,
+SELECT setting, FOLDS round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS std_r2, round(avg(mae), 6) AS mean_mae,
   round(stddev_pop(mae), 6) AS std_mae, round(avg(rmse), 6) AS mean_rmse, round(stddev_pop(rmse), 6) AS std_rmse,
-  rank() OVER (ORDER BY avg(r2) DESC) AS rank_r2 FROM k GROUP BY setting
-""")
+  rank() OVER (ORDER BY avg(r2) DESC) AS rank_r2, rank() OVER (ORDER BY avg(mae)) AS rank_mae,
+  rank() OVER (ORDER BY avg(rmse)) AS rank_rmse FROM k GROUP BY setting
+""".replace("FOLDS", ", ".join(f"round(max({m}) FILTER (fold = {k}), 6) AS fold{k}_{m}"
+                               for m in ("r2", "mae", "rmse") for k in range(3)) + ","))
 def order_fold_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold predictions of a global and a segment mean, all folds in one pass.
 
@@ -316,7 +318,7 @@ def order_fold_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     guessed = rows.join(means, ["fold", "c_mktsegment"]).unpivot(
         ["fold", "amount"], ["global mean", "segment mean"], "setting", "guess")
     results = fold_results(guessed, "amount", "guess")
-    return rounded(results, *[c for c in results.columns if c not in ("setting", "rank_r2")])
+    return rounded(results, *[c for c in results.columns if c != "setting" and not c.startswith("rank")])
 
 
 # -- classification ---------------------------------------------------------------------------

@@ -21,7 +21,7 @@ from sliceworks.models.explain import (
 )
 from sliceworks.models.prep import classification_prep, regression_prep, release_prep, vector_names
 from sliceworks.models.suites import (
-    comparison, fit_classifiers, fit_regressors, grouped_search, model_importance,
+    comparison, fit_classifiers, fit_regressors, fold_results, grouped_search, model_importance,
 )
 from sliceworks.plans.catalogue import (
     compare_tuning, experiment_matrix, inventory, scan_single_model_runs,
@@ -335,3 +335,58 @@ def test_tuning_verdicts(spark):
                                     "k int, model_name string, validation_macro_f1 double, test_macro_f1 double")
     verdicts = [r["verdict"].split(":")[0] for r in compare_tuning(tuned, untuned, "k").orderBy("k").collect()]
     assert verdicts == ["overfitted", "no gain", "gain", "mixed", "no untuned reference"]
+
+
+def scans(df) -> int:
+    """Reads of the source table in the plan that runs."""
+
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation [") + plan.count("InMemoryRelation") + plan.count("LogicalRDD")
+
+
+def test_rows_are_read_once_for_all_models(spark, tmp_path):
+    """Scores of a suite are those of each model alone, from one scan however many models there are."""
+
+    regression_rows(spark).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    specs = [ModelSpec(f"ridge {k}", lambda k=k: Ridge(alpha=float(k + 1), labelCol="y")) for k in range(4)] + [forest()]
+    few, many = (fit_regressors(df, ["x", "c"], "y", some, release_prep, keep=["id"]) for some in (specs[:1], specs))
+    assert scans(few.scored) == scans(many.scored) == 1
+    held_out = df.filter("split_name <> 'train'")
+    for name, model in many.models.items():
+        alone = {(r["id"], r["prediction"]) for r in model.transform(held_out).collect()}
+        rows = many.scored.filter(F.col("model_name") == name).collect()
+        assert {(r["id"], r["predicted_value"]) for r in rows} == alone and len(rows) == held_out.count()
+
+    labelled = df.withColumn("label", F.when(F.col("x") < 3, "low").otherwise("top"))
+    specs = [ModelSpec("dummy", lambda: DummyClassifier(strategy="stratified", idCol="id")),
+             ModelSpec("logistic", lambda: Logistic(maxIter=20)),
+             ModelSpec("boosted", lambda: boosted_classifier(2, maxIter=2, maxDepth=2))]
+    suite = fit_classifiers(labelled, ["x", "c"], "label", specs, keep=["id"])
+    assert scans(suite.scored) == 1
+    assert suite.scored.columns == ["split_name", "id", "model_name", "true_label", "predicted_label", "scores"]
+    for name, model in suite.models.items():
+        coded = labelled.filter("split_name <> 'train'")
+        alone = {(r["id"], ["low", "top"][int(r["prediction"])]) for r in model.transform(coded).collect()}
+        assert {(r["id"], r["predicted_label"]) for r in suite.scored.filter(
+            F.col("model_name") == name).collect()} == alone
+
+
+def test_search_tables_have_folds_ranks_and_seconds(spark):
+    """Every score in every fold, three ranks; a setting without R² comes last instead of stopping the job."""
+
+    rows = [(s, f, float(y), float(y) + e) for s, e in (("near", 0.1), ("far", 2.0)) for f in range(3)
+            for y in range(4)] + [("lone", f, 1.0, 1.0) for f in range(3)]
+    found = fold_results(spark.createDataFrame(rows, "setting string, fold int, y double, p double"), "y", "p")
+    by = {r["setting"]: r for r in found.collect()}
+    assert [r["setting"] for r in found.collect()][:2] == ["near", "far"]
+    assert (by["near"]["rank_r2"], by["near"]["rank_mae"], by["lone"]["rank_mae"]) == (1, 2, 1)
+    assert by["lone"]["mean_r2"] is None and by["lone"]["rank_r2"] == 3
+    assert by["far"]["fold2_mae"] == pytest.approx(2.0) and by["far"]["std_mae"] == pytest.approx(0.0)
+    train = regression_rows(spark).filter("split_name = 'train' and g < 2")
+    spec = ModelSpec("ridge", lambda: Ridge(labelCol="y"), [{"alpha": 1.0}, {"alpha": 9.0}])
+    single = train.groupBy("g").agg(F.min("x").alias("x"), F.first("y").alias("y"))
+    result = grouped_search(single, ["x"], "y", "g", [spec], folds=2)["ridge"]
+    assert result.best == {"alpha": 1.0} and result.best_r2 is None
+    assert {"fold0_r2", "fold1_rmse", "rank_rmse", "mean_fit_seconds", "std_fit_seconds"} <= set(result.results.columns)
+    assert result.results.filter("mean_fit_seconds > 0").count() == 2
