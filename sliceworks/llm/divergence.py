@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sliceworks.llm.common import ROWS, column, slices
+from sliceworks.operators.ordering import if_small
 from sliceworks.session import written
 
 SCALE, PRIOR = 1_000_000_000, 5
@@ -222,7 +223,8 @@ def numbered(kept: DataFrame) -> DataFrame:
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.sum("groups").alias("cells"))
     sizes = sizes.withColumn("blocks", F.greatest(
         F.ceil(F.col("size") / BLOCK_TERMS), F.ceil(F.col("cells") / BLOCK_COUNTS)).cast("int"))
-    spread = kept.join(sizes, "lang").withColumn("block", F.pmod(
+    # broadcast if few, so that a language with most of the terms is not one task of the window
+    spread = kept.join(if_small(sizes), "lang").withColumn("block", F.pmod(
         F.xxhash64("term"), F.col("blocks")).cast("int"))
     return spread.withColumn("place", F.row_number().over(
         Window.partitionBy("lang", "block").orderBy("term")) - 1)
@@ -236,9 +238,10 @@ def divergence(df: DataFrame, text: str = "text", lang: str = "lang", source: st
     counts = written(term_counts(df, text, lang, source), "term-counts")
     groups = counts.filter("term IS NULL").select("lang", "source")
     counts = counts.filter("term IS NOT NULL")
-    kept = written(numbered(counts.groupBy("lang", "term").agg(
+    often = written(counts.groupBy("lang", "term").agg(
         F.sum("d").alias("d"), F.sum("n").alias("lang_n"), F.count(F.lit(1)).alias("groups")).filter(
-        F.col("d") >= least)).select("lang", "term", "lang_n", "size", "blocks", "block", "place"), "terms")
+        F.col("d") >= least), "often")
+    kept = written(numbered(often).select("lang", "term", "lang_n", "size", "blocks", "block", "place"), "terms")
     cells = written(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "cells")
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("own"))
     langs = kept.groupBy("lang").agg(F.sum("lang_n").alias("whole"), F.max("size").alias("size"),
