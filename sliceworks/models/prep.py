@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sliceworks.operators.categories import few_rows
 from sliceworks.operators.ordering import exact_quantiles
 from sliceworks.operators.profile import normalized
 
@@ -34,8 +35,8 @@ def feature_types(df: DataFrame, features: Sequence[str], bool_is_category: bool
 def fit_categories(train: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
     """Rows of every category of each column, categories in alphabetical order.
 
-    Values are counted per column before anything is fetched; the categories become slots of a
-    vector, so the driver needs their list in any case.
+    Values are counted per column before anything is fetched; the categories become named slots of
+    a vector, so the driver needs their list, and too many of them are an error.
     """
 
     if not columns:
@@ -46,7 +47,7 @@ def fit_categories(train: DataFrame, columns: Sequence[str]) -> dict[str, dict[s
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     )
     found: dict[str, dict[str, int]] = {c: {} for c in columns}
-    for row in sorted(counts.collect(), key=lambda r: (r["column"], r["value"])):
+    for row in sorted(few_rows(counts, "categories"), key=lambda r: (r["column"], r["value"])):
         found[row["column"]][row["value"]] = row["n"]
     return found
 

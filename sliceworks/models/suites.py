@@ -23,6 +23,7 @@ from pyspark.util import inheritable_thread_target
 
 from sliceworks.models.estimators import ModelSpec
 from sliceworks.models.prep import classification_prep, release_prep, vector_names
+from sliceworks.operators.categories import few_rows
 from sliceworks.operators.metrics import (
     classification_metrics, regression_measures, regression_metrics,
 )
@@ -331,6 +332,7 @@ def encode_label(df: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
     """The label as text, its code in column ``label_code`` and the labels in code order."""
 
     table = df.withColumn(label, F.col(label).cast("string"))
+    few_rows(table.select(label).distinct(), f"labels in {label!r}")
     codes = StringIndexer(inputCol=label, outputCol="label_code",
                           stringOrderType="alphabetAsc").fit(table)
     return codes.transform(table), list(codes.labels)

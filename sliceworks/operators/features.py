@@ -13,6 +13,7 @@ from sliceworks.checks import require_columns
 from sliceworks.functions.bits import bit_errors
 from sliceworks.functions.numbers import or_zero, safe_ratio
 from sliceworks.functions.tokens import count_distinct_tokens, count_token, parse_tokens, share_in_set
+from sliceworks.operators.categories import few_rows
 
 
 @dataclass(frozen=True)
@@ -108,12 +109,16 @@ def nested_feature_tables(
 
 
 def fit_categories(train: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted category list per column. The lists become column names, so they must be short."""
+    """Sorted category list per column. The lists become column names, so they must be short; see
+    ``categories.sparse_one_hot`` for long ones."""
 
-    pairs = train.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
+    pairs = few_rows(train.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "category"
-    ).filter("category is not null").distinct().orderBy("column", "category").collect()
-    return {c: [row["category"] for row in pairs if row["column"] == c] for c in columns}
+    ).filter("category is not null").distinct(), "categories")
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for row in sorted(pairs):
+        found[row["column"]].append(row["category"])
+    return found
 
 
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -131,6 +136,7 @@ def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame
 def fit_label_codes(df: DataFrame, label: str, code: str) -> StringIndexerModel:
     """Codes 0..k-1 in alphabetical order of the label text."""
 
+    few_rows(df.select(label).distinct(), f"labels in {label!r}")
     return StringIndexer(inputCol=label, outputCol=code, stringOrderType="alphabetAsc").fit(df)
 
 

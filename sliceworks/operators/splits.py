@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sliceworks.checks import fresh_name, require_columns
+from sliceworks.operators.categories import few_rows
 from sliceworks.operators.ordering import (
     order_key, small_table, smallest_key_cuts, stratum_key_cuts, with_rank,
 )
@@ -108,9 +109,9 @@ def split_stratified(
     if not df.filter(F.col(label).isNull()).isEmpty():
         raise ValueError(f"Label column {label!r} has rows without a value; drop or fill them.")
     text = F.col(label).cast("string")
-    # one row per class
-    counts = {row["label"]: row["n"] for row in
-              df.groupBy(text.alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # one row per class; a column that is no label has too many
+    counts = {row["label"]: row["n"] for row in few_rows(
+        df.groupBy(text.alias("label")).agg(F.count(F.lit(1)).alias("n")), f"classes in {label!r}")}
     total = sum(counts.values())
     n_test, n_validation = split_sizes(total, validation_size, test_size)
     within = validation_size / (1.0 - test_size)
@@ -344,8 +345,8 @@ def stratified_group_folds(
     require_columns(df, [group, label])
     per_label = df.groupBy(group, F.col(label).cast("string").alias("_label")).agg(
         F.count(F.lit(1)).alias("_n"))
-    totals = {row["_label"]: row["n"] for row in per_label.groupBy("_label").agg(
-        F.sum("_n").alias("n")).collect()}  # as many as there are labels
+    totals = {row["_label"]: row["n"] for row in few_rows(
+        per_label.groupBy("_label").agg(F.sum("_n").alias("n")), f"labels in {label!r}")}
     vector = F.array_sort(F.collect_list(F.struct(F.col("_label").alias("label"), F.col("_n").alias("n"))))
     groups = written(per_label.groupBy(group).agg(
         F.sum("_n").cast("long").alias("group_rows"),

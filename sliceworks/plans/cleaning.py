@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sliceworks.functions.tokens import (
     count_distinct_tokens, count_token, parse_tokens, share_in_set,
 )
+from sliceworks.operators.categories import category_codes, with_codes
 from sliceworks.operators.features import (
     SequenceColumns, add_ratio_features, add_sequence_features, decode_labels, fit_categories,
     fit_label_codes, nested_feature_tables, one_hot,
@@ -355,6 +356,23 @@ def one_hot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_hot(rows, fit_categories(rows.filter("split_name = 'train'"), ["priority"]))
 
 
+@query("category_codes", GROUPED_ORDERS + """
+, c AS (SELECT customer, dense_rank() OVER (ORDER BY customer) - 1 AS code, count(*) AS category_rows FROM (
+  SELECT (o_custkey % 997)::VARCHAR || '/' || o_orderpriority AS customer FROM orders JOIN s USING (o_custkey)
+  WHERE split_name = 'train') GROUP BY customer)
+SELECT o_orderkey, code, category_rows FROM orders LEFT JOIN c ON customer = (o_custkey % 997)::VARCHAR || '/' || o_orderpriority
+""")
+def category_code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, fitted on the training rows, of thousands of categories by a joined table; null if unseen."""
+
+    rows = split_groups(table(spark, sf_dir, "orders"), "o_custkey").withColumn("customer", F.concat(
+        (F.col("o_custkey") % 997).cast("string"), F.lit("/"), "o_orderpriority"))
+    codes = category_codes(rows.filter("split_name = 'train'"), ["customer"])
+    rows = with_codes(rows, codes, "customer", "code")
+    counts = codes.select("code", "category_rows")
+    return rows.join(counts, "code", "left").select("o_orderkey", "code", "category_rows")
+
+
 @query("label_index", """
 SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::DOUBLE AS code,
   o_orderpriority AS decoded FROM orders

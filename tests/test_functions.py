@@ -215,3 +215,33 @@ def test_one_hot_uses_fitted_categories(spark):
     encoded = one_hot(other, fit_categories(train, ["c"]))
     assert encoded.columns == ["c_a", "c_b"]
     assert [tuple(r) for r in encoded.collect()] == [(1.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
+
+
+def test_many_categories_are_an_error_before_they_are_fetched(spark):
+    from sliceworks.models.prep import classification_prep
+    from sliceworks.operators.splits import split_stratified
+
+    wide = spark.range(1_000_000).select("id", F.concat(F.lit("text "), F.col("id")).alias("t"))
+    for fit in (lambda: fit_categories(wide, ["t"]), lambda: classification_prep(["t"]).fit(wide),
+                lambda: split_stratified(wide, ["id"], "t")):
+        with pytest.raises(ValueError, match="more than 100000"):
+            fit()
+
+
+def test_code_tables_number_categories_in_order(spark):
+    from sliceworks.operators.categories import category_codes, sparse_one_hot, with_codes
+
+    words = [f"w{k * 7919 % 500}" for k in range(900)] + [None, "", "é", "Z"]
+    train = spark.createDataFrame([(k, w, "x" if k % 2 else None) for k, w in enumerate(words)], "k int, t string, u string")
+    codes = category_codes(train, ["t", "u"])
+    texts = sorted({w for w in words if w is not None}, key=str.encode)
+    found = {(r["column"], r["category"]): (r["code"], r["category_rows"]) for r in codes.collect()}
+    assert found == {("t", w): (k, words.count(w)) for k, w in enumerate(texts)} | {
+        ("u", "x"): (0, sum(k % 2 for k in range(len(words))))}
+    other = spark.createDataFrame([(0, "é"), (1, "never"), (2, None), (3, texts[1])], "k int, t string")
+    assert {r.k: r.c for r in with_codes(other, codes, "t", "c").collect()} == {
+        0: len(texts) - 1, 1: None, 2: None, 3: 1}
+    vectors = {r.k: r.v for r in sparse_one_hot(other, codes, "t", "v").collect()}
+    assert {k: (v.size, list(v.indices)) for k, v in vectors.items()} == {
+        0: (len(texts), [len(texts) - 1]), 1: (len(texts), []), 2: (len(texts), []), 3: (len(texts), [1])}
+    assert category_codes(train.limit(0), ["t"]).count() == 0
