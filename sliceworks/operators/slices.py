@@ -39,13 +39,14 @@ def predictions(
 
 
 def slice_metrics(
-    df: DataFrame, slice_columns: Sequence[str], keys: Sequence[str] = RUN_KEYS
+    df: DataFrame, slice_columns: Sequence[str], keys: Sequence[str] = RUN_KEYS, *, totals: bool = False,
 ) -> DataFrame:
     """Overall and per slice value: n, MAE, RMSE, R². Absent columns are skipped, a missing value
     is a slice of its own (``nan``).
 
     One pass with grouping sets; the slice is named by the grouping id, never by nulls, and map
-    tasks combine before the shuffle, so a slice with a third of all rows is no hot key.
+    tasks combine before the shuffle, so a slice with a third of all rows is no hot key. ``totals``
+    adds the sums of absolute and squared errors.
     """
 
     require_columns(df, [*keys, "target_value", "predicted_value"])
@@ -56,6 +57,9 @@ def slice_metrics(
     slices = [f"_slice_{c}" for c in present]
     sets = [[F.col(k) for k in keys]] + [[F.col(k) for k in [*keys, s]] for s in slices]
     measures = regression_measures()
+    if totals:
+        error = F.col("predicted_value").cast("double") - F.col("target_value").cast("double")
+        measures |= {"total_absolute_error": F.sum(F.abs(error)), "total_squared_error": F.sum(error * error)}
     grouped = narrow.groupingSets(sets, *keys, *slices).agg(
         F.grouping_id().alias("_set"), *[m.alias(name) for name, m in measures.items()])
     # the id has one bit per column, first column highest; a set bit means "not in this set"
@@ -126,6 +130,10 @@ def error_dominance(
         F.sum("squared_error").alias("total_squared_error"),
         F.avg("absolute_error").alias("mean_absolute_error"),
     )
+    return _shares(summary, family, keys)
+
+
+def _shares(summary: DataFrame, family: str, keys: Sequence[str]) -> DataFrame:
     shares = {"sample_fraction": "sample_count", "absolute_error_fraction": "total_absolute_error",
               "squared_error_fraction": "total_squared_error"}
     per_run = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
@@ -148,9 +156,14 @@ def variant_gap(
         return df.groupBy(*keys).agg(F.lit(False).alias("available"))
     measures = regression_measures()
     per_variant = df.groupBy(*keys, variant).agg(*[m.alias(n) for n, m in measures.items()])
+    return _gap(per_variant, variant, base, other, keys, mae_flag, r2_flag)
+
+
+def _gap(per_variant: DataFrame, variant: str, base: str, other: str, keys: Sequence[str], mae_flag: float,
+         r2_flag: float) -> DataFrame:
     of = lambda name, which: F.max(F.when(F.col(variant) == which, F.col(name)))
     entry = F.struct(F.coalesce(F.col(variant).cast("string"), F.lit("nan")).alias("variant"),
-                     *measures)
+                     *regression_measures())
     gap = per_variant.groupBy(*keys).agg(
         F.sort_array(F.collect_list(entry)).alias("variant_metrics"),  # one entry per variant
         of("sample_count", base).alias("_base"), of("sample_count", other).alias("_other"),

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from sliceworks.models.suites import comparison
 from sliceworks.operators.metrics import classification_metrics
+from sliceworks.operators.reevaluation import Evaluation, reevaluate
 from sliceworks.operators.rules import split_valid
 from sliceworks.operators.slices import best_classifier_per_scope, pivot_splits, slice_metrics
 from sliceworks.operators.splits import SPLITS, split_groups, split_rows
@@ -20,11 +21,11 @@ from sliceworks.plans.catalogue import (
 )
 from sliceworks.plans.cleaning import LINEITEM_CHECKED, LINEITEM_RULES, SEQUENCE, _part_log
 from sliceworks.plans.evaluation import (
-    METRICS, ROUNDED_SLICE, RUN_METRICS, judged_documents, order_slices, scored_orders,
+    METRICS, ROUNDED_SLICE, RUN_METRICS, SUMMARY_COLUMNS, judged_documents, order_slices, scored_orders,
 )
-from sliceworks.plans.registry import query, rounded, table
+from sliceworks.plans.registry import ORACLES, query, rounded, table
 from sliceworks.plans.sql import (
-    GROUPED_ORDERS, PREDICTIONS, SLICE_COLUMNS, SLICES, SUMMARY, split_cte,
+    GROUPED_ORDERS, MEASURES, PREDICTIONS, SLICE_COLUMNS, SLICES, SUMMARY, split_cte,
 )
 from sliceworks.session import fresh_path, written
 from sliceworks.sources.runs import scan_tables, text, write_result_table, write_run_config
@@ -133,6 +134,66 @@ def saved_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(slice_metrics(saved, SLICE_COLUMNS), *METRICS)
 
 
+def saved_evaluation(spark: SparkSession, sf_dir: str) -> Evaluation:
+    """Everything about the order models from their prediction files."""
+
+    folder = fresh_path(spark, "predictions")
+    write_predictions(scored_orders(spark, sf_dir), folder)
+    return reevaluate(
+        read_predictions(spark, folder), SLICE_COLUMNS, worst_in=["c_mktsegment", "o_orderpriority"],
+        family="c_mktsegment", variant=("o_orderstatus", "F", "O"),
+        gain={"slice_name": "c_mktsegment", "slice_value": "BUILDING", "without": "plain", "with_extra": "with_segment"})
+
+
+@query("saved_summary", f"{SUMMARY}SELECT {SUMMARY_COLUMNS} FROM summary")
+def saved_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(saved_evaluation(spark, sf_dir).summary, *RUN_METRICS)
+
+
+@query("saved_dominance", ORACLES["error_dominance"].replace("FROM pred GROUP BY ALL", "FROM pred WHERE split_name = 'test' GROUP BY ALL"))
+def saved_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = rounded(saved_evaluation(spark, sf_dir).dominance, "mean_absolute_error", "sample_fraction",
+                     "absolute_error_fraction", "squared_error_fraction")
+    return rounded(rounded(shares, "total_absolute_error", digits=3), "total_squared_error", digits=1)
+
+
+@query("saved_variant_gap", PREDICTIONS + f"""
+, m AS (SELECT ablation_name, model_name, o_orderstatus, {MEASURES} FROM pred WHERE split_name = 'test' GROUP BY ALL),
+g AS (SELECT ablation_name, model_name, max(CASE WHEN o_orderstatus = 'O' THEN mae END) - max(CASE WHEN o_orderstatus = 'F' THEN mae END) AS dm,
+    max(CASE WHEN o_orderstatus = 'O' THEN r2 END) - max(CASE WHEN o_orderstatus = 'F' THEN r2 END) AS dr, count(*) AS variants FROM m GROUP BY ALL)
+SELECT 'test' AS split_name, ablation_name, model_name, true AS available, round(dm, 6) AS delta_mae, round(dr, 6) AS delta_r2,
+  abs(dm) >= 0.02 OR abs(dr) >= 0.05 AS sharp_difference_flag, variants FROM g
+""")
+def saved_variant_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = saved_evaluation(spark, sf_dir).gaps
+    return rounded(gaps.withColumn("variants", F.size("variant_metrics")).drop("variant_metrics"),
+                   "delta_mae", "delta_r2")
+
+
+@query("saved_worst_slices", SLICES + f"""
+SELECT {ROUNDED_SLICE}, rn AS slice_rank FROM (SELECT *, row_number() OVER (PARTITION BY ablation_name, model_name
+    ORDER BY mae DESC, r2 ASC NULLS FIRST, slice_name, slice_value) AS rn FROM sliced
+  WHERE split_name = 'test' AND slice_name IN ('c_mktsegment', 'o_orderpriority')) WHERE rn <= 5
+""")
+def saved_worst_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(saved_evaluation(spark, sf_dir).worst, *METRICS)
+
+
+@query("saved_best_slices", ORACLES["best_slices"])
+def saved_best_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(saved_evaluation(spark, sf_dir).best_slices, *METRICS)
+
+
+@query("saved_worst_of_best", ORACLES["worst_slices_of_best"])
+def saved_worst_of_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(saved_evaluation(spark, sf_dir).worst_of_best, *METRICS)
+
+
+@query("saved_feature_gain", ORACLES["feature_gain"])
+def saved_feature_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(saved_evaluation(spark, sf_dir).gain, "delta_mae", "delta_r2")
+
+
 # -- run folders ------------------------------------------------------------------------------
 
 RULES = {"long_300": 300, "long_1000": 1000}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from sliceworks.checks import require_columns
 from sliceworks.functions.numbers import blank_markers_to_null
 from sliceworks.operators.features import nested_feature_tables
+from sliceworks.operators.ordering import if_small
 from sliceworks.operators.profile import feature_report
 from sliceworks.operators.rules import DETAILS, Prepared, issue_ranges, validation_summary
 from sliceworks.operators.splits import SPLITS, label_splits
@@ -177,10 +179,26 @@ def write_feature_tables(df: DataFrame, folder: str, **settings) -> dict[str, Da
     return back
 
 
-def write_predictions(df: DataFrame, folder: str, mode: str = "append") -> None:
-    """Prediction rows of all runs, one folder per regime, model and split."""
+RUN_FOLDERS = ("ablation_name", "model_name", "split_name")
 
-    df.write.mode(mode).partitionBy("ablation_name", "model_name", "split_name").parquet(folder)
+
+def write_predictions(df: DataFrame, folder: str, mode: str = "append", rows_per_file: int = 2_000_000) -> None:
+    """Prediction rows of all runs, one folder per regime, model and split.
+
+    A folder gets as many files as its rows fill: rows are dealt by run and a salt from its row count,
+    so neither many tasks write to each folder nor one task all of a large one.
+    """
+
+    salts = df.groupBy(*RUN_FOLDERS).agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(c).alias(f"_{c}") for c in RUN_FOLDERS],
+        F.ceil(F.col("_n") / rows_per_file).cast("int").alias("_files"))
+    counted = if_small(salts)  # one row per run and split
+    total = max(1, counted.agg(F.sum("_files")).first()[0] or 1)
+    plain = [c.name for c in df.schema if not isinstance(c.dataType, T.MapType)]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RUN_FOLDERS])
+    salted = df.join(counted, same).withColumn("_salt", F.pmod(F.xxhash64(*plain), F.col("_files")))
+    salted.repartition(total, *RUN_FOLDERS, "_salt").select(*df.columns).write.mode(mode).partitionBy(
+        *RUN_FOLDERS).parquet(folder)
 
 
 def read_predictions(spark: SparkSession, folder: str) -> DataFrame:

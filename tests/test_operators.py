@@ -360,3 +360,54 @@ def test_samples_keep_their_limit_where_ids_repeat(spark):
         assert len(found) == min(limit, 90)
         assert sorted(map(str, found)) == sorted(map(str, sample_rows(df, ["id"], limit).collect()))
     assert sample_rows(df.limit(0), ["id"], 5).count() == 0
+
+
+def test_prediction_files_are_bounded_per_folder(spark, tmp_path):
+    """As many files as a folder's rows fill, however many tasks write; null keys and repeated rows stay."""
+
+    from pathlib import Path
+
+    from sliceworks.sources.tables import read_predictions, write_predictions
+
+    df = spark.range(5000).select(
+        F.when(F.col("id") < 4000, "a").when(F.col("id") < 4990, "b").alias("ablation_name"), F.lit("m").alias("model_name"),
+        F.when(F.col("id") % 2 == 0, "test").otherwise("validation").alias("split_name"),
+        (F.col("id") % 700).alias("x")).repartition(16)
+    write_predictions(df, str(tmp_path / "p"), rows_per_file=1000)
+    files = {}
+    for path in Path(tmp_path / "p").rglob("*.parquet"):
+        files[str(path.parent)] = files.get(str(path.parent), 0) + 1
+    assert len(files) == 6 and max(files.values()) <= 2
+    found = read_predictions(spark, str(tmp_path / "p")).groupBy("ablation_name", "split_name").agg(
+        F.count("*"), F.sum("x"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, df.groupBy("ablation_name", "split_name").agg(
+        F.count("*"), F.sum("x")).collect()))
+    write_predictions(df.limit(0), str(tmp_path / "none"))
+
+
+def test_diagnostics_of_saved_runs_come_from_one_pass(spark):
+    from sliceworks.operators.reevaluation import reevaluate
+
+    rows = spark.range(400).select(
+        F.when(F.col("id") % 2 == 0, "test").otherwise("validation").alias("split_name"),
+        F.when(F.col("id") < 200, "plain").otherwise("extra").alias("ablation_name"), F.lit("m").alias("model_name"),
+        (F.col("id") % 5).cast("string").alias("family"), F.when(F.col("id") % 7 < 3, "raw").when(
+            F.col("id") % 7 < 6, "other").alias("variant"),
+        (F.col("id") % 11).cast("double").alias("target_value"), (F.col("id") % 13).cast("double").alias("predicted_value"))
+    rows = rows.withColumn("absolute_error", F.abs(F.col("predicted_value") - F.col("target_value"))).withColumn(
+        "squared_error", F.col("absolute_error") * F.col("absolute_error"))
+    found = reevaluate(rows, ["family", "variant", "absent"], worst_in=["family"], family="family",
+                       variant=("variant", "raw", "other"))
+    test = rows.filter("split_name = 'test'")
+    same = lambda a, b: sorted(str(plain(r)) for r in a.collect()) == sorted(str(plain(r)) for r in b.collect())
+    plain = lambda r: [round(x, 9) if isinstance(x, float) else x if not isinstance(x, list) else [plain(y) for y in x]
+                       for x in r]
+    assert same(found.slices, slice_metrics(rows, ["family", "variant"]))
+    columns = ["split_name", "ablation_name", "model_name", "family", "sample_count", "squared_error_fraction"]
+    assert same(found.dominance.select(columns), error_dominance(test).select(columns))
+    assert same(found.gaps, variant_gap(test, "variant", "raw", "other"))
+    assert found.worst.filter("ablation_name = 'plain'").count() == 5 and found.gain is None
+    assert found.worst.filter("slice_rank = 1 AND ablation_name = 'plain'").first()["mae"] == \
+        found.slices.filter("split_name = 'test' AND ablation_name = 'plain' AND slice_name = 'family'").agg(F.max("mae")).first()[0]
+    nothing = reevaluate(rows.drop("family"), ["variant"], worst_in=["variant"], family="family")
+    assert nothing.dominance is None and nothing.gaps is None and nothing.best.count() == 2
