@@ -348,6 +348,8 @@ def explain(
 
     if name not in (*LINEAR, *TREES):
         raise ValueError(f"There is no attribution for {name!r}.")
+    facts = {"model_name": name, "explained_split": split, "max_rows": max_rows,
+             "background_rows": background_rows}
     learner = model.stages[-1]
     sample = _prepared(model, sample_rows(explained, id_columns, max_rows, seed=seed + 1))
     center = _prepared(model, sample_rows(background, id_columns, background_rows, seed=seed))
@@ -356,12 +358,12 @@ def explain(
             else list(learner.coefficientMatrix.toArray())
         values = linear_values(sample, vectors, center, id_columns)
     else:
-        values = tree_values(sample, learner, id_columns)
+        trees = model_trees(explained.sparkSession, learner)
+        values = tree_values(sample, learner, id_columns, trees)
+        facts["base_values"] = base_values(trees).tolist()
     slots = _slot_table(sample)
     by_slot = mean_absolute(values).join(slots, "slot_index").select(
         "feature", "source_feature", "mean_abs_shap").orderBy(F.desc("mean_abs_shap"), "feature")
     by_source = by_slot.groupBy(F.col("source_feature").alias("feature")).agg(
         F.sum("mean_abs_shap").alias("mean_abs_shap")).orderBy(F.desc("mean_abs_shap"), "feature")
-    facts = {"model_name": name, "explained_split": split, "max_rows": max_rows,
-             "background_rows": background_rows}
     return Attributions(values.join(slots, "slot_index"), by_slot, by_source, facts)

@@ -277,6 +277,26 @@ def tree_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
                    ["o_orderkey"]).by_source
 
 
+@query("tree_attribution_sums", CLOSED_FORM + """
+SELECT o_orderkey, 4 AS slots, true AS adds_up FROM b WHERE split_name = 'test' ORDER BY md5('43|' || o_orderkey::VARCHAR) LIMIT 1000
+""".replace("4 AS slots", "(2 + (SELECT count(DISTINCT o_orderpriority) FROM orders JOIN s USING (o_custkey) WHERE split_name = 'train') "
+            "+ (SELECT count(DISTINCT c_mktsegment) FROM orders JOIN s USING (o_custkey) JOIN customer ON o_custkey = c_custkey "
+            "WHERE split_name = 'train'))::INT AS slots"))
+def tree_attribution_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the attributions of each explained row add up to its prediction less the base value."""
+
+    rows = customer_orders(spark, sf_dir)
+    spec = ModelSpec("random_forest_regressor", lambda: forest_regressor(numTrees=TREES, labelCol="amount"))
+    suite = fit_regressors(rows, FEATURES, "amount", [spec], release_prep)
+    test = rows.filter("split_name = 'test'")
+    found = explain(suite.models[spec.name], spec.name, rows.filter("split_name = 'train'"), test, ["o_orderkey"])
+    sums = found.values.groupBy("o_orderkey").agg(F.sum("attribution").alias("total"),
+                                                  F.count(F.lit(1)).cast("int").alias("slots"))
+    scored = suite.models[spec.name].transform(test).select("o_orderkey", "prediction")
+    gap = F.col("prediction") - F.col("total") - F.lit(found.metadata["base_values"][0])
+    return sums.join(scored, "o_orderkey").select("o_orderkey", "slots", (F.abs(gap) < 1e-6).alias("adds_up"))
+
+
 @query("model_importance")
 def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = customer_orders(spark, sf_dir)

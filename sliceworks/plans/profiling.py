@@ -303,6 +303,18 @@ def project_split_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
         features=["o_orderpriority", "late"], group="o_custkey", keep=["o_orderkey"])
 
 
+@query("strict_split_design", GROUPED_ORDERS + """
+SELECT split_name, o_custkey::VARCHAR AS o_custkey, o_totalprice::VARCHAR::DOUBLE AS price, o_orderstatus
+FROM orders JOIN s USING (o_custkey)
+""")
+def strict_split_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target given as text, which the strict design reads or stops at; a column constant in train goes."""
+
+    split = split_groups(table(spark, sf_dir, "orders"), "o_custkey").withColumns({
+        "price": F.col("o_totalprice").cast("string"), "fixed": F.lit("x")})
+    return fixed_split_design(split, target="price", features=["o_orderstatus", "fixed"], group="o_custkey", strict=True)
+
+
 @query("role_projection", """
 SELECT o_orderpriority, o_totalprice, o_orderkey, o_custkey, o_orderdate FROM (
   SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate

@@ -30,7 +30,7 @@ from sliceworks.plans.sql import (
 from sliceworks.session import fresh_path, written
 from sliceworks.sources.runs import scan_tables, text, write_result_table, write_run_config
 from sliceworks.sources.tables import (
-    read_predictions, read_release_folder, read_table, write_feature_tables, write_predictions,
+    RAW_LOG_SCHEMA, read_predictions, read_raw_log, read_release_folder, read_table, write_feature_tables, write_predictions,
     write_prepared,
 )
 
@@ -52,6 +52,27 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path, schema=schema, required=orders.columns)
 
 
+@query("raw_log", """
+SELECT p_partkey::VARCHAR AS circuit_id, p_size::VARCHAR AS qubit_count, replace(p_type, ' ', ', ') AS gate_types,
+  CASE WHEN p_size % 3 = 0 THEN NULL ELSE round(p_retailprice, 2)::VARCHAR END AS error_rate_gate,
+  'say "' || p_brand || '"' || chr(10) || p_type AS device_type, NULL::VARCHAR AS error_type FROM part
+""")
+def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw log with quoted commas, quotes and line breaks, its columns in another order, every field text."""
+
+    text = lambda c: F.col(c).cast("string")
+    known = {
+        "circuit_id": text("p_partkey"), "qubit_count": text("p_size"),
+        "gate_types": F.replace("p_type", F.lit(" "), F.lit(", ")),
+        "error_rate_gate": F.when(F.col("p_size") % 3 != 0, F.round("p_retailprice", 2).cast("string")),
+        "device_type": F.concat(F.lit('say "'), "p_brand", F.lit('"\n'), "p_type")}
+    names = [f.name for f in reversed(RAW_LOG_SCHEMA.fields)]
+    path = fresh_path(spark, "raw-log") + ".csv"
+    table(spark, sf_dir, "part").select(*[known.get(n, F.lit(None).cast("string")).alias(n) for n in names]).write.csv(
+        path, header=True, escape='"')
+    return read_raw_log(spark, path).select(*known, "error_type")
+
+
 @query("quoted_text_round_trip", """
 SELECT doc_id, source, n_chars, length(text) AS n_read, md5(text) AS digest FROM documents
 """)
