@@ -139,6 +139,23 @@ def test_top_k_of_large_numbers(spark):
     assert sorted(map(tuple, found)) == sorted(brute.top_k(whole))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_top_k_of_numbers_of_any_size(spark, monkeypatch, seed):
+    """Vectors of small, large and huge components together, ranked by exact scores; ties by id."""
+
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    dice = random.Random(seed)
+    sizes = [1.0, 3e5, 1e12, 1e100, 1e300]
+    rows = [(k, [dice.choice([-1, 0, 1, 0.5]) * dice.choice(sizes) for _ in range(4)]) for k in range(450)]
+    rows += [(1000 + k, rows[k][1]) for k in range(20)] + [(2000, [1e307] * 4), (2100, [float("inf"), 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(k, [int(np.floor(1024 * x)) if abs(x) < 1e15 else int(1024 * x) for x in v]) for k, v in rows if k < 2000]
+    most = 2 ** 63 - 1
+    expected = [(q, r, i, max(-most, min(most, s))) for q, r, i, s in brute.top_k(whole)]
+    found = topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
 def check_unrepeated(df, found, key):
     expected = brute.unrepeated([(r[key], r.text) for r in df.collect()])
     rows = [(r[key], int(r.n_words), r.n_removed, r.kept) for r in found.collect()]
