@@ -21,17 +21,19 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 from pyspark.util import inheritable_thread_target
 
-from sliceworks.models.estimators import ModelSpec
+from sliceworks.models.estimators import DummyClassifier, Logistic, ModelSpec
+from sliceworks.models.grouped import grouped_logistic, grouped_probabilities
 from sliceworks.models.prep import classification_prep, release_prep, vector_names
 from sliceworks.operators.categories import few_rows
 from sliceworks.operators.metrics import (
     classification_metrics, regression_measures, regression_metrics,
 )
+from sliceworks.operators.ordering import if_small
 from sliceworks.operators.policy import fixed_split_design
 from sliceworks.operators.slices import pivot_splits, predictions
-from sliceworks.operators.splits import grouped_folds, split_stratified
+from sliceworks.operators.splits import grouped_folds, split_stratified_by
 from sliceworks.operators.subsets import filter_variants
-from sliceworks.session import fresh_path
+from sliceworks.session import fresh_path, written
 from sliceworks.sources.tables import read_predictions, write_predictions
 
 
@@ -379,23 +381,53 @@ def fit_per_group(
     df: DataFrame, group: str, features: Sequence[str], label: str, id_columns: Sequence[str],
     specs: Sequence[ModelSpec],
 ) -> DataFrame:
-    """The suite for each subgroup with a split of its own; prediction rows with the key.
+    """The suite for each subgroup with a split of its own; prediction rows with the key. Rows without
+    a group are left out.
 
-    Model fits are distributed already, so subgroups run one after the other, each reading only
-    its own rows.
+    All subgroups are split, prepared and, for the majority and the logistic classifier, fitted and scored
+    together; slots that only other subgroups fill get no weight. Tree learners, which have no sums to
+    share, are fitted subgroup by subgroup, each on its own rows. ``scores`` are by the labels of all
+    subgroups in order, 0 for those a subgroup does not have.
     """
 
-    keys = sorted(row[0] for row in df.select(group).filter(f"{group} is not null").distinct()
-                  .collect())
+    used = [c for c in features if c != group]
+    coded, labels = encode_label(df.filter(F.col(group).isNotNull()), label)
+    split = written(split_stratified_by(coded, group, id_columns, label), "subgroups")
+    train, held_out = (split.filter(F.col("split_name") == "train"), split.filter(F.col("split_name") != "train"))
+    ready = classification_prep(used).fit(train)
+    decoded = F.get(F.array(*[F.lit(x) for x in labels]), F.col("_best").cast("int"))
     parts = []
-    for key in keys:
-        rows = df.filter(F.col(group) == key)
-        split = split_stratified(rows, id_columns, label)
-        suite = fit_classifiers(split, [c for c in features if c != group], label, specs)
-        parts.append(suite.scored.withColumn(group, F.lit(key)))
+    with kept(ready.transform(train).select(group, "features", "label_code")) as fit_rows:
+        for spec in specs:
+            learner = spec.build()
+            if isinstance(learner, Logistic):
+                models = written(grouped_logistic(
+                    fit_rows, group, len(labels), c=learner.getOrDefault("c"),
+                    balanced=learner.getOrDefault("balanced")), "subgroup-models")
+                scored = grouped_probabilities(ready.transform(held_out), models, group)
+                scored = scored.withColumn("_best", F.array_position("scores", F.array_max("scores")) - 1)
+            elif isinstance(learner, DummyClassifier) and learner.getOrDefault("strategy") == "most_frequent":
+                counts = fit_rows.groupBy(group, "label_code").agg(F.count(F.lit(1)).alias("n"))
+                top = counts.groupBy(F.col(group).alias("_top_of")).agg(F.min(F.struct(
+                    -F.col("n"), F.col("label_code")))["label_code"].alias("_best"))
+                scored = held_out.join(if_small(top), F.col(group) == F.col("_top_of")).withColumn(
+                    "scores", F.transform(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda k: (
+                        k == F.col("_best").cast("int")).cast("double")))
+            else:
+                parts.append(_fit_one_by_one(split, group, used, label, spec))
+                continue
+            parts.append(scored.select(
+                "split_name", F.lit(spec.name).alias("model_name"), F.col(label).alias("true_label"),
+                decoded.alias("predicted_label"), "scores", group))
     return stacked(parts)
 
 
+def _fit_one_by_one(split: DataFrame, group: str, features: Sequence[str], label: str, spec: ModelSpec) -> DataFrame:
+    keys = sorted(row[0] for row in few_rows(split.select(group).distinct(), f"subgroups in {group!r}"))
+    return stacked(fit_classifiers(split.drop("label_code").filter(F.col(group) == key), features, label, [spec])
+                   .scored.withColumn(group, F.lit(key)) for key in keys)
+
+
 class Tuned(NamedTuple):
     """The refitted best pipelines, a row per setting tried, and a row per model."""
 

@@ -8,16 +8,19 @@ no table is ever sorted or shuffled for it.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sliceworks.checks import fresh_name, require_columns
 from sliceworks.operators.categories import few_rows
 from sliceworks.operators.ordering import (
-    order_key, small_table, smallest_key_cuts, stratum_key_cuts, with_rank,
+    if_small, order_key, small_table, smallest_key_cuts, stratum_key_cuts, with_rank,
 )
 from sliceworks.session import written
 
@@ -264,6 +267,71 @@ def _turns(class_sizes: Sequence[tuple[int, int]], folds: int) -> list[tuple[int
     return turns
 
 
+def split_stratified_by(
+    df: DataFrame, group: str, id_columns: Sequence[str], label: str, *, validation_size: float = 0.15,
+    test_size: float = 0.05, seed: int = 42,
+) -> DataFrame:
+    """:func:`split_stratified` within every group at once; rows without a group are left out.
+
+    The sizes of each group's cuts come from its label counts, worked out group by group in tasks; the
+    cuts of all groups are looked up together.
+    """
+
+    require_columns(df, [group, *id_columns, label])
+    text, key = F.col(label).cast("string"), order_key(seed, *id_columns)
+    if not df.filter(F.col(group).isNotNull() & text.isNull()).isEmpty():
+        raise ValueError(f"Label column {label!r} has rows without a value; drop or fill them.")
+    rows = df.filter(F.col(group).isNotNull()).withColumns({"_group": F.col(group), "_label": text, "_key": key})
+    counts = rows.groupBy("_group", "_label").agg(F.count(F.lit(1)).alias("n"))
+    kind = df.schema[group].dataType.simpleString()
+    # the functions travel whole, so that workers need not have this package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+    def cuts_of(name: tuple, table: pa.Table) -> pa.Table:
+        found = dict(zip(table["_label"].to_pylist(), table["n"].to_pylist(), strict=True))
+        total = sum(found.values())
+        n_test, n_validation = split_sizes(total, validation_size, test_size)
+        if not can_stratify(found, test_size):
+            out = [("plain", None, "test", n_test), ("plain", None, "validation", n_test + n_validation)]
+        else:
+            test = label_quotas(found, n_test)
+            left = {x: n - test[x] for x, n in found.items()}
+            mixed = can_stratify({x: n for x, n in left.items() if n}, validation_size / (1.0 - test_size))
+            out = [("mixed" if mixed else "rest", x, "test", n) for x, n in test.items()]
+            if mixed:
+                more = label_quotas(left, n_validation)
+                out += [("mixed", x, "validation", test[x] + n) for x, n in more.items()]
+            else:
+                out.append(("rest", None, "validation", n_validation))
+        modes, labels, cuts, sizes = zip(*out, strict=True)
+        return pa.table({"_group": pa.array([name[0].as_py()] * len(out), table["_group"].type), "mode": modes,
+                         "_label": pa.array(labels, pa.string()), "cut": cuts, "k": pa.array(sizes, pa.int64())})
+
+    plan = written(counts.groupBy("_group").applyInArrow(
+        cuts_of, f"_group {kind}, mode string, _label string, cut string, k long"), "cuts")
+    asked = plan.filter("k > 0")
+
+    def wide(found: DataFrame, by: list[str], prefix: str) -> DataFrame:
+        return if_small(found.groupBy(*by).agg(*[
+            F.max(F.when(F.col("cut") == c, F.col("_key"))).alias(f"{prefix}{c}") for c in ("test", "validation")]))
+
+    keyed = rows.select("_group", "_label", "_key")
+    labelled = stratum_key_cuts(keyed, ["_group", "_label"], "_key", asked.filter("_label IS NOT NULL").select(
+        "_group", "_label", "cut", "k"))
+    plain = stratum_key_cuts(keyed.drop("_label"), ["_group"], "_key", asked.filter("mode = 'plain'").select(
+        "_group", "cut", "k"))
+    split = _by_cuts(F.col("_key"), F.coalesce("_l_test", "_g_test"), F.coalesce("_l_validation", "_g_validation"))
+    joined = rows.join(wide(labelled, ["_group", "_label"], "_l_"), ["_group", "_label"], "left").join(
+        wide(plain, ["_group"], "_g_"), "_group", "left").withColumn("split_name", split)
+    rest = asked.filter("mode = 'rest' AND cut = 'validation'").select("_group", "cut", "k")
+    if not rest.isEmpty():  # too few rows to keep the mix in validation: the first of what is left
+        last = stratum_key_cuts(joined.filter("split_name <> 'test'").select("_group", "_key"), ["_group"], "_key", rest)
+        joined = joined.join(wide(last, ["_group"], "_r_"), "_group", "left").withColumn("split_name", F.when(
+            (F.col("split_name") != "test") & (F.col("_key") <= F.col("_r_validation")), "validation").otherwise(
+            F.col("split_name")))
+    return joined.select(*df.columns, "split_name")
+
+
 #: Portions that a class of equal groups is dealt in at first, and classes written at a time.
 STEPS, CLASSES = 1024, 50_000
 

@@ -9,6 +9,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -390,3 +391,63 @@ def test_search_tables_have_folds_ranks_and_seconds(spark):
     assert result.best == {"alpha": 1.0} and result.best_r2 is None
     assert {"fold0_r2", "fold1_rmse", "rank_rmse", "mean_fit_seconds", "std_fit_seconds"} <= set(result.results.columns)
     assert result.results.filter("mean_fit_seconds > 0").count() == 2
+
+
+def test_grouped_linear_models_equal_single_fits(spark):
+    """Ridge and logistic regression of all groups at once against a fit for each; a group with one
+    class, one with few rows, and one with most of the rows among them."""
+
+    from sliceworks.models.grouped import grouped_logistic, grouped_probabilities, grouped_ridge
+
+    dice = np.random.RandomState(3)
+    rows = []
+    for g, n in (("a", 300), ("b", 40), ("c", 9), ("one", 12)):
+        for _ in range(n):
+            x = dice.normal(size=3) * (1, 10, 0.1) + (0, 1000, 0)
+            z = x[0] + 0.1 * (x[1] - 1000) + dice.normal()
+            three = 0 if g == "one" else int(z > 0) + int(z > 1.2)
+            rows.append((g, *map(float, x), float(z + 5), float(min(three, 1)), float(three)))
+    df = spark.createDataFrame(rows, "g string, x0 double, x1 double, x2 double, y double, two double, three double"
+                               ).repartition(5)
+    names = ["x0", "x1", "x2"]
+    whole = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    found = {r["g"]: r for r in grouped_ridge(df, "g", names, "y", 0.7).collect()}
+    for g in ("a", "b", "c", "one"):
+        single = Ridge(alpha=0.7, labelCol="y").fit(whole.filter(F.col("g") == g))
+        assert found[g]["coefficients"] == pytest.approx(single.coefficients.toArray(), abs=1e-6)
+        assert found[g]["intercept"] == pytest.approx(single.intercept, abs=1e-4)
+    for label, classes, balanced in (("two", 2, False), ("two", 2, True), ("three", 3, False)):
+        models = grouped_logistic(whole, "g", classes, c=0.5, balanced=balanced, label=label)
+        scored = {(r["g"], r["x0"]): r["scores"] for r in grouped_probabilities(whole, models, "g").collect()}
+        for g in ("a", "b", "c"):
+            part = whole.filter(F.col("g") == g)
+            single = Logistic(c=0.5, maxIter=500, balanced=balanced, labelCol=label).fit(part)
+            for r in single.transform(part).select("x0", vector_to_array("probability").alias("p")).collect():
+                assert scored[g, r["x0"]][:len(r["p"])] == pytest.approx(r["p"], abs=2e-3), (g, label)
+        assert all(scored[r[0], r[1]][0] == 1.0 for r in rows if r[0] == "one")
+
+
+def test_subgroups_are_split_as_one_by_one(spark):
+    from sliceworks.operators.splits import split_stratified, split_stratified_by
+
+    rows = [(k, "big", f"y{k % 3}") for k in range(400)] + [(1000 + k, "tiny", f"y{k}") for k in range(5)] + [
+        (2000 + k, "lean", "y0" if k < 50 else "y1") for k in range(53)] + [(3000, None, None)]
+    df = spark.createDataFrame(rows, "id int, g string, y string").repartition(4)
+    found = {r["id"]: r["split_name"] for r in split_stratified_by(df, "g", ["id"], "y").collect()}
+    expected = {}
+    for g in ("big", "tiny", "lean"):
+        expected |= {r["id"]: r["split_name"] for r in split_stratified(df.filter(F.col("g") == g), ["id"], "y").collect()}
+    assert found == expected
+
+
+def test_subgroup_suites_fit_all_groups_together(spark):
+    from sliceworks.models.suites import classifier_comparison, fit_per_group
+
+    df = regression_rows(spark).withColumn("g", F.when(F.col("id") % 3 > 0, "p").when(F.col("id") > 9, "q")).withColumn(
+        "label", F.when(F.col("x") + F.when(F.col("g") == "p", 0).otherwise(2) > 3, "high").otherwise("low"))
+    scored = fit_per_group(df.drop("split_name"), "g", ["x", "c"], "label", ["id"], [
+        ModelSpec("dummy", lambda: DummyClassifier()), ModelSpec("logistic", lambda: Logistic(c=100.0)),
+        ModelSpec("boosted", lambda: boosted_classifier(2, maxIter=2, maxDepth=2))])
+    found = {(r["g"], r["model_name"]): r["test_accuracy"] for r in classifier_comparison(scored, ["g", "model_name"]).collect()}
+    assert set(found) == {(g, m) for g in "pq" for m in ("dummy", "logistic", "boosted")}
+    assert found["p", "logistic"] == found["q", "logistic"] == 1.0 > found["p", "dummy"]
