@@ -122,14 +122,20 @@ def normalize_tokens(tokens: Column) -> Column:
     return F.transform(first, rest)
 
 
-def parse_tokens(text: Column, delimiters: Sequence[str]) -> Column:
-    """Array of normalised tokens; empty for null or blank text."""
+def raw_tokens(text: Column, delimiters: Sequence[str]) -> Column:
+    """Lower-case pieces between the delimiters, as they are; null for null."""
 
     if all(d.lower() == d.upper() for d in delimiters):
         segments = _segments(F.lower(text), delimiters)  # the delimiters have no case
     else:
         segments = F.transform(_segments(text, delimiters), F.lower)
-    tokens = normalize_tokens(F.filter(segments, lambda s: s != ""))
+    return F.filter(segments, lambda s: s != "")
+
+
+def parse_tokens(text: Column, delimiters: Sequence[str]) -> Column:
+    """Array of normalised tokens; empty for null or blank text."""
+
+    tokens = normalize_tokens(raw_tokens(text, delimiters))
     kept = F.filter(tokens, lambda t: t != "")
     return F.coalesce(kept, F.array().cast("array<string>"))
 

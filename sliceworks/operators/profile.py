@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sliceworks.checks import require_columns
-from sliceworks.functions.tokens import parse_tokens
+from sliceworks.functions.tokens import normalize_tokens, parse_tokens, raw_tokens
 from sliceworks.operators.ordering import exact_quantiles
 
 
@@ -62,14 +62,17 @@ def token_count_summary(tokenized: DataFrame) -> DataFrame:
     )
 
 
-def token_frequencies(tokenized: DataFrame) -> DataFrame:
-    """How often each token occurs over all rows."""
+def token_frequencies(df: DataFrame, sequence: str, delimiters: Sequence[str]) -> DataFrame:
+    """How often each token occurs over all rows.
 
-    # explode would make the optimizer test the array first, and so parse every text twice
-    return (
-        tokenized.select(F.explode_outer("tokens").alias("token")).filter("token is not null")
-        .groupBy("token").agg(F.count(F.lit(1)).alias("token_count"))
-    )
+    Pieces are counted as they stand, combined in the tasks, and only different ones are normalised.
+    """
+
+    # explode would make the optimizer test the array first, and so cut every text twice
+    pieces = df.select(F.explode_outer(raw_tokens(F.col(sequence), delimiters)).alias("piece")).filter(
+        "piece is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    tokens = pieces.select(F.get(normalize_tokens(F.array("piece")), F.lit(0)).alias("token"), "n")
+    return tokens.filter("token <> ''").groupBy("token").agg(F.sum("n").alias("token_count"))
 
 
 def dataset_profile(
@@ -89,7 +92,7 @@ def dataset_profile(
     parts = [
         section("label_distribution", value_counts(df, label), "value", "value_count"),
         section("length_distribution", value_counts(df, length), "value", "value_count"),
-        section("token_frequencies", token_frequencies(tokenized), "token", "token_count"),
+        section("token_frequencies", token_frequencies(df, sequence, delimiters), "token", "token_count"),
         section("top_sequences", top_sequences(tokenized), "sequence", "sequence_count"),
         section("token_counts", sizes.select(*[text(c).alias(c) for c in sizes.columns]).unpivot(
             [], sizes.columns, "item", "value"), "item", "value"),

@@ -14,6 +14,7 @@ from sliceworks.checks import require_columns
 from sliceworks.functions.bits import normalize_bits
 from sliceworks.functions.numbers import nan_to_null, parse_number, parse_timestamp
 from sliceworks.functions.tokens import strip_blanks
+from sliceworks.session import written
 
 
 def _issue(
@@ -275,22 +276,25 @@ def issue_ranges(checked: DataFrame, samples: int = 5) -> DataFrame:
     """
 
     issues = issue_rows(checked)
-    number = F.when(F.col("rule_type") == "numeric_range", F.col("observed_value").cast("double"))
-    ranges = issues.groupBy("issue", "column", "rule_type").agg(
+    numeric = F.col("rule_type") == "numeric_range"
+    number = F.when(numeric, F.col("observed_value").cast("double"))
+    # one row per issue and text seen, written, so that the rules run once for both results
+    seen = written(issues.groupBy("issue", "column", "rule_type", F.when(
+        ~numeric, F.col("observed_value")).alias("observed_text")).agg(
         # the condition names the row's own length for bit strings, so it is not a key
-        F.min("expected_condition").alias("expected_condition"),
-        F.count(F.lit(1)).alias("issue_count"),
-        F.min(number).alias("observed_min"), F.max(number).alias("observed_max"),
-    )
+        F.min("expected_condition").alias("expected_condition"), F.count(F.lit(1)).alias("issue_count"),
+        F.min(number).alias("observed_min"), F.max(number).alias("observed_max")), "issues-seen")
+    ranges = seen.groupBy("issue", "column", "rule_type").agg(
+        F.min("expected_condition").alias("expected_condition"), F.sum("issue_count").alias("issue_count"),
+        F.min("observed_min").alias("observed_min"), F.max("observed_max").alias("observed_max"))
     # the rank limit is pushed below the shuffle: each task sends a few texts per issue
-    first = Window.partitionBy("issue").orderBy("observed_value")
+    first = Window.partitionBy("issue").orderBy("observed_text")
     texts = (
-        issues.filter((F.col("rule_type") != "numeric_range") & F.col("observed_value").isNotNull())
-        .select("issue", "observed_value").distinct()
+        seen.filter("observed_text is not null").select("issue", "observed_text").distinct()
         .withColumn("position", F.row_number().over(first))
         .filter(F.col("position") <= samples)
         .groupBy("issue")
-        .agg(F.sort_array(F.collect_list("observed_value")).alias("sample_observed_values"))
+        .agg(F.sort_array(F.collect_list("observed_text")).alias("sample_observed_values"))
     )
     return ranges.join(texts, "issue", "left").withColumn(
         "sample_observed_values",

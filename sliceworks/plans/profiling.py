@@ -41,16 +41,19 @@ tokens AS (SELECT doc_id, place, CASE WHEN head <> '' THEN head WHEN any_name <>
 
 
 def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select(
+    return with_tokens(_documents(spark, sf_dir), "body", DOCUMENT_DELIMITERS)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
         "doc_id", F.translate("text", "()[]{}", "      ").alias("body"))
-    return with_tokens(documents, "body", DOCUMENT_DELIMITERS)
 
 
 @query("token_frequency", DOCUMENT_TOKENS + """
 SELECT token, count(*) AS token_count FROM tokens WHERE token <> '' GROUP BY token
 """)
 def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_frequencies(_document_tokens(spark, sf_dir))
+    return token_frequencies(_documents(spark, sf_dir), "body", DOCUMENT_DELIMITERS)
 
 
 @query("token_summary", DOCUMENT_TOKENS + """
