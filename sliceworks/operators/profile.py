@@ -71,8 +71,12 @@ def token_frequencies(df: DataFrame, sequence: str, delimiters: Sequence[str]) -
     # explode would make the optimizer test the array first, and so cut every text twice
     pieces = df.select(F.explode_outer(raw_tokens(F.col(sequence), delimiters)).alias("piece")).filter(
         "piece is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    tokens = pieces.select(F.get(normalize_tokens(F.array("piece")), F.lit(0)).alias("token"), "n")
-    return tokens.filter("token <> ''").groupBy("token").agg(F.sum("n").alias("token_count"))
+    # few bytes but much work: as many tasks as the session deals a shuffle into
+    spread = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # taken out of an array, as a test of the token would be moved to every piece before it is counted
+    tokens = spread.select(F.explode_outer(F.filter(
+        normalize_tokens(F.array("piece")), lambda t: t != "")).alias("token"), "n")
+    return tokens.filter("token is not null").groupBy("token").agg(F.sum("n").alias("token_count"))
 
 
 def dataset_profile(

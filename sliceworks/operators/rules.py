@@ -278,12 +278,12 @@ def issue_ranges(checked: DataFrame, samples: int = 5) -> DataFrame:
     issues = issue_rows(checked)
     numeric = F.col("rule_type") == "numeric_range"
     number = F.when(numeric, F.col("observed_value").cast("double"))
-    # one row per issue and text seen, written, so that the rules run once for both results
-    seen = written(issues.groupBy("issue", "column", "rule_type", F.when(
+    # one row per issue, condition and text seen, written, so that the rules run once for both results;
+    # texts are keys here, as taking the least of them would sort
+    seen = written(issues.groupBy("issue", "column", "rule_type", "expected_condition", F.when(
         ~numeric, F.col("observed_value")).alias("observed_text")).agg(
-        # the condition names the row's own length for bit strings, so it is not a key
-        F.min("expected_condition").alias("expected_condition"), F.count(F.lit(1)).alias("issue_count"),
-        F.min(number).alias("observed_min"), F.max(number).alias("observed_max")), "issues-seen")
+        F.count(F.lit(1)).alias("issue_count"), F.min(number).alias("observed_min"), F.max(number).alias("observed_max")), "issues-seen")
+    # the condition names the row's own length for bit strings, so it is no key of the result
     ranges = seen.groupBy("issue", "column", "rule_type").agg(
         F.min("expected_condition").alias("expected_condition"), F.sum("issue_count").alias("issue_count"),
         F.min("observed_min").alias("observed_min"), F.max("observed_max").alias("observed_max"))
