@@ -294,8 +294,10 @@ def pair_sums(groups: DataFrame, cells: DataFrame) -> DataFrame:
                          "a": names.dictionary.take(pa.array(one)),
                          "b": names.dictionary.take(pa.array(two)), "value": pa.array(value)})
 
+    # rows of a block come in any order, so blocks may name the two groups of a pair either way round
     found = rows.groupBy("lang", "block").applyInArrow(
-        sums, "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(
+        sums, "lang string, a string, b string, value long").groupBy(
+        "lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
         F.sum("value").alias("value"))
     both = found.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(
         found.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))

@@ -16,6 +16,7 @@ import numpy as np
 import pytest
 from compare import difference
 from conftest import SMALL
+from pyspark.sql import GroupedData
 
 from sliceworks.llm import divergence, embeddings, queries, repair
 
@@ -296,6 +297,25 @@ def test_divergence(spark, monkeypatch, seed, terms, piece):
     assert divergence.divergence(df.limit(0)).count() == 0
 
 
+def test_divergence_with_rows_of_blocks_in_any_order(spark, monkeypatch):
+    """On several executors the rows of a block come as they are fetched; every block has an order of its own."""
+
+    plain = GroupedData.applyInArrow
+
+    def turned(self, function, schema):
+        def mixed(key, table):
+            return function(key, table.take(np.random.RandomState(key[1].as_py()).permutation(len(table))))
+
+        return plain(self, mixed, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", turned)
+    monkeypatch.setattr(divergence, "BLOCK_TERMS", 2)
+    dice = random.Random(4)
+    rows = [(" ".join(dice.choices("abcdefghijklmnop", k=9)), "en", dice.choice("stuvw")) for _ in range(200)]
+    found = divergence.divergence(spark.createDataFrame(rows, "text string, lang string, source string"), least=5, top=4)
+    assert sorted(map(tuple, found.collect())) == sorted(plain_divergence(rows, 5, 4))
+
+
 def test_equal_subtrees_share_a_node():
     counts = np.array([[1, 2, 0, 0, 1, 2, 0, 0], [0, 0, 0, 0, 1, 2, 0, 0], [1, 2, 0, 0, 1, 2, 0, 0]])
     roots, levels = divergence.consed(counts)
