@@ -7,9 +7,10 @@ the log of the target's smoothed probability over the raw one, and a text's scor
 of its n-grams, which does not depend on its length. A text is kept if its score is at least the
 threshold, which is the same for every text.
 
-The trusted ids and the ids on which the threshold is calibrated are bounded samples of labelled
-rows; the counts of the raw corpus cover all texts, added up within tasks before the shuffle. Only
-the weights, a fixed number of buckets, reach the driver.
+All labelled rows count: the trusted ones for the target, those of either kind for the threshold. The
+counts of the raw corpus cover all texts, added up within tasks before the shuffle. Up to ``LABELS``
+labels are sent to every task; more meet their texts in a shuffled join, whose rows are written once
+for the target and the threshold. Only the weights, a fixed number of buckets, reach the driver.
 
 A null or empty text has no words: its counts are 0, its score is 0 and the base rules reject it.
 Without trusted rows all weights are 0; without labels of both kinds the threshold is minus
@@ -28,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sliceworks.llm.common import WORD, add_columns, column, slices, word_finder
+from sliceworks.session import written
 
 SYMBOLS = "#*$%&|<>"
 #: Words of which a task remembers the hash; the memory starts anew after a text that passes this.
 VOCABULARY = 300_000
+#: Labels that are sent to every task of a join, at most.
+LABELS = 500_000
 #: Bins of scores for the calibration, and the range that they divide.
 BINS, RANGE = 4000, 4.0
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -120,26 +124,25 @@ class QualityModel:
         return float((self.weights[one].sum() + self.weights[two].sum()) / (len(one) + len(two)))
 
 
-def count_ngrams(df: DataFrame, text: str, trusted: str, buckets: int) -> np.ndarray:
-    """Counts of all buckets in the raw corpus and in the rows whose ``trusted`` is true."""
+def count_ngrams(df: DataFrame, text: str, corpus: str, trusted: str, buckets: int) -> np.ndarray:
+    """Counts of all buckets in the rows whose ``corpus`` is true and in those whose ``trusted`` is."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds()
         sums = np.zeros((2, 2 * buckets), dtype=np.int64)
         for batch in slices(batches):
-            for t, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                               strict=True):
+            for t, *marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not t:
                     continue
                 for b in words.buckets(words.of(t)[1], buckets):
-                    for k in (0, 1) if good else (0,):
+                    for k in np.flatnonzero(marks):
                         np.add.at(sums[k], b, 1)
-        at = np.flatnonzero(sums[0])
+        at = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(at.astype(np.int32)), pa.array(sums[0][at]), pa.array(sums[1][at])],
             names=["b", "raw", "target"])
 
-    counts = df.select(column(text).alias("t"), column(trusted).alias("g")).mapInArrow(
+    counts = df.select(column(text).alias("t"), column(corpus).alias("c"), column(trusted).alias("g")).mapInArrow(
         count, "b int, raw long, target long").groupBy("b").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     sums = np.zeros((2, 2 * buckets))
@@ -174,21 +177,24 @@ def best_threshold(good: np.ndarray, bad: np.ndarray, edges: np.ndarray, cost: f
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                label: str = "quality", buckets: int = 1 << 16, sample: int = 20_000,
-                cost: float = 5.0, min_words: int = 50, repeat_percent: int = 50) -> QualityModel:
-    """Weights and threshold. ``sample`` bounds the labelled rows of either kind that are used, those
-    whose ids hash lowest; texts that the base rules reject do not calibrate."""
+                label: str = "quality", buckets: int = 1 << 16, cost: float = 5.0,
+                min_words: int = 50, repeat_percent: int = 50) -> QualityModel:
+    """Weights and threshold from all labelled rows; of several labels of an id the least holds. Texts
+    that the base rules reject do not calibrate."""
 
     known = labels.filter(column(label).isin(0, 1) & column(key).isNotNull()).groupBy(
         column(key).alias("k")).agg(F.min(column(label)).cast("int").alias("y"))
-    order = F.xxhash64("k")
-    chosen = known.filter("y = 1").orderBy(order, "k").limit(sample).unionByName(
-        known.filter("y = 0").orderBy(order, "k").limit(sample))  # at most twice the sample
-    marked = docs.select(column(key).alias("k"), column(text).alias("t")).join(
-        F.broadcast(chosen), "k", "left").withColumn("g", F.coalesce(F.col("y") == 1, F.lit(False)))
-    weights = log_ratios(count_ngrams(marked, "t", "g", buckets))
-    scored = quality_columns(marked.filter("y is not null"), QualityModel(weights, float("-inf")),
-                             "t", min_words, repeat_percent)
+    texts = docs.select(column(key).alias("k"), column(text).alias("t"))
+    if known.limit(LABELS + 1).count() <= LABELS:
+        marked = texts.join(F.broadcast(known), "k", "left")
+        counted = marked.select("t", F.lit(True).alias("c"), F.coalesce(F.col("y") == 1, F.lit(False)).alias("g"))
+        labelled = marked.filter("y is not null")
+    else:
+        labelled = written(texts.join(known, "k"), "labelled")
+        counted = texts.select("t", F.lit(True).alias("c"), F.lit(False).alias("g")).unionByName(
+            labelled.filter("y = 1").select("t", F.lit(False).alias("c"), F.lit(True).alias("g")))
+    weights = log_ratios(count_ngrams(counted, "t", "c", "g", buckets))
+    scored = quality_columns(labelled, QualityModel(weights, float("-inf")), "t", min_words, repeat_percent)
     bins = scored.filter("not base_failed").select("y", F.least(F.greatest(F.floor(
         (F.col("quality_score") + RANGE) * (BINS / (2 * RANGE))), F.lit(0)), F.lit(BINS - 1)).alias("b"))
     counts = np.zeros((2, BINS))

@@ -61,6 +61,34 @@ def test_quality_counts_and_verdict(spark, documents, nothing):
     assert not empty.weights.any() and empty.threshold == float("-inf")
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 10])
+def test_quality_learns_from_all_labels(spark, monkeypatch, broadcast):
+    """More labelled rows of either kind than any sample held: weights and threshold are those of all."""
+
+    monkeypatch.setattr(quality, "LABELS", broadcast, raising=False)
+    good, bad, half = {"aa": 20_000, "bb": 500}, {"cc": 20_000, "aa": 600}, 1 << 10
+    words = [(w, y) for y, kind in ((1, good), (0, bad)) for w, n in kind.items() for _ in range(n)]
+    docs = spark.createDataFrame([*((k, w) for k, (w, _) in enumerate(words)), (None, "aa"), (-1, "bb"), (-2, None)],
+                                 "doc_id long, text string").repartition(4)
+    given = spark.createDataFrame([*((k, y) for k, (_, y) in enumerate(words)), (None, 1), (-1, None), (0, 1), (-3, 1)],
+                                  "doc_id long, quality int")
+    model = quality.fit_quality(docs, given, buckets=half, min_words=1)
+    ids = quality.WordIds()
+    at = {w: int(ids.buckets(ids.of(w)[1], half)[0][0]) for w in ("aa", "bb", "cc")}
+    raw, target = np.zeros(half), np.zeros(half)
+    for w, n in {"aa": 20_601, "bb": 501, "cc": 20_000}.items():
+        raw[at[w]] += n
+        target[at[w]] += good.get(w, 0)
+    p = (raw + 1) / (raw.sum() + half)
+    weights = np.log((target + half * p) / (target.sum() + half) / p)
+    assert np.allclose(model.weights[:half], weights, atol=1e-12) and not model.weights[half:].any()
+    counts, edges = np.zeros((2, quality.BINS)), np.linspace(-quality.RANGE, quality.RANGE, quality.BINS + 1)
+    for y, kind in ((1, good), (0, bad)):
+        for w, n in kind.items():
+            counts[y, int(np.floor((weights[at[w]] + quality.RANGE) * quality.BINS / (2 * quality.RANGE)))] += n
+    assert model.threshold == quality.best_threshold(counts[1], counts[0], edges, 5.0)
+
+
 def test_quality_threshold():
     edges = np.array([0.0, 1.0, 2.0, 3.0])
     assert quality.best_threshold(np.array([0, 0, 9]), np.array([9, 0, 0]), edges, 5) == 1.0
