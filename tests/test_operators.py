@@ -385,6 +385,22 @@ def test_prediction_files_are_bounded_per_folder(spark, tmp_path):
     write_predictions(df.limit(0), str(tmp_path / "none"))
 
 
+def test_prediction_files_have_a_task_each(spark, tmp_path):
+    """No task writes several files, whatever their number, so a task's memory is that of one file."""
+
+    import re
+    from pathlib import Path
+
+    from sliceworks.sources.tables import write_predictions
+
+    df = spark.range(20_000).select(
+        F.concat(F.lit("r"), F.col("id") % 5).alias("ablation_name"), F.lit("m").alias("model_name"),
+        F.lit("test").alias("split_name"), F.col("id").alias("x"))
+    write_predictions(df, str(tmp_path / "p"), rows_per_file=400)
+    tasks = [re.match(r"part-(\d+)", path.name)[1] for path in Path(tmp_path / "p").rglob("*.parquet")]
+    assert len(tasks) == len(set(tasks)) == 50
+
+
 def test_diagnostics_of_saved_runs_come_from_one_pass(spark):
     from sliceworks.operators.reevaluation import reevaluate
 
