@@ -22,7 +22,8 @@ from sliceworks.models.explain import (
 )
 from sliceworks.models.prep import classification_prep, regression_prep, release_prep, vector_names
 from sliceworks.models.suites import (
-    comparison, fit_classifiers, fit_regressors, fold_results, grouped_search, model_importance,
+    Regime, comparison, fit_classifiers, fit_regressors, fold_results, grouped_search, model_importance,
+    regime_study,
 )
 from sliceworks.plans.catalogue import (
     compare_tuning, experiment_matrix, inventory, scan_single_model_runs,
@@ -393,6 +394,58 @@ def test_search_tables_have_folds_ranks_and_seconds(spark):
     assert result.results.filter("mean_fit_seconds > 0").count() == 2
 
 
+def test_preparations_of_parts_equal_single_fits(spark):
+    """Parts of the rows are prepared together as each would be alone; a category that only one part has,
+    a column without values in a part and NaN among them."""
+
+    from sliceworks.models.prep import release_prep
+
+    df = spark.range(60).select(
+        (F.col("id") % 3).alias("fold"), F.when(F.col("id") == 4, "rare").otherwise(
+            F.concat(F.lit("c"), F.col("id") % 2)).alias("c"), (F.col("id") % 4 == 0).alias("b"),
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 7 == 0, F.lit(float("nan")))
+        .otherwise(F.col("id") * 1.5).alias("x"), F.when(F.col("id") % 3 == 1, F.col("id")).alias("n"))
+    parts = [*[F.col("fold") != k for k in range(3)], F.col("fold") == 1, F.col("fold") == 0, F.lit(True)]
+    for features in (["c", "b", "x", "n"], ["c"], ["x"]):
+        prep = release_prep(features)
+        for part, ready in zip(parts, prep.fit_parts(df, parts), strict=True):
+            if features == ["x"] and part is parts[4]:
+                continue  # nothing is left to prepare
+            alone = prep.fit(df.filter(part))
+            rows = [[r["features"] for r in model.transform(df.orderBy("c", "x", "n")).select("features").collect()]
+                    for model in (ready, alone)]
+            assert [v.toArray().tolist() for v in rows[0]] == [v.toArray().tolist() for v in rows[1]]
+
+
+def test_regimes_compute_their_rows_once(spark):
+    """Regimes of the same variants share rows and folds, and the input is computed once for all regimes."""
+
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(y):
+        computed.add(1)
+        return y
+
+    df = regression_rows(spark).withColumn("v", F.when(F.col("id") % 2 == 0, "p").otherwise("q")).withColumn(
+        "g", F.when(F.col("g") > 0, F.col("g"))).withColumn("y", F.udf(seen, "double")("y")).withColumn(
+        "z", F.when(F.col("v") == "q", F.col("x") + F.col("y")))
+    regimes = [Regime("one", ("p",)), Regime("both", ("p", "q"), with_variant=True),
+               Regime("more", ("q", "p"), with_local=True)]
+    spec = ModelSpec("ridge", lambda: Ridge(labelCol="y"), [{"alpha": 1.0}, {"alpha": 9.0}])
+    study = regime_study(df, regimes=regimes, models=[spec], target="y", group="g", variant="v",
+                         shared=["x", "c"], local=["z"], folds=2)
+    assert computed.value == 240
+    assert {r["ablation_name"]: (r["feature_column_count"], r["used_local_feature_count"])
+            for r in study.summary.collect()} == {"one": (2, 0), "both": (3, 0), "more": (3, 1)}
+    for regime, features in zip(regimes, (["x", "c"], ["x", "c", "v"], ["x", "c", "z"]), strict=True):
+        train = df.filter(F.col("v").isin(*regime.variants) & (F.col("split_name") == "train"))
+        alone = grouped_search(train, features, "y", "g", [spec], folds=2)["ridge"]
+        best = study.summary.filter(F.col("ablation_name") == regime.name).first()
+        assert best["cv_best_r2"] == pytest.approx(alone.best_r2) and best["best_params"] == str(alone.best)
+        assert study.models[regime.name, "ridge"].stages[-1].coefficients.toArray() == pytest.approx(
+            alone.model.stages[-1].coefficients.toArray())
+
+
 def test_grouped_linear_models_equal_single_fits(spark):
     """Ridge and logistic regression of all groups at once against a fit for each; a group with one
     class, one with few rows, and one with most of the rows among them."""
